@@ -9,6 +9,7 @@ from bytegrove.llm.cooccur import cooccurrence, pair_counts
 from bytegrove.llm.frequency import term_frequencies
 from bytegrove.llm.leakage import find_leaks
 from bytegrove.llm.packing import CAPACITY, pack_documents
+from bytegrove.llm.sentences import split_sentences
 from bytegrove.sources.tables import table
 
 
@@ -72,7 +73,19 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_documents(spark, sf_dir).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p4_found, p4_pairs, p6_found, p6_packing, p7_found, p7_documents)}
+def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sentence unit of each speech with its text, in order."""
+    return split_sentences(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_sentences(spark, sf_dir).select("doc_id", "start_pos", "end_pos")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p3_found, p3_terms, p4_found, p4_pairs, p6_found, p6_packing, p7_found, p7_documents, p8_found, p8_sentences)
+}
 
 _TERMS = f"""rows_ AS (
   SELECT DISTINCT kind, term, record, row_key FROM (
