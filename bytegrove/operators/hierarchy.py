@@ -56,47 +56,74 @@ class Hierarchy:
     def __init__(self, links: DataFrame, child: str = "child", parent: str = "parent"):
         self.scratch = Scratch(links.sparkSession, "hierarchy")
         self.links = self.scratch.save(clean_links(links, child, parent), "links")
-        self._cycles: DataFrame | None = None
+        self._rings: DataFrame | None = None
         self._nodes: DataFrame | None = None
 
     def cycles(self) -> DataFrame:
         """(node, cycle_name): every node on a circle, with the smallest node of its circle."""
-        if self._cycles is None:
-            self._cycles = self._find_cycles()
-        return self._cycles
+        return self.rings().select("node", "cycle_name")
 
-    def _find_cycles(self) -> DataFrame:
+    def rings(self) -> DataFrame:
+        """(node, cycle_name, steps): ``cycles`` with the number of links from the node to the smallest one."""
+        if self._rings is None:
+            self._rings = self._order_rings(self._double(paths=False)[1])
+        return self._rings
+
+    def _double(self, paths: bool) -> tuple[DataFrame | None, DataFrame]:
+        """(resolved, left): nodes with a root, and nodes on or leading into circles, whose pointers are on circles.
+
+        Columns are (node, ptr) and with ``paths`` seg, the names passed on the way to ptr; resolved nodes are only kept
+        with ``paths``, as nothing else is known of them then.
+        """
         sc = self.scratch
-        active = self.links.select("node", F.col("parent").alias("ptr"))
-        total, image, hot = pointer_stats(active, None)
+        state = self.links.select("node", F.col("parent").alias("ptr"), *([F.array("parent").alias("seg"), F.lit(False).alias("done")] if paths else []))
+        state = sc.save(state, "pointers")
+        total, image, hot = pointer_stats(state, None)
         while total:
-            # A pointer to a node that is itself resolved, or has no parent, ends at a root: the node leaves.
-            step = lookup_join(active, active.select(F.col("node").alias("ptr"), F.col("ptr").alias("next")), "ptr", "inner", hot)
-            later = sc.save(step.select("node", F.col("next").alias("ptr")), "active")
-            sc.drop(active)
-            active, before = later, (total, image)
-            total, image, hot = pointer_stats(active, total)
+            if paths:
+                todo = state.where(~F.col("done"))
+                ahead = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("seg").alias("seg2"), F.col("done").alias("done2"))
+                step = lookup_join(todo, ahead, "ptr", "left", hot).select(
+                    "node",
+                    F.coalesce("ptr2", "ptr").alias("ptr"),
+                    F.when(F.col("ptr2").isNull(), F.col("seg")).otherwise(F.concat("seg", "seg2")).alias("seg"),
+                    (F.col("ptr2").isNull() | F.col("done2")).alias("done"),
+                ).unionByName(state.where("done"))
+            else:
+                # A pointer to a node that is itself resolved, or has no parent, ends at a root: the node leaves.
+                ahead = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"))
+                step = lookup_join(state, ahead, "ptr", "inner", hot).select("node", F.col("next").alias("ptr"))
+            later = sc.save(step, "pointers")
+            sc.drop(state)
+            state, before = later, (total, image)
+            total, image, hot = pointer_stats(state.where(~F.col("done")) if paths else state, total)
             # No node left: all that remain lead into circles. No target less either: each target is on a circle,
             # as doubling then permutes the targets.
             if (total, image) == before:
                 break
-        if not total:
-            return active.select("node", F.col("ptr").alias("cycle_name")).limit(0)
-        on_ring = active.select(F.col("ptr").alias("node")).distinct()
-        # On a circle, the smallest name within reach doubles its reach until nothing changes.
-        ring = sc.save(on_ring.join(self.links, "node").select("node", F.col("parent").alias("ptr"), F.least("node", "parent").alias("low")), "ring")
-        sc.drop(active)
-        while True:
-            ahead = ring.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"), F.col("low").alias("low2"))
+        if paths:
+            return state.where("done").drop("done"), state.where(~F.col("done")).drop("done")
+        return None, state
+
+    def _order_rings(self, left: DataFrame) -> DataFrame:
+        sc = self.scratch
+        ring = left.select(F.col("ptr").alias("node")).distinct().join(self.links, "node")
+        low = F.least("node", "parent").alias("low")
+        ring = sc.save(ring.select("node", F.col("parent").alias("ptr"), low, F.when(F.col("node") <= F.col("parent"), 0).otherwise(1).alias("steps"), F.lit(1).alias("span")), "ring")
+        # The smallest name within reach doubles its reach until nothing changes.
+        while not ring.isEmpty():
+            ahead = ring.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"), F.col("low").alias("low2"), F.col("steps").alias("steps2"), F.col("span").alias("span2"))
+            nearer = F.col("low2") < F.col("low")
             step = ring.join(ahead, "ptr").select(
-                "node", F.col("next").alias("ptr"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved")
-            )
+                "node", F.col("next").alias("ptr"), F.least("low", "low2").alias("low"), F.when(nearer, F.col("span") + F.col("steps2")).otherwise(F.col("steps")).alias("steps"),
+                (F.col("span") + F.col("span2")).alias("span"), nearer.alias("moved"),
+            )
             later = sc.save(step, "ring")
-            moved = later.where("moved").limit(1).count()
             sc.drop(ring)
             ring = later
-            if not moved:
-                return ring.select("node", F.col("low").alias("cycle_name"))
+            if ring.where("moved").isEmpty():
+                break
+        return ring.select("node", F.col("low").alias("cycle_name"), "steps")
 
     def nodes(self) -> DataFrame:
         """(node, root, depth, path, status, cycle_name): one row per name that occurs in a link.
@@ -107,41 +134,27 @@ class Hierarchy:
         """
         if self._nodes is not None:
             return self._nodes
-        sc, cycles = self.scratch, self.cycles()
-        # Circles are cut open at each of their nodes: these become tops, and the rest is a forest.
-        start = self.links.join(cycles, "node", "left_anti").select(
-            "node", F.col("parent").alias("ptr"), F.array("parent").alias("seg"), F.lit(False).alias("done")
+        resolved, left = self._double(paths=True)
+        if self._rings is None:
+            self._rings = self._order_rings(left)
+        cycles = self.cycles()
+        none = F.lit(None).cast("string")
+        tree = resolved.select(
+            "node", F.col("ptr").alias("root"), F.size("seg").alias("depth"), F.concat(F.array("node"), "seg").alias("path"), F.lit("tree").alias("status"), none.alias("cycle_name")
         )
-        state = sc.save(start, "paths")
-        left, _, hot = pointer_stats(state, None)
-        while left:
-            todo = state.where(~F.col("done"))
-            ahead = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("seg").alias("seg2"), F.col("done").alias("done2"))
-            step = lookup_join(todo, ahead, "ptr", "left", hot).select(
-                "node",
-                F.coalesce("ptr2", "ptr").alias("ptr"),
-                F.when(F.col("ptr2").isNull(), F.col("seg")).otherwise(F.concat("seg", "seg2")).alias("seg"),
-                (F.col("ptr2").isNull() | F.col("done2")).alias("done"),
-            )
-            later = sc.save(step.unionByName(state.where("done")), "paths")
-            sc.drop(state)
-            state = later
-            left, _, hot = pointer_stats(state.where(~F.col("done")), left)
-        mark = cycles.select(F.col("node").alias("ptr"), "cycle_name")
-        below = lookup_join(state.drop("done"), mark, "ptr").select(
-            "node",
-            F.when(F.col("cycle_name").isNull(), F.col("ptr")).alias("root"),
-            F.size("seg").alias("depth"),
-            F.concat(F.array("node"), "seg").alias("path"),
-            F.when(F.col("cycle_name").isNull(), F.lit("tree")).otherwise(F.lit("into_cycle")).alias("status"),
-            "cycle_name",
+        # Where a path first meets a circle it is cut.
+        outside = left.join(cycles, "node", "left_anti")
+        passed = self.scratch.save(outside.select("node", F.posexplode("seg").alias("at", "ptr")), "passed")
+        met = lookup_join(passed, cycles.withColumnRenamed("node", "ptr"), "ptr", "inner").groupBy("node").agg(F.min(F.struct("at", "cycle_name")).alias("m"))
+        cut = F.slice("seg", 1, F.col("m.at") + 1)
+        into = outside.join(met, "node").select(
+            "node", none.alias("root"), (F.col("m.at") + 1).alias("depth"), F.concat(F.array("node"), cut).alias("path"), F.lit("into_cycle").alias("status"), "m.cycle_name"
         )
         tops = self.links.select(F.col("parent").alias("node")).distinct().join(self.links, "node", "left_anti")
         alone = F.array("node").alias("path")
-        none = F.lit(None).cast("string")
         roots = tops.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), alone, F.lit("tree").alias("status"), none.alias("cycle_name"))
-        rings = cycles.select("node", none.alias("root"), F.lit(0).alias("depth"), alone, F.lit("cycle").alias("status"), "cycle_name")
-        self._nodes = union_all([below, roots, rings])
+        on = cycles.select("node", none.alias("root"), F.lit(0).alias("depth"), alone, F.lit("cycle").alias("status"), "cycle_name")
+        self._nodes = union_all([tree, into, roots, on])
         return self._nodes
 
     def descendants(self) -> DataFrame:

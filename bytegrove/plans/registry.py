@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bytegrove.plans import problems
+from bytegrove.plans import graph, problems
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
+QUERIES = {**problems.QUERIES, **graph.QUERIES}
+ORACLE = {**problems.ORACLE, **graph.ORACLE}
