@@ -245,7 +245,7 @@ def _period(text: str, lo: int, hi: int, i: int, end: int, j: int, brackets: dic
     f = ["bias", f"next={kind}"]
     m = _TOKEN_BEFORE.search(text, max(lo, i - 30), i)
     word = regex.sub(r"\p{Cf}+", "", m.group()) if m else ""
-    low = word.lower().lstrip("'’-")
+    low = regex.split(r"['’-]", word.lower().strip("'’-"))[-1]  # l’art. is art.
     if "…" in c or c.startswith(".."):
         f += ["ellipsis", f"ellipsis&{kind}"]
         if _CASELESS.match(text, i - 1):
