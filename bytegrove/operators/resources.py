@@ -62,7 +62,7 @@ def element_order(elements: DataFrame) -> DataFrame:
     """
     e = elements.select("cp_idx", "parent_idx", F.coalesce("idx_in_parent", "cp_idx").alias("i"), (F.col("kind") == "module").alias("module"))
     e = e.join(e.select(F.col("cp_idx").alias("parent_idx"), F.lit(True).alias("known")), "parent_idx", "left")
-    done = e.where("known is null").select("cp_idx", F.col("module").alias("m"), F.array("i").alias("key"))
+    done = e.where("known is null").select("cp_idx", F.col("module").alias("m"), F.array("cp_idx").alias("key"))
     level, out = done, done
     for _ in range(64):
         level = e.where("known").join(level.select(F.col("cp_idx").alias("parent_idx"), "m", "key"), "parent_idx").select("cp_idx", F.col("m"), F.concat("key", F.array("i")).alias("key"))

@@ -358,7 +358,7 @@ UNION ALL SELECT DISTINCT 'any', related, CAST(NULL AS BOOLEAN) FROM car WHERE c
     "a5_last_modified": "SELECT strftime(max(mtime), '%Y-%m-%d %H:%M:%S') AS last_modified, bool_or(mtime > TIMESTAMP '2024-06-01') AS any_modified FROM cp_elements",
     "a8_modifier_union": f"SELECT {sql_class_name('class_name')} AS class_name, bit_or(modifiers) AS modifiers FROM classes GROUP BY 1",
     "s11_element_order": """WITH RECURSIVE e AS (SELECT cp_idx, parent_idx, coalesce(idx_in_parent, cp_idx) AS i, kind = 'module' AS m FROM cp_elements),
-t AS (SELECT cp_idx, m, [i] AS key FROM e WHERE parent_idx IS NULL OR parent_idx NOT IN (SELECT cp_idx FROM e) UNION ALL SELECT e.cp_idx, t.m, list_append(t.key, e.i) FROM e JOIN t ON e.parent_idx = t.cp_idx)
+t AS (SELECT cp_idx, m, [cp_idx] AS key FROM e WHERE parent_idx IS NULL OR parent_idx NOT IN (SELECT cp_idx FROM e) UNION ALL SELECT e.cp_idx, t.m, list_append(t.key, e.i) FROM e JOIN t ON e.parent_idx = t.cp_idx)
 SELECT cp_idx, CAST(row_number() OVER (ORDER BY m DESC, key, cp_idx) - 1 AS INTEGER) AS position FROM t""",
     "g18_dependencies": _with(*_MEMBERS_SQL, _DEPS) + "SELECT src, dst FROM deps",
     "g19_reverse_dependencies": _with(*_MEMBERS_SQL, _DEPS) + "SELECT dst AS class_name, count(*) AS n, min(src) AS first, max(src) AS last FROM deps GROUP BY dst",

@@ -31,12 +31,20 @@ class DotOptions:
     external: bool = False
 
 
+#: Characters and the HTML entities that stand for them, the ampersand first. Fixed values.
+ENTITIES = {
+    "&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#x27;", "\\": "&#x5C;", "/": "&#x2F;",
+    "\u2014": "&mdash;", "\u2013": "&ndash;", "\u201c": "&ldquo;", "\u201d": "&rdquo;", "\u2018": "&lsquo;", "\u2019": "&rsquo;",
+    "\u00ab": "&laquo;", "\u00bb": "&raquo;", "\u00a3": "&pound;", "\u00a9": "&copy;", "\u00ae": "&reg;", "\u00a0": "&nbsp;",
+}
+
+
 def html_escape(c: Column | str) -> Column:
-    """Label text safe within HTML-like labels; line breaks and blanks stay."""
+    """Label text safe within HTML-like labels; white space and control characters become blanks."""
     c = F.col(c) if isinstance(c, str) else c
-    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"), ("\\", "&lsol;"), ("/", "&#x2F;"), (" ", "&nbsp;")):
+    for raw, safe in ENTITIES.items():
         c = F.replace(c, F.lit(raw), F.lit(safe))
-    return c
+    return F.regexp_replace(c, r"(?U)[\s\x00-\x1f]", " ")
 
 
 def _types(df: DataFrame, kind: str) -> DataFrame:

@@ -258,8 +258,8 @@ def directory_entries(spark: SparkSession, root: str) -> DataFrame:
     rel = F.regexp_replace("path", r"^[a-z0-9]+:/*", "")
     rel = F.substring(rel, len(at) + 2, 1 << 20)
     parts = F.split(rel, "/")
-    n = F.size(parts)
-    key = F.array_join(F.transform(parts, lambda s, i: F.concat(F.when(i == n - 1, F.lit("0")).otherwise(F.lit("1")), s)), "\x01")
+    above = F.slice(parts, 1, F.size(parts) - 1)
+    key = F.array_join(F.concat(F.transform(above, lambda s: F.concat(F.lit("1"), s)), F.array(F.concat(F.lit("0"), F.element_at(parts, -1)))), "\x01")
     return files.select(F.lit(root).alias("element"), rel.alias("path"), "length", "mtime", key.alias("order_key"), F.lower(rel).endswith(".class").alias("is_classfile"))
 
 
