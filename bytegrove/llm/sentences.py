@@ -61,8 +61,8 @@ THAI_FINAL = ("ครับ", "ค่ะ", "คะ", "จ้ะ", "ขอรั
 PRIOR = {
     "bias": 1.0, "sure": 9.0, "next=upper": 2.0, "next=lower": -5.0, "next=digit": 0.0, "next=other": 0.5, "next=end": 6.0,
     "never": -7.0, "never&upper": 0.0, "maybe": -1.5, "maybe&upper": 2.5, "initial": -6.0, "inner": -1.5, "inner&upper": 0.5,
-    "number": 0.0, "number&ordinal": -8.0, "number&lower": -3.0, "short": -1.0, "glued": -0.5, "glued&lower": -6.0,
-    "ellipsis": -3.0, "ellipsis&upper": 2.0, "quote": 0.5, "quote&lower": -6.0, "quote&other": -6.0, "quote&digit": -2.0,
+    "number": 0.0, "number&ordinal": -8.0, "number&lower": -3.0, "short": -1.0, "glued": -0.5, "glued&lower": -6.0, "acronym": -9.0,
+    "ellipsis": -3.0, "ellipsis&upper": 2.0, "quote": 0.5, "quote&upper": 3.0, "quote&lower": -9.0, "quote&other": -9.0, "quote&digit": -4.0, "quote&end": 9.0,
     "space": -6.0, "space&final": 13.0, "devanagari": -7.0, "caseless": -7.0, "greek;": 8.0, "long": 1.0,
 }
 
@@ -203,7 +203,8 @@ def candidates(text: str, lo: int, hi: int) -> tuple[list[Candidate], list[tuple
             if spaced or k == "end":
                 gap = _SPACE.match(text, b, hi).end()
                 dash = gap < hi and text[gap] in "–—-"
-                out.append(Candidate(b, ("bias", "quote", f"next={k}", f"quote&{'lower' if dash else k}"), "”", _word(text, j, hi), j >= hi))
+                # Its own features only: without letter case nothing tells that a sentence goes on, so it is taken to.
+                out.append(Candidate(b, ("quote", f"quote&{'lower' if dash else k}"), "”", _word(text, j, hi), j >= hi))
             continue
         if c[0].isspace():
             before = text[max(lo, i - 8) : i]
@@ -254,6 +255,8 @@ def _period(text: str, lo: int, hi: int, i: int, end: int, j: int, brackets: dic
     key = low
     if glued:
         f += ["glued", f"glued&{kind}"]
+        if text[end + 1 : end + 2] == ".":
+            f.append("acronym")  # N.R.A.
     if word[:1].isdigit() or (word and word[-1].isdigit()):
         prev = _WORD.findall(text[max(lo, m.start() - 25) : m.start()])
         before = prev[-1].lower() if prev else ""
@@ -262,12 +265,12 @@ def _period(text: str, lo: int, hi: int, i: int, end: int, j: int, brackets: dic
         # An ordinal: an article or preposition before the number and more of the noun phrase after it.
         if before in BEFORE_ORDINAL and word.isdigit() and len(word) <= 2 and text[m.start() - 1 : m.start()].isspace() and not text[:m.start()].rstrip().endswith("."):
             f.append("number&ordinal")
+    elif len(word) == 1 and word.isupper():
+        f.append("initial")
     elif low in NEVER_FINAL and not (low in MAYBE_FINAL):
         f += ["never", f"never&{kind}"]
     elif low in MAYBE_FINAL:
         f += ["maybe", f"maybe&{kind}"]
-    elif len(word) == 1 and word.isupper():
-        f.append("initial")
     elif "." in low:
         f += ["inner", f"inner&{kind}"]
     elif len(low) <= 2:
@@ -338,6 +341,8 @@ class Model:
             n, k = total[c.token], final[c.token]
             if last:
                 rows.append((c.features, 1.0))
+            elif "quote" in c.features:
+                continue
             elif "next=lower" in c.features or ("next=digit" in c.features and not k):
                 rows.append((c.features, 0.0))
             elif n >= TYPE_COUNT and not k:

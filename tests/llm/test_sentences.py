@@ -7,12 +7,12 @@ from bytegrove.llm.sentences import PRIOR, Model, fit_model, split_sentences, un
 MODEL = Model(dict(PRIOR))
 
 CASES = {
-    "en": ["Mr. Chairman, the Dept. of Roads rose at 9.30 a.m. with p. 4.", "(Applause.)", "[The bell rang. Order was restored.]", "It costs 5.12 crowns, i.e. little.", "Dr. A. B. Cole said: “It is over. We wait.” and sat down.", "So be it!"],
+    "en": ["Mr. Chairman, the Dept. of Roads rose at 9.30 a.m. with p. 4.", "(Applause.)", "[The bell rang. Order was restored.]", "It costs 5.12 crowns, i.e. little.", "Dr. A. H. Cole said: “It is over. We wait.” and sat down.", "The N.R.A. and he met at 4 p.m. (Applause.) at last.", "He asked \"Who pays? We won't.\"", "We stay, etc.", "So be it!"],
     "de": ["Der 23. Bericht liegt vor, vgl. S. 436.", "Das gilt z. B. auch am 14. Mai.", "(Heiterkeit bei der Opposition)", "Hat Abg. Ralin gefragt: „Es reicht. Wir warten.“?", "Ja."],
     "fr": ["M. D. Falov a répondu : « Non. Jamais. » avant de partir.", "Que fait la chambre ?", "L’art. 5, al. 2, prévoit 15,58 % ; c’est un fait."],
     "es": ["¡Eso no es cierto!", "¿Qué hace Sr. Talow, p. ej. hoy?", "(El Sr. Kelis: ¡Muy bien!)", "Véase la pág. 356."],
     "el": ["Τι κάνει το υπουργείο;", "Ο κ. Πιζας είπε: «Ναι. Όχι.» και έφυγε.", "Συζητούμε· αυτό ισχύει."],
-    "hi": ["डॉ. चिचो ने कहा (पृ. 263 देखें)।", "यह सच नहीं है!", "क्या यह सच है?"],
+    "hi": ["डॉ. चिचो ने कहा (पृ. 263 देखें)।", "सितोह ने कहा, “बात खत्म। हम नहीं रुकेंगे।” और बैठ गए।", "यह सच नहीं है!", "क्या यह सच है?"],
 }
 
 
@@ -64,6 +64,14 @@ def test_on_documents(spark):
     assert fit_model(docs).weights["sure"] == PRIOR["sure"]
 
 
+def test_fitting_changes_little_of_what_is_known(spark, sf_dir):
+    """Whatever it is fitted on, the model agrees on plain cases."""
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 0").orderBy("doc_id").collect()]
+    model = Model.fit(texts)
+    for case in CASES.values():
+        assert [x for x in map(lambda s: " ".join(case)[s[0] : s[1]], units(" ".join(case), model))] == case
+
+
 def test_held_out_accuracy(spark, sf_dir):
     """Fitted on some documents, the model finds the paragraph ends of others when these are joined by a blank."""
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 300").orderBy("doc_id").collect()]
