@@ -75,3 +75,35 @@ def element_order(elements: DataFrame) -> DataFrame:
 def modification(elements: DataFrame, since: str, mtime: str = "mtime") -> DataFrame:
     """(last_modified, any_modified): the latest time of change, and whether any is after ``since``."""
     return elements.agg(F.date_format(F.max(mtime), "yyyy-MM-dd HH:mm:ss").alias("last_modified"), F.coalesce(F.bool_or(F.col(mtime) > F.to_timestamp(F.lit(since))), F.lit(False)).alias("any_modified"))
+
+
+def select_resources(
+    resources: DataFrame, *, path: str | None = None, leaf: str | None = None, extension: str | None = None, regex: str | None = None, glob: str | None = None, classfiles: bool | None = None
+) -> DataFrame:
+    """Resources by exact path, file name, extension (any case, without dot), full-match pattern, or glob; all given must hold."""
+    from bytegrove.functions.globs import glob_to_regex
+
+    c, out = F.col("path"), resources
+    name = F.element_at(F.split(c, "/"), -1)
+    if path is not None:
+        out = out.where(c == path.strip("/"))
+    if leaf is not None:
+        out = out.where(name == leaf)
+    if extension is not None:
+        out = out.where(F.lower(name).endswith("." + extension.lstrip(".").lower()))
+    if regex is not None:
+        out = out.where(c.rlike(f"^(?:{regex})$"))
+    if glob is not None:
+        out = out.where(c.rlike(glob_to_regex(glob)))
+    if classfiles is not None:
+        out = out.where(F.lower(c).endswith(".class") == classfiles)
+    return out
+
+
+def elements_with_paths(elements: DataFrame, resources: DataFrame, accept: list[str] = (), reject: list[str] = ()) -> DataFrame:
+    """Elements that contain an accepted path (any, if none is named) and no rejected one."""
+    if accept:
+        elements = elements.join(resources.where(F.col("path").isin(*accept)).select("cp_idx").distinct(), "cp_idx", "left_semi")
+    if reject:
+        elements = elements.join(resources.where(F.col("path").isin(*reject)).select("cp_idx").distinct(), "cp_idx", "left_anti")
+    return elements

@@ -193,6 +193,47 @@ def k9_node_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return node_contents(Catalog.load(spark, sf_dir))
 
 
+def g12_annotation_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotation instances of each class by how it comes to them."""
+    return Relations(Catalog.load(spark, sf_dir, SCOPE)).annotation_instances().select("class_name", "annotation", "directness").distinct()
+
+
+def sig_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared methods with their generic signature in words and its erasure."""
+    from bytegrove.operators.signatures import method_signatures
+
+    return method_signatures(Catalog.load(spark, sf_dir))
+
+
+def g16_type_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bytegrove.operators.signatures import supertype_arguments
+
+    return supertype_arguments(Relations(Catalog.load(spark, sf_dir)))
+
+
+def s8_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest entries of elements, with the module name that each would have: declared, named in the manifest, or derived."""
+    from bytegrove.functions.paths import automatic_module_name_column
+    from bytegrove.sources.tables import table
+
+    e = table(spark, sf_dir, "cp_elements")
+    name = F.coalesce("module_name", F.element_at("manifest", "Automatic-Module-Name"), automatic_module_name_column("uri"))
+    return e.select("cp_idx", name.alias("module_name"), F.coalesce(F.size("manifest"), F.lit(0)).alias("n_manifest"), F.element_at("manifest", "Bundle-Name").alias("bundle"))
+
+
+def f14_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resources by path, file name, extension and pattern."""
+    from bytegrove.operators.resources import select_resources
+
+    r = _resources(spark, sf_dir)
+    parts = {"extension": {"extension": "CLASS"}, "regex": {"regex": ".*/[A-C][a-zA-Z]*X[0-9a-z]+\\.class"}, "glob": {"glob": "*/*/*/*.class", "classfiles": True}, "leaf": {"leaf": "RosterReaderX0.class"}, "path": {"path": "/fennik/tariff/intern/RosterReaderX0.class"}}
+    out = None
+    for k, how in parts.items():
+        df = select_resources(r, **how).select(F.lit(k).alias("how"), "cp_idx", "path")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
 def a8_modifier_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags of a class OR-ed over all rows that describe it."""
     from bytegrove.functions.names import class_name
@@ -218,13 +259,13 @@ QUERIES = {
     "g10_with_param_annotation": _rel("with_member_annotation", "method_param_ann"),
     "g11_method_annotations": _rel("member_annotations", "method_ann"), "g11_field_annotations": _rel("member_annotations", "field_ann"),
     "g11_param_annotations": _rel("member_annotations", "method_param_ann"),
-    "g12_annotation_instances": _rel("annotation_instances"), "g13_package_tree": _rel("package_tree"),
+    "g13_package_tree": _rel("package_tree"),
     "w3_methods": _members("methods"), "w4_fields": _members("fields"), "a3_overloads": _members("overloads"), "a9_single_methods": _members("single"), "j8_thrown": _members("thrown"),
 } | {
     f.__name__: f
     for f in (
         f2_kinds, f3_visible, f4_path_status, f14_globs, f16_has, f17_modifiers, u_set_operations, u_assignable, j2_placeholders, j4_membership, w1_masking,
-        a1_resources_by_path, a2_duplicate_paths, a5_last_modified, a8_modifier_union, s11_element_order, g18_dependencies, g19_reverse_dependencies, k1_dot_edges, k9_node_labels,
+        f14_selections, g12_annotation_instances, g16_type_arguments, s8_manifests, sig_methods, a1_resources_by_path, a2_duplicate_paths, a5_last_modified, a8_modifier_union, s11_element_order, g18_dependencies, g19_reverse_dependencies, k1_dot_edges, k9_node_labels,
     )
 }
 
@@ -328,6 +369,28 @@ LEFT JOIN edges_ e ON e.rel = 'implements' AND e.src = a.root AND e.dst = a.node
     + """SELECT root AS class_name, name, descriptor, b.node AS declared_in, b.modifiers AS modifiers FROM (
   SELECT root, name, descriptor, min({'branch': r[1], 'depth': r[2], 'node': node, 'modifiers': m.modifiers}) AS b FROM lines JOIN methods_ m ON m.class_name = lines.node
   WHERE name <> '<clinit>' AND (name <> '<init>' OR root = node) GROUP BY root, name, descriptor)""",
+    "w4_fields": _with(_depth("extends", "w_up"), _depth("implements", "w_im"), "own AS (SELECT root, node, min(depth) AS depth FROM w_im GROUP BY root, node), sup AS (SELECT root, node, min(depth) AS depth FROM w_up GROUP BY root, node)", SQL_FIELDS)
+    + """, lines AS (SELECT root, node, min([level, step]) AS r FROM (
+  SELECT class_name AS root, class_name AS node, 0 AS level, 0 AS step FROM classes_ UNION ALL SELECT root, node, depth, 0 FROM sup WHERE root <> node
+  UNION ALL SELECT root, node, 0, depth FROM own UNION ALL SELECT s.root, o.node, s.depth, o.depth FROM sup s JOIN own o ON o.root = s.node) GROUP BY root, node)
+SELECT root AS class_name, name, b.descriptor AS descriptor, b.node AS declared_in FROM (
+  SELECT root, name, min({'level': r[1], 'step': r[2], 'node': node, 'descriptor': descriptor}) AS b FROM lines JOIN fields_ f ON f.class_name = lines.node GROUP BY root, name)""",
+    "k9_node_labels": _with(*_MEMBERS_SQL) + f"""SELECT c.class_name, CASE WHEN {_KIND['ann']} THEN 'oval' WHEN {_KIND['itf']} THEN 'diamond' ELSE 'box' END AS shape,
+coalesce(annotations, '') AS annotations, coalesce(fields, '') AS fields, coalesce(methods, '') AS methods FROM classes_ c
+LEFT JOIN (SELECT class_name, string_agg(t, ' ' ORDER BY t) AS annotations FROM (SELECT DISTINCT class_name, regexp_replace(annotation, '^.*\\.', '') AS t FROM annotations_ WHERE target_kind = 'class' AND NOT starts_with(annotation, '{R.JAVA_META}')) GROUP BY class_name) a ON a.class_name = c.class_name
+LEFT JOIN (SELECT class_name, string_agg(t, ' ' ORDER BY t) AS fields FROM (SELECT DISTINCT class_name, concat_ws(':', name, descriptor) AS t FROM fields_ WHERE name <> 'serialVersionUID') GROUP BY class_name) f ON f.class_name = c.class_name
+LEFT JOIN (SELECT class_name, string_agg(t, ' ' ORDER BY t) AS methods FROM (SELECT DISTINCT class_name, name || descriptor AS t FROM methods_ WHERE name <> '<clinit>' AND name || descriptor NOT IN ('hashCode()I', 'toString()Ljava/lang/String;', 'equals(Ljava/lang/Object;)Z')) GROUP BY class_name) m ON m.class_name = c.class_name
+WHERE NOT is_external""",
+    "g12_annotation_instances": _with(_depth("extends", "w_up"), _closure("class_ann"), SQL_ANNOTATIONS) + f""", a AS (SELECT DISTINCT class_name, annotation FROM annotations_ WHERE target_kind = 'class'),
+inh AS (SELECT class_name AS annotation FROM classes_ WHERE inherited_meta),
+above AS (SELECT DISTINCT w.root AS class_name, a.annotation FROM w_up w JOIN a ON a.class_name = w.node WHERE a.annotation IN (SELECT annotation FROM inh) AND (w.root, a.annotation) NOT IN (SELECT (class_name, annotation) FROM a)),
+base AS (SELECT class_name, annotation, 0 AS directness FROM a UNION ALL SELECT class_name, annotation, 1 FROM above),
+meta AS (SELECT DISTINCT b.class_name, c.node AS annotation FROM base b JOIN c_class_ann c ON c.root = b.annotation WHERE NOT starts_with(c.node, '{R.JAVA_META}') AND (b.directness = 0 OR c.node IN (SELECT annotation FROM inh)))
+SELECT class_name, annotation, directness FROM base UNION ALL SELECT class_name, annotation, 2 FROM meta WHERE (class_name, annotation) NOT IN (SELECT (class_name, annotation) FROM base)""",
+    "s8_manifests": r"""SELECT cp_idx, coalesce(module_name, manifest['Automatic-Module-Name'], regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(uri, '^.*/', ''), '\.[A-Za-z]+$', ''), '-\d+(\.|$).*$', ''), '[^A-Za-z0-9]', '.', 'g'), '\.+', '.', 'g'), '^\.|\.$', '', 'g')) AS module_name,
+CAST(coalesce(cardinality(manifest), 0) AS INTEGER) AS n_manifest, manifest['Bundle-Name'] AS bundle FROM cp_elements""".replace("\\\\", "\\"),
+    "f14_selections": f"""WITH {_RES} SELECT 'extension' AS how, cp_idx, path FROM res WHERE ends_with(lower(path), '.class') UNION ALL SELECT 'regex', cp_idx, path FROM res WHERE regexp_full_match(path, '.*/[A-C][a-zA-Z]*X[0-9a-z]+\\.class')
+UNION ALL SELECT 'glob', cp_idx, path FROM res WHERE regexp_full_match(path, '[^/]*/[^/]*/[^/]*/[^/]*\\.class') UNION ALL SELECT 'leaf', cp_idx, path FROM res WHERE ends_with(path, '/RosterReaderX0.class') UNION ALL SELECT 'path', cp_idx, path FROM res WHERE path = 'fennik/tariff/intern/RosterReaderX0.class'""",
     "a3_overloads": f"WITH {SQL_METHODS} SELECT class_name, name, count(*) AS n, string_agg(descriptor, ' ' ORDER BY descriptor) AS descriptors FROM methods_ GROUP BY class_name, name",
     "a9_single_methods": f"WITH {SQL_METHODS} SELECT class_name, name, descriptor FROM (SELECT *, count(*) OVER (PARTITION BY class_name, name) AS n FROM methods_) WHERE n = 1",
     "j8_thrown": _with(SQL_METHODS) + f"SELECT * FROM (SELECT {sql_class_name('t')} AS thrown, class_name, name, descriptor, CAST(pos AS INTEGER) AS pos FROM (SELECT class_name, name, descriptor, unnest(thrown) AS t, unnest(range(len(thrown))) AS pos FROM methods_)) WHERE thrown IN (SELECT class_name FROM classes_)",

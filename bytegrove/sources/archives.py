@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bytegrove.functions.paths import ARCHIVE, REMOTE, has_scheme, sanitize
-from bytegrove.sources.manifest import parse_manifest
+from bytegrove.sources.manifest import child_paths, parse_manifest
 
 #: Directories within archives. Fixed values of packaging formats.
 PACKAGE_ROOTS = ("BOOT-INF/classes/", "WEB-INF/classes/", "test-classes/", "classes/")
@@ -177,8 +177,9 @@ def list_archive(f, element: str, nested: str, o: ArchiveOptions) -> Iterator[di
                 rows[path] = row
         yield from rows.values()
         if o.nested:
+            bundled = {sanitize(p) for p in child_paths(manifest)}
             for name, i in infos.items():
-                if ARCHIVE.search(name) and name.startswith(LIB_DIRS) and _names_ok(name, o):
+                if ARCHIVE.search(name) and (name.startswith(LIB_DIRS) or name in bundled) and _names_ok(name, o):
                     chain = f"{nested}!/{name}" if nested else name
                     try:
                         inner = spool(z, i)
@@ -301,3 +302,31 @@ def _info(z: zipfile.ZipFile, name: str) -> zipfile.ZipInfo:
             index.setdefault(sanitize(i.filename), i)
         z.by_clean_name = index
     return index[name]
+
+
+def map_contents(entries: DataFrame, function, schema: str, *, strict: bool = True, options: ArchiveOptions = ArchiveOptions()) -> DataFrame:
+    """``function(path, content)`` of each entry gives the rows of ``schema`` as tuples, on the tasks that read the contents.
+
+    An entry that can't be read ends the job if ``strict``, and is left out otherwise.
+    """
+    from pyspark.sql.types import StructType
+
+    target = StructType.fromDDL(schema)
+
+    def handle(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, part = to_arrow_schema(target), []
+        for _, _, path, _, data, error in rows:
+            if error is not None:
+                if strict:
+                    raise OSError(f"{path}: {error}")
+                continue
+            part.extend(function(path, data))
+            if len(part) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), arrow)], schema=arrow)
+                part = []
+        if part:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), arrow)], schema=arrow)
+
+    return read_entries(entries, handle, schema, options)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from bytegrove.catalog import Catalog, Scope
 from bytegrove.functions.globs import Filter
 from bytegrove.functions.names import package_of, path_to_class
-from bytegrove.operators.resources import mask_classes
+from bytegrove.functions.paths import ARCHIVE, has_scheme, sanitize
+from bytegrove.operators.resources import element_order, mask_classes
 from bytegrove.scratch import Scratch
 from bytegrove.sources.archives import ArchiveOptions, archive_files, list_entries, read_entries
 from bytegrove.sources.classfile import ClassFile, ClassFormatError
@@ -30,6 +33,8 @@ class ScanConfig:
     invisible_annotations: bool = True
     external_classes: bool = False
     extend_to_external: bool = True
+    #: Scan archives that manifests name in Class-Path too.
+    follow_class_path: bool = True
     reads: frozenset[str] = field(default_factory=lambda: frozenset({"class", "field", "method", "annotation", "refs"}))
     archives: ArchiveOptions = ArchiveOptions()
 
@@ -63,6 +68,8 @@ def _ddl(t: pa.DataType) -> str:
 
 
 CLASS_DDL = ", ".join(f"{f.name} {_ddl(f.type)}" for f in _CLASS)
+#: Archives within an archive come after those that its manifest names.
+NESTED_LAST = 1 << 20
 #: Parsed classes per batch handed to the JVM.
 BATCH = 500
 
@@ -109,11 +116,24 @@ class Scan:
         sc = self.scratch = Scratch(spark, "scan")
         files = archive_files(spark, paths, config.archives)
         listed = sc.save(list_entries(files, config.archives), "listed")
+        links: DataFrame | None = None
+        if config.follow_class_path:
+            listed, links = self._follow(listed)
         self.errors_listing = listed.where("error is not null").select("element", "nested", "error")
-        # Elements in order: archives by the place of their path in the request and by name, nested ones after their own.
+        # A first number by the place of the path in the request and by name; then parents before what they bring along.
         place = F.coalesce(*(F.when(F.regexp_replace("element", r"^file:/*", "/").startswith(p.removeprefix("file:").rstrip("/")), i) for i, p in enumerate(paths)), F.lit(len(paths)))
         el = listed.groupBy("element", "nested").agg(F.first("manifest", ignorenulls=True).alias("manifest"))
-        el = el.withColumn("cp_idx", (F.row_number().over(Window.orderBy(place, "element", F.length(F.regexp_replace("nested", "[^!]", "")), "nested")) - 1).cast("int"))
+        el = el.withColumn("id", (F.row_number().over(Window.orderBy(place, "element", F.length(F.regexp_replace("nested", "[^!]", "")), "nested")) - 1).cast("int"))
+        el = sc.save(el, "numbered")
+        inside = el.where("nested <> ''").select("element", F.regexp_replace("nested", r"(^|!/)[^!]*$", "").alias("up"), F.col("id").alias("cp_idx"), (F.col("id") + NESTED_LAST).alias("i"))
+        parents = inside.join(el.select("element", F.col("nested").alias("up"), F.col("id").alias("parent_idx")), ["element", "up"]).select("cp_idx", "parent_idx", "i")
+        if links is not None:
+            ids = el.where("nested = ''").select("element", "id")
+            by = links.join(ids.withColumnRenamed("id", "cp_idx"), "element").drop("element").join(ids.select(F.col("element").alias("parent"), F.col("id").alias("parent_idx")), "parent")
+            parents = parents.unionByName(by.select("cp_idx", "parent_idx", "i"))
+        order = el.select(F.col("id").alias("cp_idx"), F.lit("zip").alias("kind")).join(parents.withColumnRenamed("i", "idx_in_parent"), "cp_idx", "left")
+        positions = element_order(order).select(F.col("cp_idx").alias("id"), F.col("position").cast("int").alias("cp_idx"))
+        el = el.join(F.broadcast(positions), "id").drop("id")
         if not config.archives.platform:
             el = el.where(~_platform(F.col("manifest")))
         self.elements = sc.save(el, "elements")
@@ -137,6 +157,21 @@ class Scan:
         )
         self.parsed = self.parsed.where("parse_error is null and class_name is not null")
 
+    def _follow(self, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Listings with those of archives that manifests name beside them, and (element, parent, i) for these; the first
+        archive that names another is its parent. Archives that aren't there are passed over."""
+        sc = self.scratch
+        every, newest, links = listed, listed, None
+        while True:
+            named = newest.where("nested = '' and manifest is not null").select(F.col("element").alias("parent"), F.posexplode(_class_path("element", "manifest")).alias("i", "element"))
+            first = named.groupBy("element").agg(F.min(F.struct("parent", "i")).alias("f")).select("element", "f.parent", "f.i")
+            fresh = sc.save(first.join(every.select("element").distinct(), "element", "left_anti"), "named")
+            if fresh.isEmpty():
+                return every, links if links is not None else fresh
+            newest = sc.save(list_entries(fresh, self.config.archives).where("error is null or not error like '%No such file%'"), "listed")
+            links = fresh if links is None else links.unionByName(fresh)
+            every = every.unionByName(newest)
+
     def _extend(self) -> None:
         """Superclasses, interfaces, outer classes, annotations and exceptions outside the accepted packages, until no more
         are found: each round parses only names that were never asked for."""
@@ -222,6 +257,19 @@ def referenced(parsed: DataFrame) -> DataFrame:
     return parsed.where("class_name is not null").select(F.explode(names).alias("class_name")).where("class_name is not null").distinct()
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _class_path(element: pd.Series, manifest: pd.Series) -> pd.Series:
+    """Archives that a manifest's Class-Path names, as locations beside the archive; others than archives are left out."""
+    out = []
+    for e, m in zip(element, manifest):
+        names = [p for p in dict(m).get("class-path", "").split() if ARCHIVE.search(p)]
+        base = e.rsplit("/", 1)[0]
+        scheme = re.match(r"[a-z][a-z0-9+.-]+:/*", base)
+        head = scheme.group() if scheme else "/"
+        out.append([p if has_scheme(p) else head + sanitize((p if p.startswith("/") else f"{base[len(head):]}/{p}")) for p in names])
+    return pd.Series(out)
+
+
 def _platform(manifest):
     m = F.coalesce(manifest, F.create_map().cast("map<string,string>"))
     return (F.coalesce(m["implementation-title"], F.lit("")) == "Java Runtime Environment") | (F.coalesce(m["specification-title"], F.lit("")) == "Java Platform API Specification")

@@ -105,3 +105,15 @@ def test_signatures():
     assert S.render(b["A"]["U"]["t"]) == "java.lang.String[]" and b["I"]["W"]["w"] == "+" and S.render(S.substitute(S.parse_type("TW;"), b["I"])) == "java.lang.String"
     assert S.substitute(S.parse_type("TW;"), {"W": {"w": "-", "t": S.parse_type("Lx/Y;")}}) == S.parse_type("TW;")
     assert S.declaring_parameter("Q", m["params"], c["params"]) == {"name": "Q", "cb": None, "ib": []}
+
+
+def test_lists(spark):
+    from bytegrove.operators import lists
+
+    df = spark.createDataFrame([("b", 2), ("a", 1), ("a", 3), (None, 4)], "class_name string, n int")
+    assert lists.filter_rows(df, df.n > 2).count() == 2 == lists.filter_rows(df, lambda r: r.n % 2 == 0).count()
+    assert [r[0] for r in lists.names(df).collect()] == [None, "a", "b"]
+    assert {r.text for r in lists.as_strings(df, "class_name", "n").collect()} == {"b 2", "a 1", "a 3", "4"}
+    assert lists.only(df.where("n = 2")).class_name == "b" and lists.only(df.where("n = 9")) is None
+    with pytest.raises(ValueError):
+        lists.only(df)

@@ -168,6 +168,42 @@ def test_extension_to_external_classes(spark, jars):
     assert "q.Deep" not in {r.class_name for r in t.catalog().classes.collect()}
 
 
+def test_class_path_is_followed(spark, compiled, tmp_path):
+    one, two = tmp_path / "one", tmp_path / "two"
+    one.mkdir(), two.mkdir()
+    jar([("META-INF/MANIFEST.MF", "Class-Path: ../two/far.jar missing.jar http://no/where\n"), ("BOOT-INF/lib/in.jar", jar([("q/Deep.class", compiled["q/Deep.class"])]))], one / "a.jar")
+    jar([("q/Far.class", compiled["q/Far.class"])], two / "far.jar")
+    jar([("q/Out.class", compiled["q/Out.class"])], one / "b.jar")
+    s = scan(spark, [str(one)])
+    got = [(r.element.rsplit("/", 1)[-1], r.nested) for r in s.elements.orderBy("cp_idx").collect()]
+    assert got == [("a.jar", ""), ("far.jar", ""), ("a.jar", "BOOT-INF/lib/in.jar"), ("b.jar", "")]
+    assert s.errors.count() == 0 and {r.class_name for r in s.parsed.collect()} == {"q.Deep", "q.Far", "q.Out"}
+    assert scan(spark, [str(one)], ScanConfig(follow_class_path=False)).elements.count() == 3
+
+
+def test_contents(spark, tmp_path):
+    from bytegrove.sources.archives import archive_files, list_entries, map_contents
+
+    jar([("a.txt", b"one"), ("b/c.txt", b"three")], tmp_path / "x.jar")
+    entries = list_entries(archive_files(spark, [str(tmp_path)]))
+    got = map_contents(entries, lambda path, data: [(path, len(data))], "path string, n int").collect()
+    assert {tuple(r) for r in got} == {("a.txt", 3), ("b/c.txt", 5)}
+    gone = entries.selectExpr("element", "nested", "path", "'none' as path_in_element", "ord")
+    assert map_contents(gone, lambda p, d: [(p, 0)], "path string, n int", strict=False).count() == 0
+    with pytest.raises(Exception, match="a.txt|c.txt"):
+        map_contents(gone, lambda p, d: [(p, 0)], "path string, n int").count()
+
+
+def test_type_arguments(spark, jars):
+    from bytegrove.operators.signatures import method_signatures, supertype_arguments
+
+    cat = scan(spark, [str(jars)], ScanConfig(accept_packages=("p",))).catalog()
+    got = {(r.class_name, r.supertype, r.variable, r.argument) for r in supertype_arguments(Relations(cat)).collect()}
+    assert ("p.Impl", "p.Base", "T", "java.lang.String") in got
+    text = {(r.name, r.text, r.erased) for r in method_signatures(cat).where("class_name = 'p.Base'").collect()}
+    assert ("get", "(int, T) T", "(ILjava/lang/Object;)Ljava/lang/Object;") in text
+
+
 def test_directory_order(spark, tmp_path):
     for f in ("b/z.txt", "b/a/A.class", "a.txt", "c.txt"):
         (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
