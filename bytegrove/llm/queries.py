@@ -79,7 +79,7 @@ def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_sentences(spark, sf_dir).select("doc_id", "start_pos", "end_pos")
+    return split_sentences(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "start_pos", "end_pos")
 
 
 QUERIES = {

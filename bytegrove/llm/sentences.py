@@ -33,6 +33,19 @@ _SPACE = regex.compile(r"\s*")
 _SKIP = regex.compile(r"[\s\p{Cf}\p{Pi}\p{Ps}\p{Pf}\"'¿¡–—-]*")
 _TOKEN_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}\p{Cf}.’'§-]+$")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}\p{Cf}’'-]+")
+_LABEL = regex.compile(r"[^:：\n]{1,90}?(?:\n[^:：\n]{1,60}?)?\s?[:：]")
+_PARTY = regex.compile(r"\s*[(（][^()（）]*[)）]")
+_NO_LABEL = regex.compile(r"[!?。！？।…;,，、()（）\[\]“”„«»「」\"]")
+_LABEL_WORD = regex.compile(r"[\p{L}\p{M}\p{N}’'.○-]+")
+_NUMBERING = regex.compile(r"(?:\p{L}[\p{L}\p{M}]*[.]?\s?){0,2}第?\s?\d+\s?[\p{L}\p{M}]{0,6}[.。]\s*")
+_ENDS_WITHIN = regex.compile(r"[.!?。！？।…](?:\s|$)|[。！？।]")
+_COLON = regex.compile(r"[:：]\s*")
+_QUOTE_END = regex.compile(r"[.!?。！？।…؟]\s*$")
+_GREEK = regex.compile(r"\p{Greek}")
+_CF = regex.compile(r"\p{Cf}+")
+_DEVANAGARI = regex.compile(r"\p{Devanagari}")
+_NO_CASE = regex.compile(r"[\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}]")
+_THAI_END = regex.compile(r"\p{Thai}$")
 _CASELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 
 #: Fixed word lists: abbreviations that a name, number or rest follows.
@@ -140,16 +153,16 @@ def _SKIP_SPACE(text: str, i: int, hi: int) -> int:
 
 def label_end(text: str, lo: int, hi: int) -> int | None:
     """End of a speaker label at the start of a block, its colon included; None if there is none."""
-    m = regex.compile(r"[^:：\n]{1,90}?(?:\n[^:：\n]{1,60}?)?\s?[:：]").match(text, lo, hi)
+    m = _LABEL.match(text, lo, hi)
     if not m:
         return None
-    name = regex.sub(r"\s*[(（][^()（）]*[)）]", "", m.group()[:-1]).strip()
+    name = _PARTY.sub("", m.group()[:-1]).strip()
     after = _SPACE.match(text, m.end(), hi).end()
     if after < hi and text[after] in QUOTES:
         return None
-    if not name or regex.search(r"[!?。！？।…;,，、()（）\[\]“”„«»「」\"]", name) or name[0].isdigit():
+    if not name or _NO_LABEL.search(name) or name[0].isdigit():
         return None
-    words = regex.findall(r"[\p{L}\p{M}\p{N}’'.○-]+", name)
+    words = _LABEL_WORD.findall(name)
     if not words or len(words) > 7 or any(w[0].isdigit() for w in words):
         return None
     if any(len(w) > 3 and w.endswith(".") and w[:-1].lower() not in NEVER_FINAL for w in words[:-1]):
@@ -169,11 +182,11 @@ def is_heading(text: str, lo: int, hi: int, block: int) -> bool:
     body = text[lo:hi]
     if _TERMINAL.search(body) or body[-1] in ":：;；)）]］\"”»」":
         return False
-    m = regex.match(r"(?:\p{L}[\p{L}\p{M}]*[.]?\s?){0,2}第?\s?\d+\s?[\p{L}\p{M}]{0,6}[.。]\s*", body)
+    m = _NUMBERING.match(body)
     rest = body[m.end() :] if m else body
-    if regex.search(r"[.!?。！？।…](?:\s|$)|[。！？।]", rest):
+    if _ENDS_WITHIN.search(rest):
         return False
-    colon = regex.search(r"[:：]\s*", rest)
+    colon = _COLON.search(rest)
     if colon and not m:
         # "ORDER OF THE DAY: bridge repairs" is one; "Mr. Rosin: I beg to move" isn't.
         return rest[colon.end() : colon.end() + 1].islower() and rest[: colon.start()].isupper() and len(rest[: colon.start()].split()) > 2
@@ -193,7 +206,7 @@ def candidates(text: str, lo: int, hi: int) -> tuple[list[Candidate], list[tuple
             a, b, is_bracket = next(spans)
         if a <= i:
             # The last closing mark of a quotation: a boundary may follow if the quotation ends in final punctuation.
-            if is_bracket or m.end() != b or not regex.search(r"[.!?。！？।…؟]\s*$", text[a : b - 1]):
+            if is_bracket or m.end() != b or not _QUOTE_END.search(text[a : b - 1]):
                 continue
             j = _ahead(text, b, hi, brackets)
             if b < hi and text[b] in ".!?。！？।…,;:，；、":
@@ -223,7 +236,7 @@ def candidates(text: str, lo: int, hi: int) -> tuple[list[Candidate], list[tuple
             continue
         if c[-1] in ";;":
             before = _WORD.findall(text[max(lo, i - 20) : i])
-            if c[-1] == ";" or (before and regex.search(r"\p{Greek}", before[-1])):
+            if c[-1] == ";" or (before and _GREEK.search(before[-1])):
                 j = _ahead(text, end, hi, brackets)
                 out.append(Candidate(end, ("bias", "greek;", f"next={_kind(text, j, hi)}"), ";", _word(text, j, hi), j >= hi))
             continue
@@ -245,8 +258,10 @@ def _period(text: str, lo: int, hi: int, i: int, end: int, j: int, brackets: dic
         return Candidate(end, ("bias", "sure", f"next={kind}"), c, nxt, j >= hi)
     f = ["bias", f"next={kind}"]
     m = _TOKEN_BEFORE.search(text, max(lo, i - 30), i)
-    word = regex.sub(r"\p{Cf}+", "", m.group()) if m else ""
-    low = regex.split(r"['’-]", word.lower().strip("'’-"))[-1]  # l’art. is art.
+    word = m.group() if m else ""
+    if not word.isascii():
+        word = _CF.sub("", word)
+    low = word.lower().strip("'’-").replace("’", "'").replace("-", "'").rsplit("'", 1)[-1]  # l’art. is art.
     if "…" in c or c.startswith(".."):
         f += ["ellipsis", f"ellipsis&{kind}"]
         if _CASELESS.match(text, i - 1):
@@ -277,9 +292,9 @@ def _period(text: str, lo: int, hi: int, i: int, end: int, j: int, brackets: dic
         f.append("short")
     elif len(low) > 5:
         f.append("long")
-    if word and regex.match(r"\p{Devanagari}", word[-1]):
+    if word and _DEVANAGARI.match(word[-1]):
         f.append("devanagari")
-    elif word and regex.match(r"[\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}]", word[-1]):
+    elif word and _NO_CASE.match(word[-1]):
         f.append("caseless")
     f.append("word=" + key)
     f.append("word&next=" + (key if key[:1] == "#" else "") + "|" + nxt if key[:1] == "#" else "")
@@ -333,7 +348,7 @@ class Model:
                     else:
                         seen.append((c, False))
                 tail = t[max(lo, hi - 3) : hi]
-                if regex.search(r"\p{Thai}$", tail):
+                if _THAI_END.search(tail):
                     seen.append((Candidate(hi, ("bias", "space", "word=" + tail, *(("space&final",) if t[lo:hi].endswith(THAI_FINAL) else ())), tail, "", True), True))
         total, final = Counter(c.token for c, _ in seen), Counter(c.token for c, last in seen if last)
         rows: list[tuple[tuple[str, ...], float]] = []
@@ -410,27 +425,29 @@ def fit_model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sampl
     return Model.fit([r.t for r in rows.collect()])
 
 
-def split_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, model: Model | None = None) -> DataFrame:
-    """(doc_id, ord, start_pos, end_pos, sentence): the units of each whole text in order.
+def split_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, model: Model | None = None, with_text: bool = True) -> DataFrame:
+    """(doc_id, ord, start_pos, end_pos, sentence): the units of each whole text in order; without ``with_text`` no sentence.
 
     Positions are code points from 0, the end exclusive; the units cover all of the text but white space. A heading, a
     speaker label, and a bracket between sentences are units. Null, empty and blank texts have none; a text without any
     boundary is one unit. Each document is split by itself, without a shuffle.
     """
     weights = docs.sparkSession.sparkContext.broadcast((model or fit_model(docs, doc_id, text)).weights)
+    ddl = "doc_id bigint, ord int, start_pos int, end_pos int" + (", sentence string" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(weights.value)
-        schema = pa.schema([("doc_id", pa.int64()), ("ord", pa.int32()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("sentence", pa.string())])
+        columns = [("doc_id", pa.int64()), ("ord", pa.int32()), ("start_pos", pa.int32()), ("end_pos", pa.int32())]
+        schema = pa.schema(columns + ([("sentence", pa.string())] if with_text else []))
         for batch in batches:
             rows: list[tuple] = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if t:
-                    rows.extend((d, k, a, b, t[a:b]) for k, (a, b) in enumerate(units(t, m)))
+                    rows.extend((d, k, a, b, *((t[a:b],) if with_text else ())) for k, (a, b) in enumerate(units(t, m)))
                 if len(rows) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "doc_id bigint, ord int, start_pos int, end_pos int, sentence string")
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, ddl)
