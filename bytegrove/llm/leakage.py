@@ -26,6 +26,9 @@ COMMON_ITEMS = 3
 #: Characters of evaluation text that one broadcast holds at most, but for an item that is longer alone.
 BLOCK_CHARS = 4_000_000
 
+#: Tokens that remarks may add to a passage, beyond a quarter of the item.
+ROOM = 60
+
 NUM, NAME, UNIT = "\0n", "\0a", "\0u"
 
 LEAKS = "doc_id bigint, item_id bigint, item_tokens int, span_tokens int, matched_tokens int"
@@ -50,7 +53,7 @@ def canonical(toks: list[str], common: frozenset[str]) -> list[tuple[str, str |
     """
     n = len(toks)
     literal = [False] * n
-    spaceless = [bool(SPACELESS.match(t)) for t in toks]
+    spaceless = [t >= "\u2e80" and bool(SPACELESS.match(t)) for t in toks]  # all of them lie above
     for i, t in enumerate(toks):
         if not spaceless[i]:
             literal[i] = t in common
@@ -97,29 +100,47 @@ class Index:
 
     def __init__(self, items: dict[int, list[str]], common: frozenset[str]):
         self.items, self.common = items, common
-        self.windows: dict[tuple, list[tuple[int, tuple]]] = defaultdict(list)
+        self.windows: dict[tuple, list[tuple[int, tuple, int]]] = defaultdict(list)
         self.anchors: set[str] = set()
+        #: Tokens that a window of an item covers at most.
+        self.reach = WINDOW
         for item, toks in items.items():
             for key, w in windows(canonical(toks, common)):
-                self.windows[key].append((item, _slots(w)))
+                self.windows[key].append((item, _slots(w), w[0][2]))
                 self.anchors.add(key[1])
-
-    def hits(self, toks: list[str]) -> dict[int, list[int]]:
-        """Items with the positions where a window of theirs occurs with consistent slots: at most one of them differs."""
-        found: dict[int, list[int]] = defaultdict(list)
-        canon = canonical(toks, self.common)
-        for k in range(len(canon) - WINDOW + 1):
-            for t, v, _ in canon[k : k + WINDOW]:
-                if t is NUM or t is NAME:
-                    break
-            else:
-                continue
-            if v not in self.anchors:
-                continue
-            w = canon[k : k + WINDOW]
-            for item, slots in self.windows.get((tuple(t for t, _, _ in w), v), ()):
-                if sum(a != b for a, b in zip(slots, _slots(w))) <= 1:
-                    found[item].append(w[0][2])
+                self.reach = max(self.reach, sum(len(v) if v and SPACELESS.match(v) else 1 for _, v, _ in w))
+        spaceless = {v for v in self.anchors if len(v) > 1 and SPACELESS.match(v)}
+        self.pairs, self.first = {v[:2] for v in spaceless}, {v[0] for v in spaceless}
+        self.heads = self.anchors - spaceless
+
+    def hits(self, toks: list[str]) -> dict[int, list[tuple[int, int]]]:
+        """Items with the (position here, position in the item) where a window of theirs occurs with consistent slots: at most one of them differs.
+
+        A window is looked at only where its anchor may be: a token, or two characters of a script without spaces, that
+        begins the value of some item's slot. Around these places the text is made canonical, not elsewhere.
+        """
+        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        heads = self.heads
+        at = [i for i, t in enumerate(toks) if t in heads]
+        if self.pairs:
+            pairs = self.pairs
+            at += [i for i, t in enumerate(toks[:-1]) if t in self.first and t + toks[i + 1] in pairs]
+            at.sort()
+        # A canonical token takes one word, or a run of characters, which may be long: then more of the text is taken.
+        for lo, hi in _spans(at, self.reach, len(toks)):
+            canon = canonical(toks[lo:hi], self.common)
+            for k in range(len(canon) - WINDOW + 1):
+                for t, v, _ in canon[k : k + WINDOW]:
+                    if t is NUM or t is NAME:
+                        break
+                else:
+                    continue
+                if v not in self.anchors:
+                    continue
+                w = canon[k : k + WINDOW]
+                for item, slots, there in self.windows.get((tuple(t for t, _, _ in w), v), ()):
+                    if sum(a != b for a, b in zip(slots, _slots(w))) <= 1:
+                        found[item].append((lo + w[0][2], there))
         return found
 
     def leaks(self, toks: list[str], share: float, same: float) -> Iterator[tuple[int, int, int, int]]:
@@ -127,7 +148,7 @@ class Index:
         for item, at in self.hits(toks).items():
             a = self.items[item]
             best = (0.0, 0, 0)
-            for lo, hi in _regions(at, 2 * len(a) + 60, len(toks)):
+            for lo, hi in _regions(at, len(a), len(toks)):
                 best = max(best, align(a, toks[lo:hi]))
             _, span, matched = best
             # The ends of a passage are cut where they differ, so up to two differing tokens there are not in span.
@@ -135,16 +156,34 @@ class Index:
                 yield item, len(a), span, matched
 
 
-def _regions(at: list[int], reach: int, n: int) -> Iterator[tuple[int, int]]:
-    """Spans of a document around hits; hits within reach of each other share one."""
-    at = sorted(at)
-    start = last = at[0]
-    for x in at[1:]:
-        if x - last > reach:
-            yield max(0, start - reach), min(n, last + reach)
-            start = x
-        last = x
-    yield max(0, start - reach), min(n, last + reach)
+def _spans(at: list[int], reach: int, n: int) -> Iterator[tuple[int, int]]:
+    """Spans with all windows that hold one of these positions, and as much again for what decides about their tokens."""
+    lo = hi = None
+    for x in at:
+        a, b = max(0, x - 2 * reach - 3), min(n, x + 2 * reach + 4)
+        if hi is not None and a <= hi:
+            hi = b
+        else:
+            if hi is not None:
+                yield lo, hi
+            lo, hi = a, b
+    if hi is not None:
+        yield lo, hi
+
+
+def _regions(at: list[tuple[int, int]], size: int, n: int) -> Iterator[tuple[int, int]]:
+    """Spans of a document in which the whole item may lie around its hits, with room for remarks; spans that overlap are one."""
+    room = ROOM + size // 4
+    lo = hi = None
+    for here, there in sorted(at):
+        a, b = max(0, here - there - room), min(n, here - there + size + room)
+        if hi is not None and a <= hi:
+            lo, hi = min(lo, a), max(hi, b)
+        else:
+            if hi is not None:
+                yield lo, hi
+            lo, hi = a, b
+    yield lo, hi
 
 
 def align(a: list[str], b: list[str], differ: float = 2.5, insert: float = 0.05) -> tuple[float, int, int]:
@@ -154,32 +193,30 @@ def align(a: list[str], b: list[str], differ: float = 2.5, insert: float = 0.05)
     them gains by being whole; a token put into b costs next to nothing, so that a remark does not end a passage.
     """
     ids = {t: i for i, t in enumerate(dict.fromkeys(a))}
-    av = np.array([ids[t] for t in a])
     bv = np.array([ids.get(t, -1) for t in b])
     m = len(b)
-    pos = np.arange(m + 1) * insert
-    index = np.arange(m + 1)
-    score, start, equal = np.zeros(m + 1), np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
+    equal = bv == np.arange(len(ids))[:, None]
+    gain, count = np.where(equal, 1.0, -differ), equal.astype(np.int64)
+    pos, index = np.arange(m + 1) * insert, np.arange(m + 1)
+    # A cell's path is one number: where it starts in a, and the equal tokens on it.
+    score, path = np.zeros(m + 1), np.zeros(m + 1, np.int64)
     best = (0.0, 0, 0)
-    for i in range(1, len(a) + 1):
-        eq = bv == av[i - 1]
-        new, at, same = score - differ, start.copy(), equal.copy()
-        diag = score[:-1] + np.where(eq, 1.0, -differ)
+    for i, t in enumerate(a, 1):
+        k = ids[t]
+        new, diag = score - differ, score[:-1] + gain[k]
         take = diag >= new[1:]
-        new[1:] = np.where(take, diag, new[1:])
-        at[1:] = np.where(take, start[:-1], start[1:])
-        same[1:] = np.where(take, equal[:-1] + eq, equal[1:])
-        v = new + pos
-        top = np.maximum.accumulate(v)
-        src = np.maximum.accumulate(np.where(v >= top, index, 0))
-        new, at, same = top - pos, at[src], same[src]
-        dead = new <= 0
-        new[dead], same[dead] = 0.0, 0
-        at[dead] = i
-        score, start, equal = new, at, same
-        j = int(np.argmax(score))
+        np.maximum(new[1:], diag, out=new[1:])
+        went = path.copy()
+        went[1:] = np.where(take, path[:-1] + count[k], path[1:])
+        new += pos
+        top = np.maximum.accumulate(new)
+        path = went[np.maximum.accumulate(np.where(new >= top, index, 0))]
+        score = top - pos
+        path[score <= 0] = i << 24
+        np.maximum(score, 0.0, out=score)
+        j = int(score.argmax())
         if score[j] > best[0]:
-            best = (float(score[j]), i - int(start[j]), int(equal[j]))
+            best = (float(score[j]), i - (int(path[j]) >> 24), int(path[j]) & 0xFFFFFF)
     return best
 
 
