@@ -27,6 +27,7 @@ class DotOptions:
     methods: bool = True
     method_edges: bool = True
     annotations: bool = True
+    annotation_edges: bool = True
     simple_names: bool = True
     external: bool = False
 
@@ -56,7 +57,7 @@ def graph_edges(cat: Catalog, options: DotOptions = DotOptions()) -> DataFrame:
 
     Links to java.lang.Object and to annotations of java.lang.annotation are left out.
     """
-    kinds = ["extends", "implements"] + (["class_ann", "field_ann", "method_ann"] if options.annotations else [])
+    kinds = ["extends", "implements"] + (["class_ann", "field_ann", "method_ann"] if options.annotation_edges else [])
     parts = [cat.edges.where(F.col("rel").isin(*kinds)).select("src", "dst", F.col("rel").alias("kind"))]
     if options.field_edges:
         parts.append(_types(cat.fields, "field_type"))

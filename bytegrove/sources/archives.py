@@ -264,10 +264,24 @@ def directory_entries(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.lit(root).alias("element"), rel.alias("path"), "length", "mtime", key.alias("order_key"), F.lower(rel).endswith(".class").alias("is_classfile"))
 
 
+def directory_listing(spark: SparkSession, root: str) -> DataFrame:
+    """Columns of ``ENTRIES`` for a directory as one element, its name with a slash at the end.
+
+    ``ord`` spreads files over tasks and is no order; that of a walk is ``order_key`` of ``directory_entries``. Archives
+    within are files like others here.
+    """
+    e = directory_entries(spark, root)
+    none = {"root": "''", "version": "8", "compressed_length": "length", "posix_mode": "cast(null as int)", "manifest": "cast(null as map<string,string>)", "error": "cast(null as string)"}
+    have = {"element": F.lit(root.rstrip("/") + "/"), "nested": F.lit(""), "ord": F.pmod(F.xxhash64("path"), F.lit(1 << 24)).cast("int"), "path_in_element": F.col("path")}
+    names = [c.split()[0] for c in ENTRIES.replace("map<string,string>", "map").split(", ")]
+    return e.select(*((have[n] if n in have else F.expr(none[n]) if n in none else F.col(n)).alias(n) for n in names))
+
+
 def read_entries(entries: DataFrame, handle, schema: str, options: ArchiveOptions = ArchiveOptions()) -> DataFrame:
     """``handle(rows)`` over the contents of entries, where rows are (element, nested, path, ord, bytes or None, error).
 
-    ``entries`` needs element, nested, path, path_in_element and ord. The handler gives record batches of ``schema``.
+    ``entries`` needs element, nested, path, path_in_element and ord. An element that ends in a slash is a directory, any
+    other an archive. The handler gives record batches of ``schema``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,6 +290,10 @@ def read_entries(entries: DataFrame, handle, schema: str, options: ArchiveOption
             for b in batches:
                 for element, nested, path, name, ord_ in zip(*(b.column(i).to_pylist() for i in range(5))):
                     try:
+                        if element.endswith("/"):
+                            with open_file(element + name) as f:
+                                yield element, nested, path, ord_, f.read(), None
+                            continue
                         if opened is None or opened[0] != (element, nested):
                             z = zipfile.ZipFile(open_file(element))
                             for step in [s for s in (nested or "").split("!/") if s]:

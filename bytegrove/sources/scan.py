@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from bytegrove.catalog import Catalog, Scope
 from bytegrove.functions.globs import Filter
@@ -16,7 +16,7 @@ from bytegrove.functions.names import package_of, path_to_class
 from bytegrove.functions.paths import ARCHIVE, has_scheme, sanitize
 from bytegrove.operators.resources import element_order, mask_classes
 from bytegrove.scratch import Scratch
-from bytegrove.sources.archives import ArchiveOptions, archive_files, list_entries, read_entries
+from bytegrove.sources.archives import ENTRIES, ArchiveOptions, archive_files, directory_listing, list_entries, read_entries
 from bytegrove.sources.classfile import ClassFile, ClassFormatError
 
 
@@ -25,13 +25,21 @@ class ScanConfig:
     """What to scan and to read. Without accepted packages everything is accepted; rejecting wins."""
 
     accept_packages: tuple[str, ...] = ()
+    #: Packages accepted without those below them.
+    accept_packages_flat: tuple[str, ...] = ()
     reject_packages: tuple[str, ...] = ()
+    accept_modules: tuple[str, ...] = ()
+    reject_modules: tuple[str, ...] = ()
     accept_classes: tuple[str, ...] = ()
     reject_classes: tuple[str, ...] = ()
     ignore_class_visibility: bool = True
     ignore_member_visibility: bool = True
     invisible_annotations: bool = True
     external_classes: bool = False
+    directories: bool = True
+    archive_files: bool = True
+    #: Keeps elements; a Column over ``element`` and ``nested``.
+    element_filter: Column | None = None
     extend_to_external: bool = True
     #: Scan archives that manifests name in Class-Path too.
     follow_class_path: bool = True
@@ -114,8 +122,17 @@ class Scan:
     def __init__(self, spark: SparkSession, paths: list[str], config: ScanConfig = ScanConfig()):
         self.spark, self.config = spark, config
         sc = self.scratch = Scratch(spark, "scan")
-        files = archive_files(spark, paths, config.archives)
-        listed = sc.save(list_entries(files, config.archives), "listed")
+        if config.archives.all_versions and config.reads:
+            raise ValueError("listing every version of an entry excludes class info: set reads=frozenset()")
+        if any("*" in p or "?" in p for p in config.accept_packages_flat):
+            raise ValueError("a package that is accepted without those below it can't be a pattern")
+        listed = list_entries(archive_files(spark, paths, config.archives), config.archives) if config.archive_files else spark.createDataFrame([], ENTRIES)
+        if config.directories:
+            for p in paths:
+                if not ARCHIVE.search(p) and not any(c in p for c in "*?["):
+                    found = directory_listing(spark, p)
+                    listed = listed.unionByName(found.where(~F.lower("path").rlike(ARCHIVE.pattern)))
+        listed = sc.save(listed, "listed")
         links: DataFrame | None = None
         if config.follow_class_path:
             listed, links = self._follow(listed)
@@ -136,14 +153,31 @@ class Scan:
         el = el.join(F.broadcast(positions), "id").drop("id")
         if not config.archives.platform:
             el = el.where(~_platform(F.col("manifest")))
+        if config.element_filter is not None:
+            el = el.where(config.element_filter)
+        el = sc.save(el, "kept")
+        # A module's name is read from its descriptor even if the root package isn't accepted, or else from the manifest.
+        descriptors = parse_classes(listed.where("error is null and path = 'module-info.class'").join(F.broadcast(el.select("element", "nested")), ["element", "nested"]), config)
+        named = descriptors.where("module_name is not null").groupBy("element", "nested").agg(F.first("module_name").alias("descriptor"))
+        el = el.join(named, ["element", "nested"], "left").withColumn("module_name", F.coalesce("descriptor", F.element_at("manifest", "automatic-module-name")))
+        modules = Filter("whole", config.accept_modules, config.reject_modules, ".")
+        if config.accept_modules or config.reject_modules:
+            el = el.where(F.col("module_name").isNull() | modules.accepted(F.col("module_name")))
         self.elements = sc.save(el, "elements")
         entries = listed.where("error is null").join(F.broadcast(self.elements.select("element", "nested", "cp_idx")), ["element", "nested"])
+        # Classes without a package don't belong to a module.
+        modular = self.elements.where("descriptor is not null").select("cp_idx")
+        loose = F.lower("path").rlike(r"^[^/]*\.class$") & (F.col("path") != "module-info.class")
+        entries = entries.where(~loose).unionByName(entries.where(loose).join(F.broadcast(modular), "cp_idx", "left_anti").select(*entries.columns))
         self.entries = sc.save(entries, "entries")
         package = F.when(F.col("is_classfile"), package_of(path_to_class("path"))).otherwise(F.translate(F.regexp_replace("path", r"/?[^/]*$", ""), "/", "."))
         wanted = Filter("prefix", config.accept_packages, config.reject_packages, ".").accepted(package)
+        if config.accept_packages_flat:
+            flat = package.isin(*config.accept_packages_flat) & ~Filter("prefix", (), config.reject_packages, ".").rejected(package)
+            wanted = (wanted | flat) if config.accept_packages else flat
         if config.accept_classes:
             named = path_to_class("path").isin(*config.accept_classes)
-            wanted = (wanted | named) if config.accept_packages else named
+            wanted = (wanted | named) if config.accept_packages or config.accept_packages_flat else named
         if config.reject_classes:
             wanted = wanted & ~F.coalesce(path_to_class("path").isin(*config.reject_classes), F.lit(False))
         self.resources = self.entries.where(F.coalesce(wanted, F.lit(False)) & ~F.col("path").endswith("module-info.class"))
@@ -195,6 +229,16 @@ class Scan:
     def _each(self, column: str, *keys: str) -> DataFrame:
         return self.parsed.select("class_name", *keys, F.explode(column).alias("x")).select("class_name", *keys, "x.*")
 
+    def members(self, column: str) -> DataFrame:
+        """Methods or fields; only public ones unless their visibility is ignored."""
+        every = self._each(column)
+        return every if self.config.ignore_member_visibility else every.where(F.col("modifiers").bitwiseAND(1) != 0)
+
+    @property
+    def modules(self) -> DataFrame:
+        """(name, location) of elements that are modules."""
+        return self.elements.where("module_name is not null").select(F.col("module_name").alias("name"), "element")
+
     @property
     def params(self) -> DataFrame:
         return self._each("params")
@@ -214,7 +258,7 @@ class Scan:
     def classes(self) -> DataFrame:
         """Parsed classes with access bits as their enclosing classes declare them: these replace the access bits, other bits add up."""
         inner = self.parsed.select(F.explode("inner").alias("x")).where("x.modifiers is not null").groupBy(F.col("x.inner").alias("class_name")).agg(F.bit_or("x.modifiers").alias("bits"))
-        p = self.parsed.join(inner, "class_name", "left").join(self.elements.select("element", "nested", "cp_idx"), ["element", "nested"])
+        p = self.parsed.drop("module_name").join(inner, "class_name", "left").join(F.broadcast(self.elements.select("element", "nested", "cp_idx", "module_name")), ["element", "nested"])
         flags = F.when(F.col("bits").isNull(), F.col("modifiers")).otherwise((F.col("modifiers").bitwiseAND(~7)).bitwiseOR(F.col("bits")))
         inherited = F.exists("annotations", lambda a: (a["target_kind"] == "class") & (a["annotation"] == "java.lang.annotation.Inherited"))
         return p.select(
@@ -242,7 +286,7 @@ class Scan:
         return self._each("annotations").withColumn("ann_id", key)
 
     def catalog(self) -> Catalog:
-        return Catalog(self.classes(), self.edges(), self._each("methods"), self._each("fields"), self.annotations(), self.elements, None, self.config.scope())
+        return Catalog(self.classes(), self.edges(), self.members("methods"), self.members("fields"), self.annotations(), self.elements, None, self.config.scope())
 
 
 def referenced(parsed: DataFrame) -> DataFrame:

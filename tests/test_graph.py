@@ -175,7 +175,7 @@ def test_dot(spark, tmp_path):
     n = write_dot(class_graph(cat), str(tmp_path / "g.dot"))
     text = (tmp_path / "g.dot").read_text()
     assert n == 4 + 5 and text.startswith("digraph") and '"f.Shape" [shape=diamond' in text and '"f.UIWidget" [shape=oval' in text and "toString" not in text
-    assert graph_edges(cat, DotOptions(method_edges=False, field_edges=False, annotations=False)).count() == 2
+    assert graph_edges(cat, DotOptions(method_edges=False, field_edges=False, annotation_edges=False)).count() == 2
     deps = dependencies(cat)
     assert write_dot(dependency_graph(cat, deps), str(tmp_path / "d.dot")) > 0
     assert {x.class_name: x.n for x in dependency_map(deps, reverse=True).collect()}["f.Shape"] == 2

@@ -9,6 +9,7 @@ import subprocess
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from bytegrove.operators.members import Members
 from bytegrove.operators.relations import Relations
@@ -181,6 +182,35 @@ def test_class_path_is_followed(spark, compiled, tmp_path):
     assert scan(spark, [str(one)], ScanConfig(follow_class_path=False)).elements.count() == 3
 
 
+def test_directories_modules_and_visibility(spark, compiled, tmp_path):
+    root = tmp_path / "classes"
+    for name, data in compiled.items():
+        f = root / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(data)
+    s = scan(spark, [str(root)], ScanConfig(accept_packages_flat=("p",), ignore_member_visibility=False))
+    cat = s.catalog()
+    own = {r.class_name for r in cat.classes.where("not is_external").collect()}
+    assert {"p.Base", "p.Rec", "p.Impl$1"} <= own and not any(n.startswith("q.") for n in own)
+    assert {r.name for r in cat.fields.where("class_name = 'p.Base'").collect()} == {"L"} and {r.name for r in cat.methods.where("class_name = 'p.Base'").collect()} == {"<init>", "run", "use"}
+    assert scan(spark, [str(root)], ScanConfig(directories=False)).entries.count() == 0
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/module-info.java").write_text("module m.one { }")
+    subprocess.run(["javac", "-d", tmp_path / "m", tmp_path / "src/module-info.java"], check=True, capture_output=True)
+    jars = tmp_path / "jars"
+    jars.mkdir()
+    jar([("module-info.class", (tmp_path / "m/module-info.class").read_bytes()), ("p/Rec.class", compiled["p/Rec.class"]), ("Loose.class", b"x")], jars / "m.jar")
+    jar([("META-INF/MANIFEST.MF", "Automatic-Module-Name: m.two\n"), ("q/Deep.class", compiled["q/Deep.class"])], jars / "n-1.0.jar")
+    t = scan(spark, [str(jars)])
+    assert {r.name for r in t.modules.collect()} == {"m.one", "m.two"} and t.errors.count() == 0
+    assert {(r.class_name, r.module_name) for r in t.catalog().classes.where("not is_external").collect()} == {("p.Rec", "m.one"), ("q.Deep", "m.two")}
+    one = scan(spark, [str(jars)], ScanConfig(reject_modules=("m.*",), element_filter=F.col("element").like("%.jar")))
+    assert one.elements.count() == 0
+    for bad in (ScanConfig(accept_packages_flat=("a.*",)), ScanConfig(archives=ArchiveOptions(all_versions=True))):
+        with pytest.raises(ValueError):
+            scan(spark, [str(jars)], bad)
+
+
 def test_contents(spark, tmp_path):
     from bytegrove.sources.archives import archive_files, list_entries, map_contents
 
