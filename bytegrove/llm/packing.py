@@ -63,7 +63,9 @@ def _packer(capacity: int):
         packers: dict[int, SumOfSquares] = {}
         for batch in batches:
             task, size = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            where = [packers.setdefault(t, SumOfSquares(capacity)).place(s) for t, s in zip(task, size)]
+            for t in set(task) - packers.keys():
+                packers[t] = SumOfSquares(capacity)
+            where = [packers[t].place(s) for t, s in zip(task, size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(where, pa.int64())], names=["task", "id", "size", "container"])
 
     return run
@@ -85,7 +87,7 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, scratch: Scratch | None
         n = todo.count()
         tasks = 1 if n <= FAN_IN or round_ > 8 else max(1, min(tasks if round_ == 0 else tasks // 4, -(-n // FAN_IN) * 8))
         task = F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("int")
-        spread = todo.select(task.alias("task"), "id", "size").repartition(tasks, "task").sortWithinPartitions("task", F.xxhash64("id", F.lit(7)), "id")
+        spread = todo.select(task.alias("task"), "id", "size").repartitionById(tasks, F.col("task")).sortWithinPartitions("task", F.xxhash64("id", F.lit(7)), "id")
         put = sc.save(
             spread.mapInArrow(_packer(capacity), "task int, id string, size bigint, container bigint").select(
                 "id", "size", F.concat(F.lit(f"{round_}-"), "task", F.lit("-"), "container").alias("box")
