@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from bytegrove.scratch import Scratch
+
 #: Items of one basket that are held in one array; a larger basket is cut into blocks that meet two by two.
 BLOCK = 1024
 #: Entries of a task's stripes after which they are passed on.
@@ -53,15 +55,18 @@ def pair_counts(baskets: DataFrame, basket: Column, item: Column, *, min_pair: i
     gives no rows. Items in fewer than ``min_pair`` baskets can't be in a pair and are dropped first, which is exact.
     A basket of any size is fine: beyond BLOCK items its blocks are joined two by two.
     """
-    rows = baskets.select(basket.alias("basket"), item.alias("item")).where("basket is not null and item is not null").groupBy("basket", "item").agg(F.lit(1).alias("one")).drop("one")
-    items = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
-    total = rows.select("basket").distinct().agg(F.count(F.lit(1)).alias("n"))
-    if min_pair > 1:
-        rows = rows.join(items.where(F.col("n_item") >= min_pair).select("item"), "item", "left_semi")
+    sc = Scratch(baskets.sparkSession, "pairs")
+    known = baskets.select(basket.alias("basket"), item.alias("item")).where("basket is not null and item is not null")
+    # Everything below is read from the distinct rows and the blocks, each written once.
+    rows = sc.save(known.groupBy("basket", "item").agg(F.lit(1).alias("one")).drop("one"), "rows")
+    items = sc.save(rows.groupBy("item").agg(F.count(F.lit(1)).alias("n_item")), "items")
+    total = rows.select("basket").distinct().count()
+    frequent = rows.join(items.where(F.col("n_item") >= min_pair).select("item"), "item", "left_semi") if min_pair > 1 else rows
     # A running number per basket streams through a sorted partition; blocks of it are the only arrays ever built.
     by_basket = Window.partitionBy("basket")
-    numbered = rows.withColumn("block", F.floor((F.row_number().over(by_basket.orderBy("item")) - 1) / BLOCK).cast("int"))
+    numbered = frequent.withColumn("block", F.floor((F.row_number().over(by_basket.orderBy("item")) - 1) / BLOCK).cast("int"))
     blocks = numbered.groupBy("basket", "block").agg(F.collect_list("item").alias("items")).withColumn("blocks", F.count(F.lit(1)).over(by_basket))
+    blocks = sc.save(blocks, "blocks")
     none = F.lit(None).cast("array<string>")
     within = blocks.select(F.col("items").alias("l"), none.alias("r"))
     big = blocks.where("blocks > 1").select("basket", "block", "items")
@@ -71,7 +76,7 @@ def pair_counts(baskets: DataFrame, basket: Column, item: Column, *, min_pair: i
     # Arrays are merged by (item, neighbour), so the stripe of an item that is everywhere is no single group either.
     pairs = stripes.select("item_a", F.explode("neighbours").alias("item_b", "c")).groupBy("item_a", "item_b").agg(F.sum("c").alias("n_ab")).where(F.col("n_ab") >= min_pair)
     a, b = (items.select(F.col("item").alias(f"item_{x}"), F.col("n_item").alias(f"n_{x}")) for x in "ab")
-    return pairs.join(a, "item_a").join(b, "item_b").join(F.broadcast(total)).select("item_a", "item_b", "n_ab", "n_a", "n_b", "n")
+    return pairs.join(a, "item_a").join(b, "item_b").select("item_a", "item_b", "n_ab", "n_a", "n_b", F.lit(total).cast("long").alias("n"))
 
 
 def log_likelihood_ratio(n_ab: Column, n_a: Column, n_b: Column, n: Column) -> Column:
