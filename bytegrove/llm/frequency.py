@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from bytegrove.scratch import Scratch
+
 _RUNS = "kind string, term string, n bigint, n_records bigint"
 _SCHEMA = pa.schema([("kind", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("n_records", pa.int64())])
 
@@ -75,8 +77,10 @@ def term_frequencies(
     included. mark is ``rare`` below ``rare_below`` records, else ``common`` from ``common_share`` of the total on, else
     null. An empty table gives no rows; other columns are ignored.
     """
-    # Records matter for totals only once each; the partial aggregate drops repeats before the shuffle.
+    # Sampling the ranges, sorting, and the totals each read the rows, so what the expressions make of them is written once.
+    sc = Scratch(rows.sparkSession, "terms")
     given = rows.select(kind.alias("kind"), term.alias("term"), record.alias("record"), row_key.cast("string").alias("row_key"))
+    given = sc.save(given, "given")
     totals = given.where("record is not null").select("kind", "record").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("total_records"))
     order = ["kind", "term", "record", "row_key"]
     runs = given.where("term is not null").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(scan_runs, _RUNS)
