@@ -8,6 +8,7 @@ from bytegrove.functions.names import class_name, descriptor, package_of, sql_cl
 from bytegrove.operators.hierarchy import Hierarchy
 from bytegrove.operators.shred import entities, shred
 from bytegrove.operators.skew import value_frequencies, weighted_percentiles, weighted_profile
+from bytegrove.scratch import Scratch
 from bytegrove.sources.tables import table
 
 #: A superclass is heavy if at least one link in HEAVY names it.
@@ -65,9 +66,9 @@ p2_annotation_values = _entity("annotationParamValues", {"name": "param_name", "
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     freq = value_frequencies(superclass_links(spark, sf_dir), ["parent"], F.col("child"))
-    per = weighted_profile(freq, "parent")
-    total = per.agg(F.sum("n_distinct").alias("total"))  # one row
-    return per.join(F.broadcast(total)).where(F.col("n_distinct") * HEAVY >= F.col("total")).select(F.col("parent").alias("class_name"))
+    per = Scratch(spark, "heavy").save(weighted_profile(freq, "parent").select("parent", "n_distinct"), "per_key")
+    total = per.agg(F.sum("n_distinct")).first()[0] or 0
+    return per.where(F.col("n_distinct") * HEAVY >= total).select(F.col("parent").alias("class_name"))
 
 
 def p5_superclasses(spark: SparkSession, sf_dir: str) -> DataFrame:
