@@ -128,7 +128,37 @@ _MEMBERS = f"""members AS (
     UNION ALL
     SELECT {sql_class_name("class_name")}, 'field', ord, name, {sql_descriptor("descriptor")}, NULL FROM class_fields) WHERE class_name IS NOT NULL)"""
 
+_FOLD = "lower(replace(replace({}, '_', ''), '-', ''))"
+_OBJECTS = f"""WITH RECURSIVE labels(folded, label) AS (VALUES ('classinfo', 'classInfo'), ('fieldinfo', 'fieldInfo'), ('methodinfo', 'methodInfo'),
+  ('annotationinfo', 'annotationInfo'), ('parameterinfo', 'parameterInfo'), ('annotationparamvalues', 'annotationParamValues')),
+texts AS (SELECT DISTINCT record_id, TRY_CAST(ltrim(record, chr(65279) || ' ') AS JSON) AS j FROM class_records),
+nodes(record_id, path, parent_path, ordinal, label, obj) AS (
+  SELECT record_id, '', '', 0, '', j FROM texts WHERE json_type(j) = 'OBJECT'
+  UNION ALL
+  SELECT record_id, CASE WHEN path = '' THEN '' ELSE path || '.' END || label || '[' || i || ']', path, CAST(i AS INTEGER), label, objs[i + 1] FROM (
+    SELECT record_id, path, label, objs, unnest(range(len(objs))) AS i FROM (
+      SELECT record_id, path, label, list_filter(CASE json_type(v) WHEN 'ARRAY' THEN CAST(v AS JSON[]) ELSE [v] END, lambda x: json_type(x) = 'OBJECT') AS objs FROM (
+        SELECT record_id, path, n.label, CASE json_type(raw) WHEN 'VARCHAR' THEN TRY_CAST(raw ->> '$' AS JSON) ELSE raw END AS v FROM (
+          SELECT record_id, path, k, obj -> ('$."' || k || '"') AS raw FROM (SELECT record_id, path, obj, unnest(json_keys(obj)) AS k FROM nodes))
+        JOIN labels n ON n.folded = {_FOLD.format('k')}))))"""
+
+
+def _scalar(folded: str) -> str:
+    """The value of an object's key in whatever spelling."""
+    keys = f"list_filter(json_keys(obj), lambda k: {_FOLD.format('k')} = {folded})"
+    return f"CASE WHEN len({keys}) > 0 THEN obj ->> ('$.\"' || {keys}[1] || '\"') END"
+
+
+def _entity_sql(label: str, columns: dict[str, str]) -> str:
+    shown = ", ".join(f"{_scalar(repr(k.lower()))} AS {v}" for k, v in columns.items())
+    return f"{_OBJECTS} SELECT record_id, path AS obj_path, parent_path, ordinal, {shown} FROM nodes WHERE label = '{label}'"
+
+
 ORACLE = {
+    "p2_found": f"""{_OBJECTS} SELECT record_id, path AS obj_path, {_scalar("replace(lower(label), 'info', 'name')")} AS obj_name FROM nodes WHERE label IN ('fieldInfo', 'methodInfo', 'annotationInfo')""",
+    "p2_fields": _entity_sql("fieldInfo", {"fieldName": "field_name", "typeDescriptorStr": "type_descriptor"}),
+    "p2_methods": _entity_sql("methodInfo", {"methodName": "method_name", "typeDescriptorStr": "type_descriptor"}),
+    "p2_annotations": _entity_sql("annotationInfo", {"annotationName": "annotation_name"}),
     "p1_found": f"WITH RECURSIVE {_LINKS} SELECT a AS class_name, cycle_name FROM rings",
     "p1_paths": f"""{_PATHS}
 SELECT node AS class_name, CASE WHEN r.a IS NULL THEN top END AS root, depth, path, CASE WHEN r.a IS NULL THEN 'tree' ELSE 'into_cycle' END AS status, r.cycle_name
