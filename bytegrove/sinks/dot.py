@@ -106,7 +106,7 @@ def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(e)
 
 
-def class_graph(cat: Catalog, options: DotOptions = DotOptions()) -> DataFrame:
+def type_graph(cat: Catalog, options: DotOptions = DotOptions()) -> DataFrame:
     """DOT statements of the class graph; kinds of nodes are boxes, diamonds (interfaces) and ovals (annotations)."""
     c = node_contents(cat)
     name = simple_name("class_name") if options.simple_names else F.col("class_name")

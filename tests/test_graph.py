@@ -10,7 +10,7 @@ from bytegrove.operators.dependencies import dependencies, dependency_map
 from bytegrove.operators.members import Members, params_over_defaults, unwrap_repeatable
 from bytegrove.operators.relations import Relations
 from bytegrove.operators.resources import dedupe_elements, element_order, mask_classes, mask_same_file, outside_nested_roots
-from bytegrove.sinks.dot import DotOptions, class_graph, dependency_graph, graph_edges, html_escape, write_dot
+from bytegrove.sinks.dot import DotOptions, type_graph, dependency_graph, graph_edges, html_escape, write_dot
 
 CLASSES = (
     "class_name string, modifiers int, is_record boolean, is_external boolean, inherited_meta boolean, cp_idx int, resource_path string, package_name string, module_name string, type_signature string, scanned_at timestamp"
@@ -172,7 +172,7 @@ def test_dot(spark, tmp_path):
     edges = {"extends": {"f.Circle": ["f.ShapeImpl"], "f.ShapeImpl": ["java.lang.Object"]}, "implements": {"f.ShapeImpl": ["f.Shape"]}, "class_ann": {"f.Circle": ["f.UIWidget", "java.lang.annotation.Target"]}}
     cat = catalog(spark, names, edges, [m("f.Circle", 0, "of", "(Lf/Shape;)V"), m("f.Circle", 1, "toString", "()Ljava/lang/String;")], [("f.ShapeImpl", 0, "next", "Lf/Circle;", None, 2, None)], [(1, "class", "f.Circle", None, None, 0, "f.UIWidget", True, [])])
     assert {tuple(x) for x in graph_edges(cat).collect()} == {("f.Circle", "f.ShapeImpl", "extends"), ("f.ShapeImpl", "f.Shape", "implements"), ("f.Circle", "f.UIWidget", "class_ann"), ("f.Circle", "f.Shape", "method_type"), ("f.ShapeImpl", "f.Circle", "field_type")}
-    n = write_dot(class_graph(cat), str(tmp_path / "g.dot"))
+    n = write_dot(type_graph(cat), str(tmp_path / "g.dot"))
     text = (tmp_path / "g.dot").read_text()
     assert n == 4 + 5 and text.startswith("digraph") and '"f.Shape" [shape=diamond' in text and '"f.UIWidget" [shape=oval' in text and "toString" not in text
     assert graph_edges(cat, DotOptions(method_edges=False, field_edges=False, annotation_edges=False)).count() == 2
