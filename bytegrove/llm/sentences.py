@@ -39,6 +39,7 @@ _NO_LABEL = regex.compile(r"[!?。！？।…;,，、()（）\[\]“”„«»
 _LABEL_WORD = regex.compile(r"[\p{L}\p{M}\p{N}’'.○-]+")
 _NUMBERING = regex.compile(r"(?:\p{L}[\p{L}\p{M}]*[.]?\s?){0,2}第?\s?\d+\s?[\p{L}\p{M}]{0,6}[.。]\s*")
 _ENDS_WITHIN = regex.compile(r"[.!?。！？।…](?:\s|$)|[。！？।]")
+_BRACKET = regex.compile(r"[(\[（［]")
 _COLON = regex.compile(r"[:：]\s*")
 _QUOTE_END = regex.compile(r"[.!?。！？।…؟]\s*$")
 _GREEK = regex.compile(r"\p{Greek}")
@@ -182,7 +183,11 @@ def is_heading(text: str, lo: int, hi: int, block: int) -> bool:
     body = text[lo:hi]
     if _TERMINAL.search(body) or body[-1] in ":：;；)）]］\"”»」":
         return False
+    if any(x in body for x in THAI_FINAL):
+        return False
     m = _NUMBERING.match(body)
+    if not m and _BRACKET.search(body):
+        return False
     rest = body[m.end() :] if m else body
     if _ENDS_WITHIN.search(rest):
         return False

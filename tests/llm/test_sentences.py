@@ -35,6 +35,10 @@ def test_structure():
     text = "534. Second reading: forest\nwardens\n\nProf. RALECK (GA): (Applause.) Once more: it is\nso. We [Hear. Hear!] agree\n \nThe Speaker:\n\nLe fin (a"
     got = [text[a:b] for a, b in units(text, MODEL)]
     assert got == ["534. Second reading: forest\nwardens", "Prof. RALECK (GA):", "(Applause.)", "Once more: it is\nso.", "We [Hear. Hear!] agree", "The Speaker:", "Le fin (a"]
+    thai = "(เสียงปรบมือ) ที่ประชุมเห็นชอบค่ะ ขอเปิดประชุมครับ"
+    assert [thai[a:b] for a, b in units(thai, MODEL)] == thai.replace(") ", ")|").replace("ค่ะ ", "ค่ะ|").split("|")
+    first = "(Applause.) I call the next speaker on the list\n\nItem 12. On (old) bridges"
+    assert [first[a:b] for a, b in units(first, MODEL)] == ["(Applause.)", "I call the next speaker on the list", "Item 12. On (old) bridges"]
     glued = "That is a fact.Under Sec. 80 we stay."
     assert [glued[a:b] for a, b in units(glued, MODEL)] == ["That is a fact.", "Under Sec. 80 we stay."]
     once = "Once more: we stay. The annex states: “a. B” and no more."
