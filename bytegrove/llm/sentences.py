@@ -8,7 +8,7 @@ script; it is trained on the boundaries that need no judgement, those at blank l
 
 from __future__ import annotations
 
-import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -26,6 +26,9 @@ TYPE_COUNT = 25
 BLANK = regex.compile(r"[^\S\n]*\n(?:[^\S\n]*\n)+\s*")
 OPEN = {"(": ")", "[": "]", "（": "）", "［": "］", "【": "】", "{": "}"}
 QUOTES = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", '"': '"', "‹": "›", "〈": "〉", "《": "》", "＂": "＂"}
+_PLAIN_EVENT = re.compile(r"[()\[\]（）［］【】{}“”„«»「」『』\"‹›〈〉《》＂]|[.!?。！？।॥…؟．｡;;]+")
+_THAI_CHAR = re.compile("[\u0e00-\u0e7f]")
+#: In Thai white space may end a sentence too.
 _EVENT = regex.compile(r"[()\[\]（）［］【】{}“”„«»「」『』\"‹›〈〉《》＂]|[.!?。！？।॥…؟．｡;;]+|(?<=\p{Thai}|[)\d])\s+(?=[\p{Thai}(\[])")
 _TERMINAL = regex.compile(r"[.!?。！？।॥؟．｡…]$")
 _SURE = set("!?。！？।॥؟｡")
@@ -87,16 +90,20 @@ class Candidate(NamedTuple):
     end: int
     features: tuple[str, ...]
     token: str
-    next: str
     forced: bool
 
 
-def _pairs(text: str, lo: int, hi: int) -> list[tuple[int, int, bool]]:
+def _events(text: str, lo: int, hi: int) -> list:
+    """Matches of brackets, quotation marks and what may end a sentence, in order."""
+    return list((_EVENT if _THAI_CHAR.search(text, lo, hi) else _PLAIN_EVENT).finditer(text, lo, hi))
+
+
+def _pairs(events: list) -> list[tuple[int, int, bool]]:
     """(start, end, is_bracket) of the outermost brackets and quotations in order; what is left open is no pair."""
     out: list[tuple[int, int, bool]] = []
     stack: list[tuple[str, int]] = []
     closers = ")]）］】}”“»」』\"›〉》＂"
-    for m in _EVENT.finditer(text, lo, hi):
+    for m in events:
         c = m.group()
         if len(c) != 1 or (c not in OPEN and c not in QUOTES and c not in closers):
             continue
@@ -200,12 +207,13 @@ def is_heading(text: str, lo: int, hi: int, block: int) -> bool:
 
 def candidates(text: str, lo: int, hi: int) -> tuple[list[Candidate], list[tuple[int, int]]]:
     """Possible boundaries of a block in order, and its outermost brackets."""
-    outer = _outer(_pairs(text, lo, hi))
+    events = _events(text, lo, hi)
+    outer = _outer(_pairs(events))
     brackets = {a: b for a, b, is_bracket in outer if is_bracket}
     out: list[Candidate] = []
     spans = iter(outer + [(hi + 1, hi + 1, True)])
     a, b, is_bracket = next(spans)
-    for m in _EVENT.finditer(text, lo, hi):
+    for m in events:
         c, i = m.group(), m.start()
         while i >= b:
             a, b, is_bracket = next(spans)
@@ -222,14 +230,13 @@ def candidates(text: str, lo: int, hi: int) -> tuple[list[Candidate], list[tuple
                 gap = _SPACE.match(text, b, hi).end()
                 dash = gap < hi and text[gap] in "–—-"
                 # Its own features only: without letter case nothing tells that a sentence goes on, so it is taken to.
-                out.append(Candidate(b, ("quote", f"quote&{'lower' if dash else k}"), "”", _word(text, j, hi), j >= hi))
+                out.append(Candidate(b, ("quote", f"quote&{'lower' if dash else k}"), "”", j >= hi))
             continue
         if c[0].isspace():
             before = text[max(lo, i - 8) : i]
             final = before.endswith(THAI_FINAL)
             feats = ["bias", "space", "word=" + before[-3:]] + (["space&final"] if final else [])
-            j = _ahead(text, m.end(), hi, brackets)
-            out.append(Candidate(i, tuple(feats), before[-3:], _word(text, j, hi), False))
+            out.append(Candidate(i, tuple(feats), before[-3:], False))
             continue
         if c in QUOTES or c[0] in "()[]（）［］【】{}”»」』›〉》":
             continue
@@ -243,7 +250,7 @@ def candidates(text: str, lo: int, hi: int) -> tuple[list[Candidate], list[tuple
             before = _WORD.findall(text[max(lo, i - 20) : i])
             if c[-1] == ";" or (before and _GREEK.search(before[-1])):
                 j = _ahead(text, end, hi, brackets)
-                out.append(Candidate(end, ("bias", "greek;", f"next={_kind(text, j, hi)}"), ";", _word(text, j, hi), j >= hi))
+                out.append(Candidate(end, ("bias", "greek;", f"next={_kind(text, j, hi)}"), ";", j >= hi))
             continue
         j = _ahead(text, end, hi, brackets)
         out.append(_period(text, lo, hi, i, end, j, brackets))
@@ -258,9 +265,8 @@ def _word(text: str, j: int, hi: int) -> str:
 def _period(text: str, lo: int, hi: int, i: int, end: int, j: int, brackets: dict[int, int]) -> Candidate:
     c, kind = text[i:end], _kind(text, j, hi)
     glued = end < hi and not text[end].isspace() and end not in brackets
-    nxt = _word(text, j, hi)
-    if _SURE & set(c):
-        return Candidate(end, ("bias", "sure", f"next={kind}"), c, nxt, j >= hi)
+    if not _SURE.isdisjoint(c):
+        return Candidate(end, ("bias", "sure", f"next={kind}"), c, j >= hi)
     f = ["bias", f"next={kind}"]
     m = _TOKEN_BEFORE.search(text, max(lo, i - 30), i)
     word = m.group() if m else ""
@@ -271,7 +277,7 @@ def _period(text: str, lo: int, hi: int, i: int, end: int, j: int, brackets: dic
         f += ["ellipsis", f"ellipsis&{kind}"]
         if _CASELESS.match(text, i - 1):
             f.append("caseless")
-        return Candidate(end, tuple(f), "…", nxt, j >= hi)
+        return Candidate(end, tuple(f), "…", j >= hi)
     key = low
     if glued:
         f += ["glued", f"glued&{kind}"]
@@ -302,8 +308,9 @@ def _period(text: str, lo: int, hi: int, i: int, end: int, j: int, brackets: dic
     elif word and _NO_CASE.match(word[-1]):
         f.append("caseless")
     f.append("word=" + key)
-    f.append("word&next=" + (key if key[:1] == "#" else "") + "|" + nxt if key[:1] == "#" else "")
-    return Candidate(end, tuple(x for x in f if x), key, nxt, j >= hi)
+    if key[:1] == "#":
+        f.append(f"word&next={key}|{_word(text, j, hi)}")
+    return Candidate(end, tuple(f), key, j >= hi)
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -354,7 +361,7 @@ class Model:
                         seen.append((c, False))
                 tail = t[max(lo, hi - 3) : hi]
                 if _THAI_END.search(tail):
-                    seen.append((Candidate(hi, ("bias", "space", "word=" + tail, *(("space&final",) if t[lo:hi].endswith(THAI_FINAL) else ())), tail, "", True), True))
+                    seen.append((Candidate(hi, ("bias", "space", "word=" + tail, *(("space&final",) if t[lo:hi].endswith(THAI_FINAL) else ())), tail, True), True))
         total, final = Counter(c.token for c, _ in seen), Counter(c.token for c, last in seen if last)
         rows: list[tuple[tuple[str, ...], float]] = []
         for c, last in seen:
