@@ -10,8 +10,10 @@ are read against each block, whole and without a shuffle of texts.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -149,7 +151,8 @@ class Index:
             a = self.items[item]
             best = (0.0, 0, 0)
             for lo, hi in _regions(at, len(a), len(toks)):
-                best = max(best, align(a, toks[lo:hi]))
+                if dense(a, toks[lo:hi], share, same):
+                    best = max(best, align(a, toks[lo:hi]))
             _, span, matched = best
             # The ends of a passage are cut where they differ, so up to two differing tokens there are not in span.
             if span + 2 >= share * len(a) and matched >= same * span and span:
@@ -186,6 +189,18 @@ def _regions(at: list[tuple[int, int]], size: int, n: int) -> Iterator[tuple[int
     yield lo, hi
 
 
+def dense(a: list[str], b: list[str], share: float, same: float) -> bool:
+    """Whether a can have a passage of the wanted share in b: some stretch of that length must hold enough tokens of b.
+
+    A passage of length L in [W, 2W) with a part s of its tokens in b has W consecutive ones with at least s / (2 - s) of W:
+    its two halves overlap, or lack little. A longer passage has one of such length that is as dense.
+    """
+    w = max(1, math.ceil(share * len(a)) - 2)
+    there = set(b)
+    sums = [0, *accumulate(t in there for t in a)]
+    return max(sums[i + w] - sums[i] for i in range(len(a) - w + 1)) >= same / (2 - same) * w
+
+
 def align(a: list[str], b: list[str], differ: float = 2.5, insert: float = 0.05) -> tuple[float, int, int]:
     """(score, tokens of a in the best passage, of these equal) of the best local alignment of a in b.
 
@@ -200,9 +215,12 @@ def align(a: list[str], b: list[str], differ: float = 2.5, insert: float = 0.05)
     pos, index = np.arange(m + 1) * insert, np.arange(m + 1)
     # A cell's path is one number: where it starts in a, and the equal tokens on it.
     score, path = np.zeros(m + 1), np.zeros(m + 1, np.int64)
-    best = (0.0, 0, 0)
+    best, occurs = (0.0, 0, 0), equal.any(axis=1).tolist()
     for i, t in enumerate(a, 1):
         k = ids[t]
+        if not occurs[k] and score.max() <= differ:
+            score[:], path[:] = 0.0, i << 24  # every path ends here
+            continue
         new, diag = score - differ, score[:-1] + gain[k]
         take = diag >= new[1:]
         np.maximum(new[1:], diag, out=new[1:])

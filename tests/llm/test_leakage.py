@@ -91,3 +91,18 @@ def test_canonical_slots():
     toks = tokens("Inspector Zan counted 12 kilns")
     c = canonical(toks, frozenset({"inspector", "counted"}))
     assert [(t, v) for t, v, _ in c] == [("inspector", None), ("\0a", "zan"), ("counted", None), ("\0n", "12"), ("\0u", "kilns")]
+
+
+def test_density_never_hides_a_passage():
+    from bytegrove.llm.leakage import dense
+
+    rng = random.Random(11)
+    for _ in range(4000):
+        n = rng.randrange(1, 40)
+        a = [f"a{i}" for i in range(n)]
+        lo = rng.randrange(n)
+        part = a[lo : lo + rng.randrange(1, n + 1)]
+        b = [t if rng.random() < 0.8 else "x" for t in part if rng.random() < 0.95]
+        _, span, same = align(a, b) if b else (0, 0, 0)
+        if span and span + 2 >= 0.4 * n and same >= 0.75 * span:
+            assert dense(a, b, 0.4, 0.75)
