@@ -68,7 +68,7 @@ def weighted_percentiles(
 
     Exact (no sketch). The distinct values are range-partitioned by (key, value), so a key of many values spans
     partitions; each partition adds up its own weights and starts from the sum of the key's earlier partitions.
-    Null values are left out; a key with no other value gives no row.
+    Null values are left out; a key with no other value gives no row, a null key is a key.
     """
     scratch = Scratch(freq.sparkSession, "percentiles")
     ranged = scratch.save(
@@ -84,10 +84,11 @@ def weighted_percentiles(
         .agg(F.sum(weight).alias("w__"))
         .withColumn("before__", F.coalesce(F.sum("w__").over(per_key.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("total__", F.sum("w__").over(per_key))
-        .drop("w__")
+        .select(F.col(key).alias("key__"), F.col("part__").alias("of__"), "before__", "total__")
     )
     running = ranged.withColumn("in__", F.sum(weight).over(Window.partitionBy(key, "part__").orderBy(value)))
-    cum = running.join(parts, [key, "part__"]).withColumn("cum__", F.col("before__") + F.col("in__"))
+    same = F.col(key).eqNullSafe(F.col("key__")) & (F.col("part__") == F.col("of__"))
+    cum = running.join(parts, same).withColumn("cum__", F.col("before__") + F.col("in__"))
     picks = [
         F.min(F.when(F.col("cum__") >= F.ceil(F.lit(p) * F.col("total__")), F.col(value))).alias(n) for n, p in fractions.items()
     ]

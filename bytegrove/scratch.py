@@ -32,12 +32,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
+_ROOTS: list[tuple[SparkSession, str]] = []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def clear() -> None:
+    """Removes all scratch tables of this driver, as it does by itself at its end; answers that read them are void then."""
+    while _ROOTS:
+        spark, root = _ROOTS.pop()
+        try:
+            if spark.sparkContext._jsc is not None:
+                _remove(spark, root)
+        except Exception:  # noqa: BLE001  the session is gone, and its folder is the cluster's to clean
+            return
+
+
 class Scratch:
     """Tables of one operator run. ``save`` writes and reads back; ``drop`` removes what is no longer read."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/bytegrove-{label}-{uuid.uuid4().hex[:12]}"
+        _ROOTS.append((spark, self.root))
         self._n = 0
         self._paths: list[tuple[DataFrame, str]] = []
 
@@ -54,5 +75,4 @@ class Scratch:
             for own in [x for x in self._paths if x[0] is df]:
                 self._paths.remove(own)
                 path = own[1]
-                p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                _remove(self.spark, path)

@@ -50,3 +50,37 @@ def test_profiles_from_weighted_values(spark):
 def test_empty(spark):
     freq = value_frequencies(spark.createDataFrame([], "k string, v int"), ["k"], F.col("v"))
     assert weighted_profile(freq, "k").count() == weighted_percentiles(freq, "k", {"a": 0.5}).count() == 0
+
+
+def test_scratch_tables_are_dropped_and_cleared(spark):
+    import os
+
+    from bytegrove import scratch
+
+    sc = scratch.Scratch(spark, "test")
+    a, b = sc.save(spark.range(3).toDF("x")), sc.save(spark.range(5).toDF("x"))
+    assert (a.count(), b.count()) == (3, 5) and len(os.listdir(sc.root)) == 2
+    sc.drop(a, None)
+    assert len(os.listdir(sc.root)) == 1 and b.count() == 5
+    kept, scratch._ROOTS[:] = [r for r in scratch._ROOTS if r[1] != sc.root], [(spark, sc.root)]
+    scratch.clear()
+    scratch._ROOTS.extend(kept)
+    assert not os.path.exists(sc.root)
+
+
+def test_checkpoint_folder_is_the_sessions(spark, monkeypatch):
+    from bytegrove import scratch
+
+    class Conf(dict):
+        def get(self, k, d=None):
+            return dict.get(self, k, d)
+
+    class Session:
+        def __init__(self, **kw):
+            self.conf = Conf(kw)
+
+    assert scratch.checkpoint_dir(Session(**{"spark.checkpoint.dir": "hdfs://x/y"})) == "hdfs://x/y"
+    import pytest
+
+    with pytest.raises(RuntimeError):
+        scratch.checkpoint_dir(Session(**{"spark.master": "spark://h:7077"}))
