@@ -251,6 +251,37 @@ def a5_last_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modification(table(spark, sf_dir, "cp_elements"), "2024-06-01 00:00:00")
 
 
+def _spark_archives(spark: SparkSession, *names: str) -> DataFrame:
+    """Archives of the installed PySpark, as a corpus that is there wherever the queries run."""
+    import os
+
+    import pyspark
+
+    from bytegrove.sources.archives import ArchiveOptions, archive_files
+
+    return archive_files(spark, [os.path.join(os.path.dirname(pyspark.__file__), "jars")], ArchiveOptions(accept_names=names))
+
+
+def s2_archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each archive of the installed PySpark, and each in it: entries, class files, those of newer versions, and errors."""
+    from bytegrove.sources.archives import list_entries
+
+    e = list_entries(_spark_archives(spark))
+    name = F.element_at(F.split("element", "/"), -1)
+    return e.groupBy(name.alias("archive"), "nested").agg(
+        F.count("path").alias("n_entries"), F.count_if("is_classfile").alias("n_classes"), F.count_if(F.col("version") > 8).alias("n_versioned"), F.sum("length").alias("bytes"), F.count("error").alias("n_errors")
+    )
+
+
+def s15_parsed_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of the archives whose names match spark-sql-api*.jar, with what their files declare."""
+    from bytegrove.sources.archives import list_entries
+    from bytegrove.sources.scan import parse_classes
+
+    p = parse_classes(list_entries(_spark_archives(spark, "spark-sql-api*.jar")).where("is_classfile and error is null"))
+    return p.select("class_name", "superclass", "major", F.size("methods").alias("n_methods"), F.size("fields").alias("n_fields"), F.size("annotations").alias("n_annotations"), F.size("refs").alias("n_refs"), "parse_error")
+
+
 QUERIES = {
     "g1_subclasses": _rel("subclasses"), "g2_superclasses": _rel("superclasses"), "g3_superclass": _rel("superclass"), "g4_superinterfaces": _rel("superinterfaces"),
     "g5_implementing": _rel("implementing"), "g6_subinterfaces": _rel("subinterfaces"), "g7_outer": _rel("outer"), "g7_inner": _rel("inner"),
@@ -265,7 +296,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         f2_kinds, f3_visible, f4_path_status, f14_globs, f16_has, f17_modifiers, u_set_operations, u_assignable, j2_placeholders, j4_membership, w1_masking,
-        f14_selections, g12_annotation_instances, g16_type_arguments, s8_manifests, sig_methods, a1_resources_by_path, a2_duplicate_paths, a5_last_modified, a8_modifier_union, s11_element_order, g18_dependencies, g19_reverse_dependencies, k1_dot_edges, k9_node_labels,
+        f14_selections, g12_annotation_instances, g16_type_arguments, s2_archive_entries, s8_manifests, s15_parsed_classes, sig_methods, a1_resources_by_path, a2_duplicate_paths, a5_last_modified, a8_modifier_union, s11_element_order, g18_dependencies, g19_reverse_dependencies, k1_dot_edges, k9_node_labels,
     )
 }
 
