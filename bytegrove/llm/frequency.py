@@ -2,7 +2,8 @@
 
 Terms and record identifiers are range-partitioned and sorted as pairs, then each partition is scanned in run lengths.
 Ranges are over the whole (term, record, row) triple, so a term that holds a third of all rows spans many partitions and
-equal triples still meet in one; the runs at partition borders are added up afterwards.
+equal triples still meet in one; the runs at partition borders are added up afterwards. A border may also fall inside one
+(term, record), so the records at the ends of a partition are put out by name and counted as distinct ones.
 """
 
 from __future__ import annotations
@@ -12,12 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from bytegrove.scratch import Scratch
 
 _RUNS = "kind string, term string, n bigint, n_records bigint"
-_SCHEMA = pa.schema([("kind", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("n_records", pa.int64())])
+_FIELDS = [("kind", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("n_records", pa.int64())]
 
 
 def _changed(column: pa.Array, before) -> np.ndarray:
@@ -35,12 +36,21 @@ _START = object()
 
 
 def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Run-length scan of sorted (kind, term, record, row): one (kind, term, occurrences, records) per run of a term.
+    """Run-length scan of sorted (kind, term, record, row): (kind, term, occurrences, records, edge) of the runs of a term.
 
-    Rows equal in all four count once; a run is carried over from batch to batch. Null records count as no record.
+    Rows equal in all four count once; a run is carried over from batch to batch. Null records count as no record. The
+    first and the last record of all rows may go on in other partitions: they are left out of ``records`` and given as
+    ``edge``, which is null elsewhere. The first one has a row of its own, with nothing else counted.
     """
     last = (_START,) * 4
     open_run: list | None = None
+    inside = False  # whether the last (kind, term, record) is another than the first
+    schema: pa.Schema | None = None
+
+    def batch_of(runs: list, edge=None) -> pa.RecordBatch:
+        columns = [*zip(*runs), (edge,) * len(runs)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
     for batch in batches:
         if not len(batch):
             continue
@@ -49,6 +59,13 @@ def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_record = new_term | _changed(record, last[2])
         new_row = new_record | _changed(row, last[3])
         counted = new_record & pc.is_valid(record).to_numpy(zero_copy_only=False)
+        if schema is None:
+            schema = pa.schema([*_FIELDS, ("edge", record.type)])
+            yield batch_of([(kind[0].as_py(), term[0].as_py(), 0, 0)], record[0].as_py())
+            counted[0] = False
+            inside = bool(new_record[1:].any())
+        else:
+            inside = inside or bool(new_record.any())
         starts = np.flatnonzero(new_term)
         edges = np.concatenate(([0], starts[starts > 0]))
         rows, records = np.add.reduceat(new_row.astype(np.int64), edges), np.add.reduceat(counted.astype(np.int64), edges)
@@ -62,9 +79,11 @@ def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_run = runs.pop()
         last = tuple(c[len(batch) - 1].as_py() for c in (kind, term, record, row))
         if runs:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*runs), _SCHEMA)], schema=_SCHEMA)
+            yield batch_of(runs)
     if open_run is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(open_run, _SCHEMA)], schema=_SCHEMA)
+        edge = last[2] if inside else None
+        open_run[3] -= edge is not None
+        yield batch_of([open_run], edge)
 
 
 def term_frequencies(
@@ -83,8 +102,9 @@ def term_frequencies(
     given = sc.save(given, "given")
     totals = given.where("record is not null").select("kind", "record").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("total_records"))
     order = ["kind", "term", "record", "row_key"]
-    runs = given.where("term is not null").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(scan_runs, _RUNS)
-    terms = runs.groupBy("kind", "term").agg(F.sum("n").alias("n"), F.sum("n_records").alias("n_records"))
+    schema = T.StructType.fromDDL(_RUNS).add("edge", given.schema["record"].dataType)
+    runs = given.where("term is not null").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(scan_runs, schema)
+    terms = runs.groupBy("kind", "term").agg(F.sum("n").alias("n"), (F.sum("n_records") + F.count_distinct("edge")).alias("n_records"))
     top, bottom = common_share
     mark = F.when(F.col("n_records") < rare_below, F.lit("rare")).when(F.col("n_records") * bottom >= F.col("total_records") * top, F.lit("common"))
     # One row per kind, and the kinds are named by the caller's expression.

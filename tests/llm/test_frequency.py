@@ -49,6 +49,18 @@ def test_runs_cross_batches_and_partitions(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_record_spans_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [("k", "one", "r1", i, None, None) for i in range(4000)] + [("k", "two", f"r{i % 2}", i, None, None) for i in range(4000)]
+        rows += [("k", "nowhere", None, i, None, None) for i in range(2000)] + [("k", f"t{i % 7}", f"s{i % 40}", i % 3, None, None) for i in range(2000)]
+        got = run(spark, rows)
+        assert got == brute(rows)
+        assert got["k", "one"] == (4000, 1, 42, "rare") and got["k", "two"] == (4000, 2, 42, "rare")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_empty_nulls_and_long(spark):
     assert run(spark, []) == {}
     rows = [("k", None, "r", 1, None, None), ("k", "x" * 100_000, None, None, None, None)]
