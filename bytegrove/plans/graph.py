@@ -251,15 +251,15 @@ def a5_last_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modification(table(spark, sf_dir, "cp_elements"), "2024-06-01 00:00:00")
 
 
-def _spark_archives(spark: SparkSession, *names: str) -> DataFrame:
+def _spark_archives(spark: SparkSession) -> DataFrame:
     """Archives of the installed PySpark, as a corpus that is there wherever the queries run."""
     import os
 
     import pyspark
 
-    from bytegrove.sources.archives import ArchiveOptions, archive_files
+    from bytegrove.sources.archives import archive_files
 
-    return archive_files(spark, [os.path.join(os.path.dirname(pyspark.__file__), "jars")], ArchiveOptions(accept_names=names))
+    return archive_files(spark, [os.path.join(os.path.dirname(pyspark.__file__), "jars")])
 
 
 def s2_archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,11 +274,11 @@ def s2_archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s15_parsed_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes of the archives whose names match spark-sql-api*.jar, with what their files declare."""
+    """Each class file of the archives of the installed PySpark, with what it declares."""
     from bytegrove.sources.archives import list_entries
     from bytegrove.sources.scan import parse_classes
 
-    p = parse_classes(list_entries(_spark_archives(spark, "spark-sql-api*.jar")).where("is_classfile and error is null"))
+    p = parse_classes(list_entries(_spark_archives(spark)).where("is_classfile and error is null"))
     return p.select("class_name", "superclass", "major", F.size("methods").alias("n_methods"), F.size("fields").alias("n_fields"), F.size("annotations").alias("n_annotations"), F.size("refs").alias("n_refs"), "parse_error")
 
 

@@ -242,3 +242,16 @@ def test_directory_order(spark, tmp_path):
     assert got == [("a.txt", False), ("c.txt", False), ("b/z.txt", False), ("b/a/A.class", True)]
     with open_file((tmp_path / "a.txt").as_uri()) as f:
         assert f.read() == b"1"
+
+
+def test_parsed_classes_are_those_of_every_archive(spark, compiled, tmp_path, monkeypatch):
+    import pyspark
+
+    from bytegrove.plans.graph import QUERIES
+
+    (tmp_path / "jars").mkdir()
+    jar([("p/Base.class", compiled["p/Base.class"])], tmp_path / "jars" / "spark-sql-api_2.13-4.jar")
+    jar([("q/Far.class", compiled["q/Far.class"]), ("BOOT-INF/lib/in.jar", jar([("q/Deep.class", compiled["q/Deep.class"])]))], tmp_path / "jars" / "other-1.jar")
+    monkeypatch.setattr(pyspark, "__file__", str(tmp_path / "__init__.py"))
+    got = QUERIES["s15_parsed_classes"](spark, "").collect()
+    assert {r.class_name for r in got} == {"p.Base", "q.Far", "q.Deep"} and not any(r.parse_error for r in got)
