@@ -11,8 +11,9 @@ are read against each block, whole and without a shuffle of texts.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -25,6 +26,8 @@ from bytegrove.llm.textnorm import SPACELESS, tokens
 WINDOW = 5
 #: A word, or three characters of a script without spaces, in at least so many items belongs to templates.
 COMMON_ITEMS = 3
+#: An item is aligned with whole texts if some passage that is long enough has fewer windows than this.
+FEW_WINDOWS = 2
 #: Characters of evaluation text that one broadcast holds at most, but for an item that is longer alone.
 BLOCK_CHARS = 4_000_000
 
@@ -100,14 +103,19 @@ def windows(canon: list[tuple[str, str | None, int]]) -> Iterator[tuple[tuple, l
 class Index:
     """Windows of a block of items, for documents to be looked up in."""
 
-    def __init__(self, items: dict[int, list[str]], common: frozenset[str]):
+    def __init__(self, items: dict[int, list[str]], common: frozenset[str], share: float):
         self.items, self.common = items, common
         self.windows: dict[tuple, list[tuple[int, tuple, int]]] = defaultdict(list)
         self.anchors: set[str] = set()
+        #: Items of which windows may not find every passage, as there are few: these are compared with every text.
+        self.plain: list[int] = []
         #: Tokens that a window of an item covers at most.
         self.reach = WINDOW
         for item, toks in items.items():
-            for key, w in windows(canonical(toks, common)):
+            own = list(windows(canonical(toks, common)))
+            if _least([w[0][2] for _, w in own], [w[-1][2] for _, w in own], _shortest(toks, share), len(toks)) < FEW_WINDOWS:
+                self.plain.append(item)
+            for key, w in own:
                 self.windows[key].append((item, _slots(w), w[0][2]))
                 self.anchors.add(key[1])
                 self.reach = max(self.reach, sum(len(v) if v and SPACELESS.match(v) else 1 for _, v, _ in w))
@@ -147,7 +155,16 @@ class Index:
 
     def leaks(self, toks: list[str], share: float, same: float) -> Iterator[tuple[int, int, int, int]]:
         """(item, its tokens, tokens of the repeated passage, of these the same) for items that the tokens repeat."""
-        for item, at in self.hits(toks).items():
+        hits, there = self.hits(toks), set(toks)
+        for item in self.plain:
+            a = self.items[item]
+            if there and dense(a, there, share, same):
+                _, span, matched = align(a, toks)
+                # Cut ends are no more than what may differ of the shortest passage: of a short item that is nothing.
+                if span + min(2, int((1 - same) * share * len(a))) >= share * len(a) and matched >= same * span and span:
+                    hits.pop(item, None)
+                    yield item, len(a), span, matched
+        for item, at in hits.items():
             a = self.items[item]
             best = (0.0, 0, 0)
             for lo, hi in _regions(at, len(a), len(toks)):
@@ -189,14 +206,24 @@ def _regions(at: list[tuple[int, int]], size: int, n: int) -> Iterator[tuple[int
     yield lo, hi
 
 
-def dense(a: list[str], b: list[str], share: float, same: float) -> bool:
+def _shortest(a: list[str], share: float) -> int:
+    """Tokens that the shortest passage of a has, after its ends were cut."""
+    return max(1, math.ceil(share * len(a)) - 2)
+
+
+def _least(first: list[int], last: list[int], length: int, n: int) -> int:
+    """The least number of windows, by the positions of their first and last tokens, inside any stretch of this length."""
+    return min(bisect_right(last, i + length - 1) - bisect_left(first, i) for i in range(n - length + 1))
+
+
+def dense(a: list[str], b: Collection[str], share: float, same: float) -> bool:
     """Whether a can have a passage of the wanted share in b: some stretch of that length must hold enough tokens of b.
 
     A passage of length L in [W, 2W) with a part s of its tokens in b has W consecutive ones with at least s / (2 - s) of W:
     its two halves overlap, or lack little. A longer passage has one of such length that is as dense.
     """
-    w = max(1, math.ceil(share * len(a)) - 2)
-    there = set(b)
+    w = _shortest(a, share)
+    there = b if isinstance(b, set) else set(b)
     sums = [0, *accumulate(t in there for t in a)]
     return max(sums[i + w] - sums[i] for i in range(len(a) - w + 1)) >= same / (2 - same) * w
 
@@ -277,7 +304,7 @@ def find_leaks(
 def _matcher(block, share: float, same: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rows = block.value
-        index = Index({i: t for i, t in ((i, tokens(t)) for i, t in rows) if t}, common)
+        index = Index({i: t for i, t in ((i, tokens(t)) for i, t in rows) if t}, common, share)
         schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_tokens", pa.int32()), ("span_tokens", pa.int32()), ("matched_tokens", pa.int32())])
         for batch in batches:
             found = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for x in index.leaks(tokens(t), share, same)]

@@ -79,6 +79,15 @@ def test_empty_and_null(spark):
     assert run(spark, {1: long}, {1: "alpha beta 77 gamma delta"}) == set()
 
 
+def test_items_without_template_words(spark):
+    rng = random.Random(3)
+    items = {1: item(rng), 2: item(rng, True)}
+    a, z = items[1].split(), items[2]
+    docs = {1: f"Thank you. {items[1]} That is all.", 2: " ".join(a[4:22]), 3: "他说" + z, 4: " ".join(a[:6]), 5: item(random.Random(4)), 6: None}
+    assert run(spark, docs, items) == {(1, 1), (2, 1), (3, 2)}
+    assert run(spark, docs, {1: items[1]}) == {(1, 1), (2, 1)}
+
+
 def test_alignment():
     a = "the 12 red cats of Zan met 40 dogs near Pel".lower().split()
     assert align(a, a)[1:] == (11, 11)
