@@ -1,228 +1,115 @@
 """Evaluation texts leaking into training text, by template canonicalisation.
 
-Numbers, names and units of a text become typed placeholders, the words that many evaluation items share stay as they
-are. Windows of this canonical text are hash-joined with those of the evaluation items on template and first slot;
-slots that disagree expose a question of the same build with other values. Whatever is left is aligned exactly.
-
-The evaluation set is the stated query set: it is cut into blocks of bounded size, each is broadcast, and all documents
-are read against each block, whole and without a shuffle of texts.
+Texts become tokens, and each token a typed slot: a number, the unit after a number, or a word that may be a name.
+Windows of five tokens are template windows with one slot open: the key of a window is the type of that slot and the
+values of all others, so two windows that share a key have consistent slots but for one at most, and a question of the
+same build with other names and numbers shares none or few. Keys of all items, of whatever length and number, are
+hash-joined with those of the documents. What is joined is aligned exactly.
+
+The corpus is read once for an evaluation set of any size. A bitmap of the keys, bounded in size, tells tasks which
+windows are worth passing on: only pieces of text around these are shuffled, never whole texts. A bitmap that fills up
+passes on more and loses nothing.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, bisect_right
-from collections import defaultdict
 from collections.abc import Collection, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bytegrove.llm.textnorm import SPACELESS, tokens
+from bytegrove.llm.textnorm import tokens
+from bytegrove.operators.skew import hot_keys, lookup_join
+from bytegrove.scratch import Scratch
 
-#: Canonical tokens of a window.
+#: Tokens of a template window.
 WINDOW = 5
-#: A word, or three characters of a script without spaces, in at least so many items belongs to templates.
-COMMON_ITEMS = 3
-#: An item is aligned with whole texts if some passage that is long enough has fewer windows than this.
-FEW_WINDOWS = 2
-#: Characters of evaluation text that one broadcast holds at most, but for an item that is longer alone.
-BLOCK_CHARS = 4_000_000
-
-#: Tokens that remarks may add to a passage, beyond a quarter of the item.
-ROOM = 60
-
-NUM, NAME, UNIT = "\0n", "\0a", "\0u"
+#: Windows that more texts of the evaluation set hold are formulas: an item does without them where enough others remain.
+COMMON_ITEMS = 1
+#: Tokens around a window that are passed on with it, on either side.
+MARGIN = 64
+#: Bits of the bitmap for each key and of the whole bitmap at most (128 MB).
+BITS_PER_KEY, MAX_BITS = 64, 1 << 30
+#: Bits of the bitmap in one row while it is put together.
+CHUNK = 1 << 16
+#: Words whose hash a task remembers.
+MEMORY = 1_000_000
 
 LEAKS = "doc_id bigint, item_id bigint, item_tokens int, span_tokens int, matched_tokens int"
 
+#: Odd multipliers, one for each place of a window, and the marks of an open slot by type: number, unit, word.
+_PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
+_OPEN = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
-def _features(toks: list[str]) -> Iterator[str]:
-    """What is counted over items to find template words: words, and threes of characters without spaces."""
-    for i, t in enumerate(toks):
-        if SPACELESS.match(t):
-            g = "".join(toks[i : i + 3])
-            if len(g) == 3:
-                yield "\0" + g
-        elif not t[0].isdigit():
-            yield t
 
+class _Hashes(dict):
+    """Token to 64 bits; the lowest tells whether it is a number."""
 
-def canonical(toks: list[str], common: frozenset[str]) -> list[tuple[str, str | None, int]]:
-    """(template token, slot value or None, position of the first token) in order.
+    def __missing__(self, token: str) -> int:
+        if len(self) >= MEMORY:
+            self.clear()
+        v = self[token] = xxhash.xxh64_intdigest(token) & ~1 | token[0].isdigit()
+        return v
 
-    A number is a NUM slot and the token after it a UNIT slot; a word outside the templates is a NAME slot, a run of such
-    characters in a script without spaces is one.
-    """
-    n = len(toks)
-    literal = [False] * n
-    spaceless = [t >= "\u2e80" and bool(SPACELESS.match(t)) for t in toks]  # all of them lie above
-    for i, t in enumerate(toks):
-        if not spaceless[i]:
-            literal[i] = t in common
-        elif i + 2 < n and "\0" + t + toks[i + 1] + toks[i + 2] in common:
-            literal[i] = literal[i + 1] = literal[i + 2] = True
-    out: list[tuple[str, str | None, int]] = []
-    i = 0
-    while i < n:
-        t = toks[i]
-        if t[0].isdigit():
-            out.append((NUM, t, i))
-            if i + 1 < n and not toks[i + 1][0].isdigit():
-                i += 1
-                out.append((UNIT, toks[i], i))
-        elif literal[i]:
-            out.append((t, None, i))
-        elif spaceless[i]:
-            j = i
-            while j + 1 < n and spaceless[j + 1] and not literal[j + 1]:
-                j += 1
-            out.append((NAME, "".join(toks[i : j + 1]), i))
-            i = j
-        else:
-            out.append((NAME, t, i))
-        i += 1
+
+def slot_types(a: np.ndarray) -> np.ndarray:
+    """Index into ``_OPEN`` of each token's slot: 0 number, 1 unit (what follows a number), 2 word."""
+    number = (a & np.uint64(1)).astype(bool)
+    out = np.where(number, 0, 2)
+    out[1:][number[:-1] & ~number[1:]] = 1
     return out
 
 
-def _slots(window: list[tuple[str, str | None, int]]) -> tuple[str | None, ...]:
-    return tuple(v for _, v, _ in window)
-
-
-def windows(canon: list[tuple[str, str | None, int]]) -> Iterator[tuple[tuple, list]]:
-    """((template, anchor value), window): the anchor is the first number or name; windows need one, and a template word."""
-    for k in range(len(canon) - WINDOW + 1):
-        w = canon[k : k + WINDOW]
-        anchor = next((v for t, v, _ in w if t is NUM or t is NAME), None)
-        if anchor is not None and any(v is None for _, v, _ in w):
-            yield (tuple(t for t, _, _ in w), anchor), w
-
-
-class Index:
-    """Windows of a block of items, for documents to be looked up in."""
-
-    def __init__(self, items: dict[int, list[str]], common: frozenset[str], share: float):
-        self.items, self.common = items, common
-        self.windows: dict[tuple, list[tuple[int, tuple, int]]] = defaultdict(list)
-        self.anchors: set[str] = set()
-        #: Items of which windows may not find every passage, as there are few: these are compared with every text.
-        self.plain: list[int] = []
-        #: Tokens that a window of an item covers at most.
-        self.reach = WINDOW
-        for item, toks in items.items():
-            own = list(windows(canonical(toks, common)))
-            if _least([w[0][2] for _, w in own], [w[-1][2] for _, w in own], _shortest(toks, share), len(toks)) < FEW_WINDOWS:
-                self.plain.append(item)
-            for key, w in own:
-                self.windows[key].append((item, _slots(w), w[0][2]))
-                self.anchors.add(key[1])
-                self.reach = max(self.reach, sum(len(v) if v and SPACELESS.match(v) else 1 for _, v, _ in w))
-        spaceless = {v for v in self.anchors if len(v) > 1 and SPACELESS.match(v)}
-        self.pairs, self.first = {v[:2] for v in spaceless}, {v[0] for v in spaceless}
-        self.heads = self.anchors - spaceless
-
-    def hits(self, toks: list[str]) -> dict[int, list[tuple[int, int]]]:
-        """Items with the (position here, position in the item) where a window of theirs occurs with consistent slots: at most one of them differs.
-
-        A window is looked at only where its anchor may be: a token, or two characters of a script without spaces, that
-        begins the value of some item's slot. Around these places the text is made canonical, not elsewhere.
-        """
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        heads = self.heads
-        at = [i for i, t in enumerate(toks) if t in heads]
-        if self.pairs:
-            pairs = self.pairs
-            at += [i for i, t in enumerate(toks[:-1]) if t in self.first and t + toks[i + 1] in pairs]
-            at.sort()
-        # A canonical token takes one word, or a run of characters, which may be long: then more of the text is taken.
-        for lo, hi in _spans(at, self.reach, len(toks)):
-            canon = canonical(toks[lo:hi], self.common)
-            for k in range(len(canon) - WINDOW + 1):
-                for t, v, _ in canon[k : k + WINDOW]:
-                    if t is NUM or t is NAME:
-                        break
-                else:
-                    continue
-                if v not in self.anchors:
-                    continue
-                w = canon[k : k + WINDOW]
-                for item, slots, there in self.windows.get((tuple(t for t, _, _ in w), v), ()):
-                    if sum(a != b for a, b in zip(slots, _slots(w))) <= 1:
-                        found[item].append((lo + w[0][2], there))
-        return found
-
-    def leaks(self, toks: list[str], share: float, same: float) -> Iterator[tuple[int, int, int, int]]:
-        """(item, its tokens, tokens of the repeated passage, of these the same) for items that the tokens repeat."""
-        hits, there = self.hits(toks), set(toks)
-        for item in self.plain:
-            a = self.items[item]
-            if there and dense(a, there, share, same):
-                _, span, matched = align(a, toks)
-                # Cut ends are no more than what may differ of the shortest passage: of a short item that is nothing.
-                if span + min(2, int((1 - same) * share * len(a))) >= share * len(a) and matched >= same * span and span:
-                    hits.pop(item, None)
-                    yield item, len(a), span, matched
-        for item, at in hits.items():
-            a = self.items[item]
-            best = (0.0, 0, 0)
-            for lo, hi in _regions(at, len(a), len(toks)):
-                if dense(a, toks[lo:hi], share, same):
-                    best = max(best, align(a, toks[lo:hi]))
-            _, span, matched = best
-            # The ends of a passage are cut where they differ, so up to two differing tokens there are not in span.
-            if span + 2 >= share * len(a) and matched >= same * span and span:
-                yield item, len(a), span, matched
-
-
-def _spans(at: list[int], reach: int, n: int) -> Iterator[tuple[int, int]]:
-    """Spans with all windows that hold one of these positions, and as much again for what decides about their tokens."""
-    lo = hi = None
-    for x in at:
-        a, b = max(0, x - 2 * reach - 3), min(n, x + 2 * reach + 4)
-        if hi is not None and a <= hi:
-            hi = b
-        else:
-            if hi is not None:
-                yield lo, hi
-            lo, hi = a, b
-    if hi is not None:
-        yield lo, hi
-
-
-def _regions(at: list[tuple[int, int]], size: int, n: int) -> Iterator[tuple[int, int]]:
-    """Spans of a document in which the whole item may lie around its hits, with room for remarks; spans that overlap are one."""
-    room = ROOM + size // 4
-    lo = hi = None
-    for here, there in sorted(at):
-        a, b = max(0, here - there - room), min(n, here - there + size + room)
-        if hi is not None and a <= hi:
-            lo, hi = min(lo, a), max(hi, b)
-        else:
-            if hi is not None:
-                yield lo, hi
-            lo, hi = a, b
-    yield lo, hi
-
-
-def _shortest(a: list[str], share: float) -> int:
-    """Tokens that the shortest passage of a has, after its ends were cut."""
-    return max(1, math.ceil(share * len(a)) - 2)
-
-
-def _least(first: list[int], last: list[int], length: int, n: int) -> int:
-    """The least number of windows, by the positions of their first and last tokens, inside any stretch of this length."""
-    return min(bisect_right(last, i + length - 1) - bisect_left(first, i) for i in range(n - length + 1))
-
-
-def dense(a: list[str], b: Collection[str], share: float, same: float) -> bool:
+def _mixed(k: np.ndarray) -> np.ndarray:
+    """Sums of products are spread over all bits."""
+    k = (k ^ (k >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return k ^ (k >> np.uint64(32))
+
+
+def window_keys(a: np.ndarray, short: tuple[int, ...] = ()) -> Iterator[tuple[int, np.ndarray]]:
+    """(tokens covered, key at each start) of the windows of hashed tokens, by the slot that is open.
+
+    The first and the last slot are open at once as runs of ``WINDOW - 1`` tokens; ``short`` names lengths of shorter runs
+    that some item needs.
+    """
+    for size in (*short, WINDOW - 1):
+        n = max(0, len(a) - size + 1)
+        run = np.zeros(n, np.uint64)
+        for i in range(size):
+            run += a[i : i + n] * _PLACE[i]
+        yield size, _mixed(run + np.uint64(size))
+    n = max(0, len(a) - WINDOW + 1)
+    whole = np.zeros(n, np.uint64)
+    for i in range(WINDOW):
+        whole += a[i : i + n] * _PLACE[i]
+    mark = _OPEN[slot_types(a)] if len(a) else a
+    for i in range(1, WINDOW - 1):
+        yield WINDOW, _mixed(whole + (mark[i : i + n] - a[i : i + n]) * _PLACE[i])
+
+
+def shortest(n: int, share: float, same: float) -> int:
+    """Tokens that the shortest passage of an item of n tokens has. The ends of a passage are cut where they differ: up to
+    two tokens, but no more than what may differ of it."""
+    return max(1, math.ceil(share * n) - min(2, int((1 - same) * share * n)))
+
+
+def run_length(n: int, share: float, same: float) -> int:
+    """Tokens of the runs an item of n tokens is looked up by: fewer where its shortest passage has few windows."""
+    least = shortest(n, share, same)
+    return WINDOW - 1 if least >= 2 * (WINDOW - 1) else min(2, least)
+
+
+def dense(a: list, b: Collection, share: float, same: float) -> bool:
     """Whether a can have a passage of the wanted share in b: some stretch of that length must hold enough tokens of b.
 
     A passage of length L in [W, 2W) with a part s of its tokens in b has W consecutive ones with at least s / (2 - s) of W:
     its two halves overlap, or lack little. A longer passage has one of such length that is as dense.
     """
-    w = _shortest(a, share)
+    w = shortest(len(a), share, same)
     there = b if isinstance(b, set) else set(b)
     sums = [0, *accumulate(t in there for t in a)]
     return max(sums[i + w] - sums[i] for i in range(len(a) - w + 1)) >= same / (2 - same) * w
@@ -265,15 +152,158 @@ def align(a: list[str], b: list[str], differ: float = 2.5, insert: float = 0.05)
     return best
 
 
-def template_words(items: DataFrame, text: str = "text", least: int = COMMON_ITEMS) -> frozenset[str]:
-    """Words that at least ``least`` items hold, over the whole evaluation set; their number is bounded by its size."""
+def passage(a: list, b: list, share: float, same: float) -> tuple[int, int] | None:
+    """(tokens of a's passage in b, of these equal) if it is long and alike enough."""
+    if not b or not dense(a, b, share, same):
+        return None
+    _, span, matched = align(a, b)
+    return (span, matched) if span >= shortest(len(a), share, same) and matched >= same * span else None
+
+
+def _hashed(items: DataFrame, share: float, same: float) -> DataFrame:
+    """(item_id, text_key, toks, run): items with any token; equal texts have equal keys whatever way they are written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _Hashes()
+        for batch in batches:
+            rows = [(i, [of[t] for t in tokens(x)]) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if x]
+            rows = [(i, np.array(a, np.uint64)) for i, a in rows if a]
+            cols = [
+                pa.array([i for i, _ in rows], pa.int64()), pa.array([xxhash.xxh128_hexdigest(a.tobytes()) for _, a in rows], pa.string()),
+                pa.array([a.view(np.int64) for _, a in rows], pa.list_(pa.int64())), pa.array([run_length(len(a), share, same) for _, a in rows], pa.int32()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["item_id", "text_key", "toks", "run"])
+
+    return items.mapInArrow(run, "item_id bigint, text_key string, toks array<bigint>, run int")
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text_key, toks, run) to (text_key, at, key), each key of a text at its first place."""
+    for batch in batches:
+        for text_key, toks, size in zip(*(c.to_pylist() for c in batch.columns)):
+            a = np.array(toks, np.int64).view(np.uint64)
+            parts = [k for n, k in window_keys(a, () if size == WINDOW - 1 else (size,)) if n == size or (n == WINDOW and size == WINDOW - 1)]
+            keys, at = np.concatenate(parts), np.concatenate([np.arange(len(k)) for k in parts])
+            keys, first = np.unique(keys, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array([text_key] * len(keys), pa.string()), pa.array(at[first], pa.int32()), pa.array(keys.view(np.int64))], names=["text_key", "at", "key"])
+
+
+def _chooser(share: float, same: float):
+    """Leaves out the windows that many texts hold, of texts in which every stretch that could leak keeps half of its places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text_key, n, ws in zip(*(c.to_pylist() for c in batch.columns)):
+                places = np.zeros(n + 1, np.int64)
+                places[[w["at"] + 1 for w in ws if w["n"] <= COMMON_ITEMS]] = 1
+                sums, length = np.cumsum(places), shortest(n, share, same)
+                kept = sums[length:] - sums[: n + 1 - length]
+                every = 2 * kept.min() < max(1, length - WINDOW + 2)
+                keys = [w["key"] for w in ws if every or w["n"] <= COMMON_ITEMS]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([text_key] * len(keys), pa.string())], names=["key", "text_key"])
+
+    return run
+
+
+def _bitmap(index: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of the keys, one bit for each of ``_SHIFTS``. The driver gets at most MAX_BITS bits, put together by tasks."""
+    bits = min(MAX_BITS, max(CHUNK, 1 << (n * BITS_PER_KEY - 1).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([f for t in batch.column(0).to_pylist() for f in set(_features(tokens(t or "")))], pa.string())], names=["f"])
+            packed = []
+            for where in batch.column(1).to_pylist():
+                chunk = np.zeros(CHUNK, bool)
+                chunk[where] = True
+                packed.append(np.packbits(chunk, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["chunk", "packed"])
+
+    # Bits of the key itself: it is mixed, so any run of its bits is a hash.
+    bit = F.explode(F.array(*(F.shiftrightunsigned("key", s).bitwiseAND(bits - 1) for s in _SHIFTS)))
+    chunks = index.select(bit.alias("bit")).select((F.col("bit") / CHUNK).cast("bigint").alias("chunk"), (F.col("bit") % CHUNK).cast("int").alias("b")).groupBy("chunk").agg(F.collect_set("b").alias("where"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in chunks.mapInArrow(run, "chunk bigint, packed binary").toLocalIterator():
+        out[r.chunk * CHUNK // 8 : (r.chunk + 1) * CHUNK // 8] = np.frombuffer(r.packed, np.uint8)
+    return out
+
 
-    counts = items.select(text).mapInArrow(run, "f string").groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-    return frozenset(r[0] for r in counts.where(F.col("n") >= least).select("f").toLocalIterator())
+#: Where the bits of a key begin that its probes take.
+_SHIFTS = (0, 17, 34)
+
+
+def _probe(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of the keys that the bitmap may hold; each probe looks at what the one before left."""
+    at = None
+    for s in _SHIFTS:
+        b = (keys if at is None else keys[at]) >> np.uint64(s) & np.uint64(len(bitmap) * 8 - 1)
+        hit = np.flatnonzero(bitmap[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8) & 1)
+        at = hit if at is None else at[hit]
+    return at
+
+
+_PIECE = pa.schema([("doc_row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("toks", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+PIECES = "doc_row bigint, doc_id bigint, piece int, start bigint, toks array<bigint>, keys array<bigint>"
+
+
+def _cutter(shared):
+    """(doc_row, doc_id, text) to the pieces of each text around windows that some item may hold, with their keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, short = shared.value
+        of = _Hashes()
+        for batch in batches:
+            row, doc, text = (c.to_pylist() for c in batch.columns)
+            part: list[list[int]] = [[of[t] for t in tokens(x)] if x else [] for x in text]
+            ends = np.cumsum([len(p) for p in part])
+            a = np.fromiter((v for p in part for v in p), np.uint64, int(ends[-1]))
+            owner = np.repeat(np.arange(len(part)), [len(p) for p in part])
+            at, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for size, k in window_keys(a, short):
+                hit = _probe(bitmap, k)
+                hit = hit[owner[hit] == owner[hit + size - 1]]
+                at.append(hit)
+                keys.append(k[hit])
+            at, keys = np.concatenate(at), np.concatenate(keys)
+            if not len(at):
+                continue
+            order = np.argsort(at, kind="stable")
+            at, keys = at[order], keys[order]
+            new = np.ones(len(at), bool)
+            new[1:] = (owner[at[1:]] != owner[at[:-1]]) | (np.diff(at) > 2 * MARGIN + WINDOW)
+            first = np.flatnonzero(new)
+            rows = []
+            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(at)]):
+                d = int(owner[at[lo]])
+                begin = int(ends[d]) - len(part[d])
+                a0, a1 = max(begin, int(at[lo]) - MARGIN), min(int(ends[d]), int(at[hi - 1]) + WINDOW + MARGIN)
+                same_doc = bool(rows) and rows[-1][0] == row[d]
+                rows.append((row[d], doc[d], rows[-1][2] + 1 if same_doc else 0, a0 - begin, a[a0:a1].view(np.int64), np.unique(keys[lo:hi]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECE)], schema=_PIECE)
+
+    return run
+
+
+def _aligner(share: float, same: float):
+    """(doc_id, text_key, pieces, toks) to what is a passage. Between two pieces as much is put as was left out, up to MARGIN."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("item_tokens", pa.int32()), ("span_tokens", pa.int32()), ("matched_tokens", pa.int32())])
+        for batch in batches:
+            found = []
+            for doc, key, pieces, a in zip(*(c.to_pylist() for c in batch.columns)):
+                b: list[int | None] = []
+                end = pieces[0]["start"]
+                for p in pieces:
+                    b += [None] * min(MARGIN, max(0, p["start"] - end))
+                    b += p["toks"][max(0, end - p["start"]) :]
+                    end = max(end, p["start"] + len(p["toks"]))
+                hit = passage(a, b, share, same)
+                if hit:
+                    found.append((doc, key, len(a), *hit))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+
+    return run
 
 
 def find_leaks(
@@ -283,32 +313,30 @@ def find_leaks(
 
     Tokens are words, or characters in scripts without spaces, whatever their case, spacing, hyphenation and digits.
     Of a passage at least ``same`` must agree: the fifth that may differ, and some room for words that the writing itself
-    splits. A document and an item come once at most, with the longest passage. Null and empty texts, on either side,
-    repeat nothing; ids that are null are kept as they are. Documents are read whole, once per block of items.
+    splits. A document id and an item id come once at most, with the longest passage; null is an id like another, and of
+    several texts under one id each is searched. Null and empty texts, on either side, repeat nothing. Items of any length
+    and number are found, whatever the other items hold; equal texts are searched once. Documents are read whole and once.
     """
-    spark = docs.sparkSession
-    common = template_words(items, item_text)
-    # The bound of what is broadcast: blocks by running number over the items' lengths.
-    total = items.agg(F.sum(F.length(item_text))).first()[0] or 0
-    blocks = int(total // BLOCK_CHARS) + 1
-    given = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
-    out = None
-    for b in range(blocks):
-        rows = given.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
-        block = spark.sparkContext.broadcast((common, [(r.i, r.t) for r in rows]))
-        found = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_matcher(block, share, same), LEAKS)
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("item_tokens", "span_tokens", "matched_tokens")))
-
-
-def _matcher(block, share: float, same: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, rows = block.value
-        index = Index({i: t for i, t in ((i, tokens(t)) for i, t in rows) if t}, common, share)
-        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_tokens", pa.int32()), ("span_tokens", pa.int32()), ("matched_tokens", pa.int32())])
-        for batch in batches:
-            found = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for x in index.leaks(tokens(t), share, same)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
-
-    return run
+    spark: SparkSession = docs.sparkSession
+    sc = Scratch(spark, "leaks")
+    given = sc.save(_hashed(items.select(F.col(item_id).cast("long"), F.col(item_text)), share, same), "items")
+    texts = sc.save(given.groupBy("text_key").agg(F.first("toks").alias("toks"), F.first("run").alias("run")), "texts")
+    windows = sc.save(texts.select("text_key", "toks", "run").mapInArrow(_windows, "text_key string, at int, key bigint"), "windows")
+    held = windows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    by_text = windows.join(held, "key").groupBy("text_key").agg(F.collect_list(F.struct("at", "key", "n")).alias("ws"))
+    sized = by_text.join(texts.select("text_key", F.size("toks").alias("n_tokens")), "text_key").select("text_key", "n_tokens", "ws")
+    index = sc.save(sized.mapInArrow(_chooser(share, same), "key bigint, text_key string"), "index")
+    sc.drop(windows)
+    n, short = index.count(), tuple(sorted(r[0] for r in texts.where(F.col("run") < WINDOW - 1).select("run").distinct().collect()))
+    shared = spark.sparkContext.broadcast((_bitmap(index, n), short))
+    rows = docs.select(F.monotonically_increasing_id().alias("doc_row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text))
+    pieces = sc.save(rows.mapInArrow(_cutter(shared), PIECES), "pieces")
+    keys = pieces.select("doc_row", "piece", F.explode("keys").alias("key"))
+    hits = sc.save(keys.join(index, "key").select("doc_row", "piece", "text_key").distinct(), "hits")
+    near = hits.join(pieces.drop("keys"), ["doc_row", "piece"]).groupBy("doc_row", "text_key").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("start", "toks"))).alias("pieces"))
+    near = sc.save(near, "near")
+    both = lookup_join(near, texts.select("text_key", F.col("toks").alias("item")), "text_key", "inner", hot_keys(hits, "text_key"))
+    leaks = both.select("doc_id", "text_key", "pieces", "item").mapInArrow(_aligner(share, same), "doc_id bigint, text_key string, item_tokens int, span_tokens int, matched_tokens int")
+    out = sc.save(leaks.join(given.select("text_key", "item_id"), "text_key").groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("item_tokens", "span_tokens", "matched_tokens"))), "leaks")
+    sc.drop(pieces, hits, near, index, texts, given)
+    return out
