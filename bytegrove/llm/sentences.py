@@ -1,9 +1,11 @@
 """Sentence boundaries across languages and scripts.
 
-Blank lines, headings, speaker labels, brackets and quotations are structure and found by rule. What remains are
-candidate boundaries: final punctuation, the end of a quotation that holds some, and white space in scripts that end
-sentences with it alone. A maximum-entropy model classifies each from the tokens around it, case, length, digits and
-script; it is trained on the boundaries that need no judgement, those at blank lines, and on periods that can't be one.
+Blank lines, headings, speaker labels, brackets and quotations are structure and found by shape. What remains are
+candidate boundaries: final punctuation of any script, the end of a quotation that holds some, and white space in scripts
+that end sentences with it alone. A maximum-entropy model decides about each of them from the tokens around it, case,
+length, digits and script. It starts from nothing: there are no word lists and no weights but those learned. Reliable
+boundaries train it: candidates at blank lines, candidates before a lower-case letter, and words of which enough is seen
+to tell whether they ever end a paragraph.
 """
 
 from __future__ import annotations
@@ -18,81 +20,147 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-#: Documents that the classifier is fitted on, the first by a hash of their id.
-SAMPLE_DOCS = 3000
-#: A word of at least TYPE_COUNT periods of which none ends a paragraph is no sentence end where a capital follows.
+#: Documents that the classifier is fitted on, the first by a hash of their id, and the longest of these that are taken.
+SAMPLE_DOCS, SAMPLE_CHARS = 3000, 20_000
+#: A word with so many candidates of which none ends a paragraph ends no sentence, if at least one in so many would.
 TYPE_COUNT = 25
+#: A word that ends so many paragraphs, and one in USUAL of its candidates, is taken to end sentences.
+ENDS, USUAL = 3, 20
+#: Words with fewer candidates are known by their shape only.
+KNOWN = 4
+#: White space is learned from the ends of blocks this long: shorter ones may be headings or labels.
+PARAGRAPH = 80
+#: Decisions that a task remembers.
+MEMORY = 400_000
+
+#: What Unicode has as the end of a sentence, but for the marks that also end abbreviations or stand for a break.
+_STERM = "".join(regex.findall(r"\p{STerm}", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x20000)]))))
+_WEAK = ".．｡…"
+_ENDS = _STERM + "…．｡"
 
 BLANK = regex.compile(r"[^\S\n]*\n(?:[^\S\n]*\n)+\s*")
 OPEN = {"(": ")", "[": "]", "（": "）", "［": "］", "【": "】", "{": "}"}
 QUOTES = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", '"': '"', "‹": "›", "〈": "〉", "《": "》", "＂": "＂"}
-_PLAIN_EVENT = re.compile(r"[()\[\]（）［］【】{}“”„«»「」『』\"‹›〈〉《》＂]|[.!?。！？।॥…؟．｡;;]+")
+_MARKS = r"[()\[\]（）［］【】{}“”„«»「」『』\"‹›〈〉《》＂]"
+_FINAL = f"[{re.escape(_ENDS)};;]+"
+_PLAIN_EVENT = re.compile(f"{_MARKS}|{_FINAL}")
 _THAI_CHAR = re.compile("[\u0e00-\u0e7f]")
 #: In Thai white space may end a sentence too.
-_EVENT = regex.compile(r"[()\[\]（）［］【】{}“”„«»「」『』\"‹›〈〉《》＂]|[.!?。！？।॥…؟．｡;;]+|(?<=\p{Thai}|[)\d])\s+(?=[\p{Thai}(\[])")
-_TERMINAL = regex.compile(r"[.!?。！？।॥؟．｡…]$")
-_SURE = set("!?。！？।॥؟｡")
+_EVENT = regex.compile(rf"{_MARKS}|{_FINAL}|(?<=\p{{Thai}}|[)\d])\s+(?=[\p{{Thai}}(\[])")
+_TERMINAL = re.compile(f"[{re.escape(_ENDS)}]$")
+_SURE = frozenset(_STERM) - frozenset(_WEAK)
 _SPACE = regex.compile(r"\s*")
 _SKIP = regex.compile(r"[\s\p{Cf}\p{Pi}\p{Ps}\p{Pf}\"'¿¡–—-]*")
 _TOKEN_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}\p{Cf}.’'§-]+$")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}\p{Cf}’'-]+")
 _LABEL = regex.compile(r"[^:：\n]{1,90}?(?:\n[^:：\n]{1,60}?)?\s?[:：]")
 _PARTY = regex.compile(r"\s*[(（][^()（）]*[)）]")
-_NO_LABEL = regex.compile(r"[!?。！？।…;,，、()（）\[\]“”„«»「」\"]")
+_NO_LABEL = re.compile(f"[{re.escape(''.join(sorted(_SURE)))}…;,，、()（）\\[\\]“”„«»「」\"]")
 _LABEL_WORD = regex.compile(r"[\p{L}\p{M}\p{N}’'.○-]+")
 _NUMBERING = regex.compile(r"(?:\p{L}[\p{L}\p{M}]*[.]?\s?){0,2}第?\s?\d+\s?[\p{L}\p{M}]{0,6}[.。]\s*")
-_ENDS_WITHIN = regex.compile(r"[.!?。！？।…](?:\s|$)|[。！？।]")
 _BRACKET = regex.compile(r"[(\[（［]")
 _COLON = regex.compile(r"[:：]\s*")
-_QUOTE_END = regex.compile(r"[.!?。！？।…؟]\s*$")
+_QUOTE_END = re.compile(f"[{re.escape(_ENDS)}]\\s*$")
 _GREEK = regex.compile(r"\p{Greek}")
 _CF = regex.compile(r"\p{Cf}+")
-_DEVANAGARI = regex.compile(r"\p{Devanagari}")
-_NO_CASE = regex.compile(r"[\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}]")
 _THAI_END = regex.compile(r"\p{Thai}$")
-_CASELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
-
-#: Fixed word lists: abbreviations that a name, number or rest follows.
-NEVER_FINAL = frozenset(
-    """mr mrs ms dr prof hon rev sen rep gov st dept no nos p pp para sec art ch fig vol ed vs e.g i.e cf approx ca c viz jan feb mar apr jun jul aug
-    sep sept oct nov dec mt gen col capt lt sgt messrs
-    abg hr fr prof dr st nr abs drs tab vgl s bzw z b d h u a o.g sog bspw ggf inkl evtl mind max rd art kap bd str
-    m mm mme mlle me p pp ex cf env al no art ann av bd vol env chap
-    sr sra srta d dña dª núm pág págs art aprox ej p ud uds dr dra cap vol admón
-    κ κα δρ βλ σελ αρ παρ π.χ εκατ κ.λπ δηλ κεφ αρθ
-    डॉ पृ सा क्र श्री प्रो रु सं
-    ดร ส.ส พ.ร.บ พ.ศ น.ส ร.ต ค.ศ""".split()
-)
-#: Abbreviations that may end a sentence.
-MAYBE_FINAL = frozenset("etc a.m p.m usw u.s.w etw co inc ltd jr sr. κ.λπ etc. ss mio mrd h".split())
-#: Words before a number with a period that is an ordinal, and lower-case words that a speaker's label may hold.
-BEFORE_ORDINAL = frozenset("der die das den dem des am im vom zum zur beim seit ab bis und jeder jede jedes".split())
+_PLAIN_WORD = re.compile(r"[^\W\d_]+")
+_SCRIPTS = regex.compile(r"(?P<latin>\p{Latin})|(?P<greek>\p{Greek})|(?P<cyrillic>\p{Cyrillic})|(?P<thai>\p{Thai})|(?P<cjk>[\p{Han}\p{Hiragana}\p{Katakana}])|(?P<other>\p{L})")
+
+#: Lower-case words that a speaker's label may hold. Fixed values.
 LABEL_WORDS = frozenset(
     """le la les el los las señor señora monsieur madame président présidente presidente presidenta vice speaker κ κα κος der die das of the
     von van de du des del di da and und et y""".split()
 )
-#: Endings of Thai clauses that close a sentence.
-THAI_FINAL = ("ครับ", "ค่ะ", "คะ", "จ้ะ", "ขอรับ")
 
-#: Where fitting starts and is drawn to: what is known of punctuation without any text.
-PRIOR = {
-    "bias": 1.0, "sure": 9.0, "next=upper": 2.0, "next=lower": -5.0, "next=digit": 0.0, "next=other": 0.5, "next=end": 6.0,
-    "never": -7.0, "never&upper": 0.0, "maybe": -1.5, "maybe&upper": 2.5, "initial": -6.0, "inner": -1.5, "inner&upper": 0.5,
-    "number": 0.0, "number&ordinal": -8.0, "number&lower": -3.0, "short": -1.0, "glued": -0.5, "glued&lower": -6.0, "acronym": -9.0,
-    "ellipsis": -3.0, "ellipsis&upper": 2.0, "quote": 0.5, "quote&upper": 3.0, "quote&lower": -9.0, "quote&other": -9.0, "quote&digit": -4.0, "quote&end": 9.0,
-    "space": -6.0, "space&final": 13.0, "devanagari": -7.0, "caseless": -7.0, "greek;": 8.0, "long": 1.0,
-}
+
+class Context(NamedTuple):
+    """What the model sees of a candidate."""
+
+    #: period, sure (a mark that is nothing else), ellipsis, quote (its closing mark), semicolon (Greek) or space (Thai).
+    kind: str
+    #: The word before, without invisible characters; before a number, ``before`` is the word before that.
+    word: str
+    before: str
+    #: What follows: upper, lower, digit, other or end; and its first word where case says nothing or a number stands before.
+    next: str
+    next_word: str
+    #: No white space follows, or another period does so after one letter; the word is the first of its block.
+    glued: int
+    first: bool
 
 
 class Candidate(NamedTuple):
-    """A possible boundary: ``end`` is where the unit would end; ``token`` is what the model knows the word by."""
+    """A possible boundary: ``end`` is where the unit would end; a forced one is the end of its block."""
 
     end: int
-    features: tuple[str, ...]
-    token: str
+    context: Context
     forced: bool
 
 
+def token_of(c: Context) -> str:
+    """What the word is counted by: numbers by the word before them."""
+    if c.kind in ("quote", "semicolon"):
+        return c.kind
+    if c.word[-1:].isdigit() and c.kind != "space":
+        return "#" + c.before.lower()
+    if c.kind == "space":
+        return c.word[-3:] if _THAI_END.search(c.word) else c.word[-1:]
+    return c.word.lower()
+
+
+def _bucket(n: int) -> str:
+    return str(n) if n < 4 else "4" if n < 6 else "6" if n < 9 else "9"
+
+
+def _usage(word: str, usage: dict[str, tuple[int, int]], own: int) -> str:
+    """How often the sample has the word with a period, of all its occurrences but ``own``; of a rare one nothing is known."""
+    n, dotted = usage.get(word, (0, 0))
+    n, dotted = n - own, dotted - own
+    return f"{min(4, 5 * dotted // n)}" if n >= KNOWN else ""
+
+
+def features(c: Context, usage: dict[str, tuple[int, int]] = {}, own: int = 0) -> tuple[str, ...]:  # noqa: B006  never written
+    """Names of the features that hold: neighbouring tokens, case, length, digits, script, and use without a period.
+
+    ``own`` is 1 for a candidate of the sample itself, which then doesn't count for its word's use.
+    """
+    word, k = c.word, c.kind
+    out = [k, f"{k}&{c.next}"]
+    if k == "sure":
+        return (*out, f"{k}&glued{c.glued}")
+    m = _SCRIPTS.match(word[-1:])
+    script = m.lastgroup if m else "digit" if word[-1:].isdigit() else "none"
+    out += [f"{k}&{script}", f"{k}&{script}&{c.next}"]
+    if k in ("quote", "semicolon"):
+        return (*out, f"{k}&next={c.next_word}") if c.next_word else tuple(out)
+    token = token_of(c)
+    out += [f"w={token}", f"w={token}&{c.next}"]
+    if k == "space":
+        return (*out, f"end={token[-2:]}", f"end={token[-1:]}")
+    if script == "digit":
+        n = len(word)
+        whole = "whole" if word.isdigit() else "part"
+        out += [f"number{min(n, 4)}&{whole}", f"number&{whole}&{c.next}", f"number&first={c.first}"]
+        if c.next_word:
+            out.append(f"number&next={c.next_word}")
+        return tuple(out)
+    case = "initial" if len(word) == 1 and word.isupper() else "upper" if word.isupper() else "title" if word[:1].isupper() else "lower"
+    length = _bucket(len(word))
+    out += [f"{k}&len{length}", f"{k}&len{length}&{c.next}", f"{k}&{script}&len{length}", f"{k}&{case}&len{length}", f"glued{c.glued}", f"glued{c.glued}&{c.next}"]
+    if not any(x in "aeiouyáéíóúàèìòùâêîôûäöüαεηιουωάέήίόύώ" for x in word.lower()) and script in ("latin", "greek"):
+        out.append(f"no vowel&{c.next}")
+    if "." in word:
+        out += ["inner", f"inner&{c.next}"]
+    elif k == "period":
+        use = _usage(token, usage, own)
+        if use:
+            out += [f"use{use}", f"use{use}&{c.next}", f"use{use}&{case}"]
+    if c.next_word:
+        out.append(f"next={c.next_word}")
+    return tuple(out)
+
+
 def _events(text: str, lo: int, hi: int) -> list:
     """Matches of brackets, quotation marks and what may end a sentence, in order."""
     return list((_EVENT if _THAI_CHAR.search(text, lo, hi) else _PLAIN_EVENT).finditer(text, lo, hi))
@@ -141,6 +209,8 @@ def _kind(text: str, i: int, hi: int) -> str:
 
 def _ahead(text: str, i: int, hi: int, brackets: dict[int, int]) -> int:
     """Position of the first letter or digit from i on, past brackets, opening quotes and white space."""
+    if i + 1 < hi and text[i] == " " and text[i + 1].isalnum():
+        return i + 1
     while True:
         i = _SKIP_SPACE(text, i, hi)
         if i in brackets:
@@ -159,10 +229,10 @@ def _SKIP_SPACE(text: str, i: int, hi: int) -> int:
     return _SPACE.match(text, i, hi).end()
 
 
-def label_end(text: str, lo: int, hi: int) -> int | None:
-    """End of a speaker label at the start of a block, its colon included; None if there is none."""
+def label_end(text: str, lo: int, hi: int, cuts: list[int] = ()) -> int | None:
+    """End of a speaker label at the start of a block, its colon included; None if there is none, or a cut lies within."""
     m = _LABEL.match(text, lo, hi)
-    if not m:
+    if not m or any(lo < c < m.end() for c in cuts):
         return None
     name = _PARTY.sub("", m.group()[:-1]).strip()
     after = _SPACE.match(text, m.end(), hi).end()
@@ -171,9 +241,7 @@ def label_end(text: str, lo: int, hi: int) -> int | None:
     if not name or _NO_LABEL.search(name) or name[0].isdigit():
         return None
     words = _LABEL_WORD.findall(name)
-    if not words or len(words) > 7 or any(w[0].isdigit() for w in words):
-        return None
-    if any(len(w) > 3 and w.endswith(".") and w[:-1].lower() not in NEVER_FINAL for w in words[:-1]):
+    if not words or any(w[0].isdigit() for w in words):
         return None
     for w in words:
         if w[0].islower() and w.rstrip(".").lower() not in LABEL_WORDS:
@@ -183,26 +251,27 @@ def label_end(text: str, lo: int, hi: int) -> int | None:
     return m.end()
 
 
-def is_heading(text: str, lo: int, hi: int, block: int) -> bool:
-    """A short block without final punctuation near the top whose only period, if any, follows its number."""
-    if block > 2 or hi - lo > 120:
-        return False
-    body = text[lo:hi]
-    if _TERMINAL.search(body) or body[-1] in ":：;；)）]］\"”»」":
-        return False
-    if any(x in body for x in THAI_FINAL):
+def numbering_end(text: str, lo: int, hi: int) -> int:
+    """End of the number that a block begins with, or ``lo``."""
+    m = _NUMBERING.match(text, lo, hi)
+    return m.end() if m else lo
+
+
+def is_heading(text: str, lo: int, hi: int, cuts: list[int] = ()) -> bool:
+    """A block without final punctuation at its end, and without a boundary inside but for one after its number."""
+    if _TERMINAL.search(text[hi - 1 : hi]) or text[hi - 1] in ":：;；)）]］\"”»」":
         return False
-    m = _NUMBERING.match(body)
-    if not m and _BRACKET.search(body):
+    at = numbering_end(text, lo, hi)
+    if at == lo and _BRACKET.search(text, lo, hi):
         return False
-    rest = body[m.end() :] if m else body
-    if _ENDS_WITHIN.search(rest):
+    if any(at < c < hi for c in cuts):
         return False
-    colon = _COLON.search(rest)
-    if colon and not m:
+    colon = _COLON.search(text, at, hi)
+    if colon and at == lo:
         # "ORDER OF THE DAY: bridge repairs" is one; "Mr. Rosin: I beg to move" isn't.
-        return rest[colon.end() : colon.end() + 1].islower() and rest[: colon.start()].isupper() and len(rest[: colon.start()].split()) > 2
-    return bool(m) or not colon
+        head = text[lo : colon.start()]
+        return text[colon.end() : colon.end() + 1].islower() and head.isupper() and len(head.split()) > 2
+    return at > lo or not colon
 
 
 def candidates(text: str, lo: int, hi: int) -> tuple[list[Candidate], list[tuple[int, int]]]:
@@ -222,21 +291,17 @@ def candidates(text: str, lo: int, hi: int) -> tuple[list[Candidate], list[tuple
             if is_bracket or m.end() != b or not _QUOTE_END.search(text[a : b - 1]):
                 continue
             j = _ahead(text, b, hi, brackets)
-            if b < hi and text[b] in ".!?。！？।…,;:，；、":
+            if b < hi and (text[b] in ",;:，；、：" or text[b] in _ENDS):
                 continue
             k = _kind(text, j, hi)
             spaced = b >= hi or text[b].isspace() or b in brackets
             if spaced or k == "end":
                 gap = _SPACE.match(text, b, hi).end()
                 dash = gap < hi and text[gap] in "–—-"
-                # Its own features only: without letter case nothing tells that a sentence goes on, so it is taken to.
-                out.append(Candidate(b, ("quote", f"quote&{'lower' if dash else k}"), "”", j >= hi))
+                out.append(Candidate(b, Context("quote", text[b - 2 : b - 1], "", "lower" if dash else k, _word(text, j, hi)[:1] if k == "other" else "", int(not spaced), False), j >= hi))
             continue
         if c[0].isspace():
-            before = text[max(lo, i - 8) : i]
-            final = before.endswith(THAI_FINAL)
-            feats = ["bias", "space", "word=" + before[-3:]] + (["space&final"] if final else [])
-            out.append(Candidate(i, tuple(feats), before[-3:], False))
+            out.append(Candidate(i, Context("space", text[max(lo, i - 4) : i], "", "bracket" if m.end() in brackets else "other", "", 0, False), False))
             continue
         if c in QUOTES or c[0] in "()[]（）［］【】{}”»」』›〉》":
             continue
@@ -250,7 +315,7 @@ def candidates(text: str, lo: int, hi: int) -> tuple[list[Candidate], list[tuple
             before = _WORD.findall(text[max(lo, i - 20) : i])
             if c[-1] == ";" or (before and _GREEK.search(before[-1])):
                 j = _ahead(text, end, hi, brackets)
-                out.append(Candidate(end, ("bias", "greek;", f"next={_kind(text, j, hi)}"), ";", j >= hi))
+                out.append(Candidate(end, Context("semicolon", "", "", _kind(text, j, hi), "", 0, False), j >= hi))
             continue
         j = _ahead(text, end, hi, brackets)
         out.append(_period(text, lo, hi, i, end, j, brackets))
@@ -264,53 +329,27 @@ def _word(text: str, j: int, hi: int) -> str:
 
 def _period(text: str, lo: int, hi: int, i: int, end: int, j: int, brackets: dict[int, int]) -> Candidate:
     c, kind = text[i:end], _kind(text, j, hi)
-    glued = end < hi and not text[end].isspace() and end not in brackets
+    glued = 0
+    if end < hi and not text[end].isspace() and end not in brackets:
+        glued = 2 if text[end + 1 : end + 2] == "." else 1
     if not _SURE.isdisjoint(c):
-        return Candidate(end, ("bias", "sure", f"next={kind}"), c, j >= hi)
-    f = ["bias", f"next={kind}"]
+        return Candidate(end, Context("sure", "", "", kind, "", min(glued, 1), False), j >= hi)
     m = _TOKEN_BEFORE.search(text, max(lo, i - 30), i)
     word = m.group() if m else ""
     if not word.isascii():
         word = _CF.sub("", word)
-    low = word.lower().strip("'’-").replace("’", "'").replace("-", "'").rsplit("'", 1)[-1]  # l’art. is art.
-    if "…" in c or c.startswith(".."):
-        f += ["ellipsis", f"ellipsis&{kind}"]
-        if _CASELESS.match(text, i - 1):
-            f.append("caseless")
-        return Candidate(end, tuple(f), "…", j >= hi)
-    key = low
-    if glued:
-        f += ["glued", f"glued&{kind}"]
-        if text[end + 1 : end + 2] == ".":
-            f.append("acronym")  # N.R.A.
-    if word[:1].isdigit() or (word and word[-1].isdigit()):
+    word = word.strip("'’-").replace("’", "'").replace("-", "'").rsplit("'", 1)[-1]  # l’art. is art.
+    dots = "…" in c or c.startswith("..")
+    before = ""
+    if word[-1:].isdigit():
         prev = _WORD.findall(text[max(lo, m.start() - 25) : m.start()])
         before = prev[-1].lower() if prev else ""
-        key = "#" + before
-        f += ["number", f"number&{kind}"]
-        # An ordinal: an article or preposition before the number and more of the noun phrase after it.
-        if before in BEFORE_ORDINAL and word.isdigit() and len(word) <= 2 and text[m.start() - 1 : m.start()].isspace() and not text[:m.start()].rstrip().endswith("."):
-            f.append("number&ordinal")
-    elif len(word) == 1 and word.isupper():
-        f.append("initial")
-    elif low in NEVER_FINAL and not (low in MAYBE_FINAL):
-        f += ["never", f"never&{kind}"]
-    elif low in MAYBE_FINAL:
-        f += ["maybe", f"maybe&{kind}"]
-    elif "." in low:
-        f += ["inner", f"inner&{kind}"]
-    elif len(low) <= 2:
-        f.append("short")
-    elif len(low) > 5:
-        f.append("long")
-    if word and _DEVANAGARI.match(word[-1]):
-        f.append("devanagari")
-    elif word and _NO_CASE.match(word[-1]):
-        f.append("caseless")
-    f.append("word=" + key)
-    if key[:1] == "#":
-        f.append(f"word&next={key}|{_word(text, j, hi)}")
-    return Candidate(end, tuple(f), key, j >= hi)
+        if text[: m.start()].rstrip()[-1:] in _WEAK and before:
+            before += "."
+    follows = _word(text, j, hi) if kind == "other" or before else ""
+    if follows and _SCRIPTS.match(follows) and _SCRIPTS.match(follows).lastgroup in ("cjk", "thai"):
+        follows = follows[:1]
+    return Candidate(end, Context("ellipsis" if dots else "period", word[-1:] if dots else word, before, kind, follows, glued, m is not None and m.start() <= lo), j >= hi)
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -327,88 +366,110 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
 
 
 class Model:
-    """Weights by feature name; a feature it doesn't know counts nothing."""
+    """Weights by feature name; a feature it doesn't know counts nothing, and what it knows nothing of is a boundary."""
 
-    def __init__(self, weights: dict[str, float]):
-        self.weights = weights
+    def __init__(self, weights: dict[str, float], usage: dict[str, tuple[int, int]] | None = None):
+        self.weights, self.usage = weights, usage or {}
+        self._known: dict[Context, bool] = {}
 
-    def score(self, features: tuple[str, ...]) -> float:
+    def score(self, context: Context) -> float:
         w = self.weights
-        return sum(w.get(f, 0.0) for f in features)
+        return sum(w.get(f, 0.0) for f in features(context, self.usage))
+
+    def ends(self, context: Context) -> bool:
+        """Whether a candidate is a boundary."""
+        known = self._known.get(context)
+        if known is None:
+            if len(self._known) >= MEMORY:
+                self._known.clear()
+            known = self._known[context] = self.score(context) >= 0
+        return known
 
     @classmethod
-    def fit(cls, texts: list[str], *, rounds: int = 60, strength: float = 0.02, rate: float = 0.5) -> Model:
-        """Maximum entropy with a Gaussian prior around PRIOR, on the boundaries that need no judgement.
+    def fit(cls, texts: list[str], *, rounds: int = 80, strength: float = 0.5, rate: float = 0.5) -> Model:
+        """Maximum entropy with a Gaussian prior around nothing, on the boundaries that need no judgement.
 
-        A candidate before a blank line is one. A period before a lower-case letter is none. Before a capital, one after
-        a word that never ends a paragraph in TYPE_COUNT tries is none, one after a word that often does is one. Others
-        are not used. A boundary before a blank line counts as followed by what the next block begins with.
+        A candidate before a blank line is one, with what the next block begins with as what follows. One before a
+        lower-case letter is none, nor is one after the number that a heading begins with. Of the others, those of a word
+        that never ends a paragraph in ``TYPE_COUNT`` tries or more are none, and those of a word that often does are ones
+        unless what follows never begins a paragraph. Candidates that none of this tells about are not used.
         """
-        seen: list[tuple[Candidate, bool]] = []
+        seen: list[tuple[Context, bool | None]] = []
+        starts: Counter[str] = Counter()
         for t in texts:
             bs = list(blocks(t))
             for n, (lo, hi) in enumerate(bs):
-                if is_heading(t, lo, hi, n):
-                    continue
+                starts[_word(t, _ahead(t, lo, hi, {}), hi)[:1]] += 1
                 start = label_end(t, lo, hi) or lo
+                numbered = numbering_end(t, lo, hi) if is_heading(t, lo, hi) else lo
+                follow = bs[n + 1] if n + 1 < len(bs) else None
+                kind, word = "upper", ""
+                if follow:
+                    j = _ahead(t, *follow, {})
+                    kind, word = _kind(t, j, follow[1]), _word(t, j, follow[1])[:1]
                 for c in candidates(t, start, hi)[0]:
-                    if "sure" in c.features:
-                        continue
+                    x = c.context
                     if c.forced:
-                        f = tuple("next=upper" if x == "next=end" else x.replace("&end", "&upper") for x in c.features)
-                        seen.append((c._replace(features=f), True))
+                        seen.append((x._replace(next=kind if kind != "end" else "upper", next_word=word if kind == "other" else "", glued=0), True))
+                    elif c.end <= numbered or x.next == "lower":
+                        seen.append((x, False))
                     else:
-                        seen.append((c, False))
-                tail = t[max(lo, hi - 3) : hi]
-                if _THAI_END.search(tail):
-                    seen.append((Candidate(hi, ("bias", "space", "word=" + tail, *(("space&final",) if t[lo:hi].endswith(THAI_FINAL) else ())), tail, True), True))
-        total, final = Counter(c.token for c, _ in seen), Counter(c.token for c, last in seen if last)
-        rows: list[tuple[tuple[str, ...], float]] = []
-        for c, last in seen:
-            n, k = total[c.token], final[c.token]
-            if last:
-                rows.append((c.features, 1.0))
-            elif "quote" in c.features:
-                continue
-            elif "next=lower" in c.features or ("next=digit" in c.features and not k):
-                rows.append((c.features, 0.0))
-            elif n >= TYPE_COUNT and not k:
-                rows.append((c.features, 0.0))
-            elif k >= 3 and k * 20 >= n and "number&ordinal" not in c.features:
-                rows.append((c.features, 1.0))
-        weights = dict(PRIOR)
+                        seen.append((x, None))
+                if hi - start >= PARAGRAPH and _THAI_END.search(t[hi - 1 : hi]):
+                    seen.append((Context("space", t[max(lo, hi - 4) : hi], "", "other", "", 0, False), True))
+        total = Counter(token_of(x) for x, _ in seen if x.kind != "sure")
+        final = Counter(token_of(x) for x, last in seen if last and x.kind != "sure")
+        words = Counter(w for t in texts for w in _PLAIN_WORD.findall(t.lower()))
+        dotted = Counter(x.word.lower() for x, _ in seen if x.kind == "period")
+        usage = {w: (words[w], n) for w, n in dotted.items()} | {w: (n, dotted[w]) for w, n in words.items() if n >= KNOWN}
+        rows: Counter[tuple[tuple[str, ...], bool]] = Counter()
+        for x, last in seen:
+            if x.kind == "sure" and last is None:
+                last = True
+            if last is None:
+                n, k = total[token_of(x)], final[token_of(x)]
+                if x.next_word and not starts[x.next_word[:1]] and len(starts) >= TYPE_COUNT:
+                    last = False
+                elif n >= TYPE_COUNT and not k:
+                    last = False
+                elif k >= ENDS and k * USUAL >= n and x.kind != "quote":
+                    last = True
+                else:
+                    continue
+            known = features(x, usage, 1)
+            if total[token_of(x)] < KNOWN:
+                known = tuple(f for f in known if not f.startswith("w="))
+            rows[known, last] += 1
         if not rows:
-            return cls(weights)
+            return cls({})
         names = {f: i for i, f in enumerate(dict.fromkeys(f for fs, _ in rows for f in fs))}
         flat = np.fromiter((names[f] for fs, _ in rows for f in fs), np.int64)
         row = np.repeat(np.arange(len(rows)), [len(fs) for fs, _ in rows])
-        y = np.array([v for _, v in rows])
-        prior = np.array([PRIOR.get(f, 0.0) for f in names])
-        w, adapt = prior.copy(), np.full(len(names), 1e-8)
+        y, times = np.array([v for _, v in rows], float), np.array(list(rows.values()), float)
+        w, adapt = np.zeros(len(names)), np.full(len(names), 1e-8)
         for _ in range(rounds):
             z = np.bincount(row, w[flat], len(rows))
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            g = np.bincount(flat, (p - y)[row], len(names)) + strength * (w - prior) * len(rows) / 1000
+            g = np.bincount(flat, (times * (p - y))[row], len(names)) + strength * w
             adapt += g * g
             w -= rate * g / np.sqrt(adapt)
-        weights.update(zip(names, w.tolist()))
-        return cls(weights)
+        return cls(dict(zip(names, w.tolist())), usage)
 
 
 def units(text: str, model: Model) -> Iterator[tuple[int, int]]:
     """(start, end) of the sentence units of a text in order, without outer white space, in code points."""
-    for n, (lo, hi) in enumerate(blocks(text)):
-        if is_heading(text, lo, hi, n):
+    for lo, hi in blocks(text):
+        cands, brackets = candidates(text, lo, hi)
+        cuts = [c.end for c in cands if c.forced or model.ends(c.context)]
+        if is_heading(text, lo, hi, cuts):
             yield lo, hi
             continue
-        at = label_end(text, lo, hi)
+        at = label_end(text, lo, hi, cuts)
         if at is not None:
             yield lo, at
             lo = _SPACE.match(text, at, hi).end()
             if lo >= hi:
                 continue
-        cands, brackets = candidates(text, lo, hi)
-        cuts = [c.end for c in cands if c.forced or model.score(c.features) > 0]
         start, inside = lo, dict(brackets)
         for cut in [*cuts, hi]:
             if cut <= start:
@@ -432,9 +493,16 @@ def units(text: str, model: Model) -> Iterator[tuple[int, int]]:
 
 
 def fit_model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS) -> Model:
-    """The model of at most ``sample`` documents with text, the first by a hash of their id."""
-    rows = docs.where(F.length(text) > 0).select(F.col(text).alias("t"), F.xxhash64(F.col(doc_id), F.lit(11)).alias("h")).orderBy("h", "t").limit(sample)
-    return Model.fit([r.t for r in rows.collect()])
+    """The model of at most ``sample`` documents of at most ``SAMPLE_CHARS``, the first by a hash of their id.
+
+    Hashes are chosen from the ids alone, texts are fetched of these only; of ids that many rows share some rows are taken.
+    """
+    h = F.xxhash64(F.col(doc_id), F.lit(11))
+    last = docs.select(h.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if last is None:
+        return Model({})
+    few = docs.where((h <= last) & F.length(text).between(1, SAMPLE_CHARS)).select(F.col(text).alias("t"), h.alias("h"))
+    return Model.fit([r.t for r in few.orderBy("h", "t").limit(sample).collect()])
 
 
 def split_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, model: Model | None = None, with_text: bool = True) -> DataFrame:
@@ -444,11 +512,12 @@ def split_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     speaker label, and a bracket between sentences are units. Null, empty and blank texts have none; a text without any
     boundary is one unit. Each document is split by itself, without a shuffle.
     """
-    weights = docs.sparkSession.sparkContext.broadcast((model or fit_model(docs, doc_id, text)).weights)
+    fitted = model or fit_model(docs, doc_id, text)
+    shared = docs.sparkSession.sparkContext.broadcast((fitted.weights, fitted.usage))
     ddl = "doc_id bigint, ord int, start_pos int, end_pos int" + (", sentence string" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(weights.value)
+        m = Model(*shared.value)
         columns = [("doc_id", pa.int64()), ("ord", pa.int32()), ("start_pos", pa.int32()), ("end_pos", pa.int32())]
         schema = pa.schema(columns + ([("sentence", pa.string())] if with_text else []))
         for batch in batches:
