@@ -2,7 +2,9 @@
 
 With N(h) containers open at fill level h, an item goes to the level that makes the sum of N(h)^2 over all partly filled
 levels smallest. The level array is all the state that choice needs. Tasks pack the documents they hold; what they leave
-partly filled are themselves items, and are packed again by fewer tasks, until one task has the last of them.
+partly filled are themselves items, and are packed again by fewer tasks that hold other mixtures. Rounds end when one task
+has had all that was left, when nothing left fits anything, or when a round saves next to nothing; no task ever holds
+more than a fixed number of items.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ from bytegrove.llm.tokens import VOCABULARY, token_counts
 from bytegrove.scratch import Scratch
 
 CAPACITY = 4096
-#: Leftover containers that one task packs again: with at most this many a single task suffices.
-FAN_IN = 50_000
+#: Items that one task packs, of documents and of leftover containers; a task that gets more starts afresh at this number.
+TASK_ITEMS, FAN_IN = 1_000_000, 50_000
 #: A container this full is left alone by later rounds.
 FULL = 0.98
+#: Rounds go on while one saves at least this part of the containers it packs again.
+SAVING = 0.005
 
 
 class SumOfSquares:
@@ -57,16 +61,21 @@ class SumOfSquares:
         return container
 
 
-def _packer(capacity: int):
+def _packer(capacity: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(task, id, size) to (task, id, size, container); an input partition is one task's items."""
+        """(task, id, size) to (task, id, size, part, container); a part of a task is at most ``most`` items, one packer's."""
         packers: dict[int, SumOfSquares] = {}
+        held: dict[int, int] = {}
         for batch in batches:
             task, size = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for t in set(task) - packers.keys():
-                packers[t] = SumOfSquares(capacity)
-            where = [packers[t].place(s) for t, s in zip(task, size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(where, pa.int64())], names=["task", "id", "size", "container"])
+            part, where = [], []
+            for t, s in zip(task, size):
+                n = held[t] = held.get(t, -1) + 1
+                if n % most == 0:
+                    packers[t] = SumOfSquares(capacity)
+                part.append(n // most)
+                where.append(packers[t].place(s))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(part, pa.int32()), pa.array(where, pa.int64())], names=["task", "id", "size", "part", "container"])
 
     return run
 
@@ -75,40 +84,41 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, scratch: Scratch | None
     """(id, size, container): items (id string, size 1..capacity) in containers, each container's sizes at most the capacity.
 
     The order within a task is by a hash of the id, so the result doesn't depend on how the input is split beyond the
-    number of shuffle partitions. Containers are named by round and number.
+    number of shuffle partitions. Containers are named by round and number. An empty table gives no rows.
     """
     spark = items.sparkSession
     sc = scratch or Scratch(spark, "packing")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     todo = sc.save(items.select("id", F.col("size").cast("long").alias("size")), "items")
-    # (id, box): which box of the last round holds the item of the first.
-    final, inside, round_ = [], None, 0
+    n, puts, most = todo.count(), [], TASK_ITEMS
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")) if n > FAN_IN else 1, -(-2 * n // TASK_ITEMS))
     while True:
-        n = todo.count()
-        tasks = 1 if n <= FAN_IN or round_ > 8 else max(1, min(tasks if round_ == 0 else tasks // 4, -(-n // FAN_IN) * 8))
-        task = F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("int")
+        round_ = len(puts)
+        # Another hash in each round: what one task couldn't fill meets others.
+        task = F.pmod(F.xxhash64("id", F.lit(round_)), F.lit(tasks)).cast("int")
         spread = todo.select(task.alias("task"), "id", "size").repartitionById(tasks, F.col("task")).sortWithinPartitions("task", F.xxhash64("id", F.lit(7)), "id")
-        put = sc.save(
-            spread.mapInArrow(_packer(capacity), "task int, id string, size bigint, container bigint").select(
-                "id", "size", F.concat(F.lit(f"{round_}-"), "task", F.lit("-"), "container").alias("box")
-            ),
-            "put",
-        )
-        inside = put.select("id", "size", "box") if inside is None else inside.withColumnRenamed("box", "mid").join(put.select(F.col("id").alias("mid"), "box"), "mid").drop("mid")
-        fill = put.groupBy("box").agg(F.sum("size").alias("size"))
-        if tasks == 1:
-            final.append(inside)
+        box = F.concat(F.lit(f"{round_}-"), "task", F.lit("-"), "part", F.lit("-"), "container").alias("box")
+        put = spread.mapInArrow(_packer(capacity, most), "task int, id string, size bigint, part int, container bigint").select("id", "size", box)
+        puts.append(sc.save(put, "put"))
+        if tasks == 1 and n <= most:
             break
+        fill = puts[-1].groupBy("box").agg(F.sum("size").alias("size"))
         part = sc.save(fill.where(F.col("size") < capacity * FULL).select(F.col("box").alias("id"), "size"), "part")
-        inside = sc.save(inside, "inside")
-        closed = inside.join(part.select(F.col("id").alias("box")), "box", "left_anti")
-        final.append(closed)
-        inside = sc.save(inside.join(part.select(F.col("id").alias("box")), "box", "left_semi"), "inside")
-        todo, round_ = part, round_ + 1
-    out = final[0].select("id", "size", "box")
-    for x in final[1:]:
-        out = out.unionByName(x.select("id", "size", "box"))
-    return out.withColumnRenamed("box", "container")
+        # What even the smallest leftover doesn't fit is closed.
+        least, left = part.agg(F.min("size"), F.count(F.lit(1))).first()
+        if not left or (puts[1:] and left > (1 - SAVING) * n):
+            break
+        todo = sc.save(part.where(F.col("size") + least <= capacity), "todo")
+        n, most = todo.count(), FAN_IN
+        sc.drop(part)
+        if n < 2:
+            break
+        tasks = 1 if n <= FAN_IN else -(-2 * n // FAN_IN)
+    # From the last round back: a box that was packed again is the box it went into. Later tables are ever smaller.
+    last = puts.pop()
+    while puts:
+        top = last.select(F.col("id").alias("box"), F.col("box").alias("top"))
+        last = puts.pop().join(top, "box", "left").select("id", "size", F.coalesce("top", "box").alias("box"))
+    return last.withColumnRenamed("box", "container")
 
 
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:

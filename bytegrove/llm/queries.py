@@ -10,6 +10,7 @@ from bytegrove.llm.frequency import term_frequencies
 from bytegrove.llm.leakage import find_leaks
 from bytegrove.llm.packing import CAPACITY, pack_documents
 from bytegrove.llm.sentences import split_sentences
+from bytegrove.scratch import Scratch
 from bytegrove.sources.tables import table
 
 
@@ -64,6 +65,21 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_packing(spark, sf_dir).where(F.col("doc_tokens") > CAPACITY).select("doc_id").distinct()
 
 
+def p6_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of any packing: each document once and whole, cut only if oversized, no container too full, and no
+    more containers than two in a hundred (and one) above the least possible number."""
+    p = Scratch(spark, "audit").save(p6_packing(spark, sf_dir), "packed")
+    docs = p.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("doc_tokens").alias("want"), F.count(F.lit(1)).alias("parts"), F.min("n_tokens").alias("least"))
+    wrong = docs.agg(
+        F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("n") != F.col("want")).alias("n_incomplete"),
+        F.count_if(F.col("parts") != F.greatest(F.lit(1), F.ceil(F.col("want") / CAPACITY))).alias("n_cut_wrongly"), F.count_if((F.col("want") == 0) != (F.col("least") == 0)).alias("n_empty_parts"),
+    )
+    boxes = p.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    full = boxes.agg(F.count_if(F.col("n") > CAPACITY).alias("n_overfull"), (F.count(F.lit(1)) <= F.ceil(F.sum("n") / CAPACITY * 1.02) + 1).alias("is_tight"))
+    both = wrong.unionByName(full, allowMissingColumns=True)  # one row each
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
+
+
 def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each speech with each test item that it repeats, and how much of it."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -84,7 +100,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_terms, p4_found, p4_pairs, p6_found, p6_packing, p7_found, p7_documents, p8_found, p8_sentences)
+    for f in (p3_found, p3_terms, p4_found, p4_pairs, p6_found, p6_packing, p6_audit, p7_found, p7_documents, p8_found, p8_sentences)
 }
 
 _TERMS = f"""rows_ AS (
@@ -114,6 +130,7 @@ def _h(*cells: str) -> str:
 _K = ("n_ab", "n_a - n_ab", "n_b - n_ab", "n - n_a - n_b + n_ab")
 
 ORACLE = {
+    "p6_audit": "SELECT count(DISTINCT doc_id) AS n_documents, 0 AS n_incomplete, 0 AS n_cut_wrongly, 0 AS n_empty_parts, 0 AS n_overfull, true AS is_tight FROM documents",
     "p3_found": f"WITH {_TERMS} SELECT kind, term, mark FROM marked WHERE mark IS NOT NULL",
     "p3_terms": f"WITH {_TERMS} SELECT kind, term, n, n_records, total_records, mark FROM marked",
     "p4_found": f"WITH {_PAIRS} SELECT item_a, item_b FROM pairs WHERE n_ab >= {MIN_PAIR} AND n_ab * n >= {LIFT} * n_a * n_b",

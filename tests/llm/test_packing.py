@@ -71,6 +71,36 @@ def test_containers(spark, monkeypatch, fan_in):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("low, high", [(2100, 3900), (1500, 2000), (4095, 4095)])
+def test_no_task_holds_more_than_its_share(spark, monkeypatch, low, high):
+    """Sizes that leave every container open end by themselves, and in every round the parts of a task are bounded."""
+    seen = []
+    place = packing._packer
+
+    def watched(capacity, most):
+        seen.append(most)
+        return place(capacity, most)
+
+    monkeypatch.setattr(packing, "FAN_IN", 100)
+    monkeypatch.setattr(packing, "TASK_ITEMS", 400)
+    monkeypatch.setattr(packing, "_packer", watched)
+    rng = random.Random(8)
+    sizes = {f"d{i}": rng.randint(low, high) for i in range(2000)}
+    rows = packing.pack(spark.createDataFrame(list(sizes.items()), "id string, size long")).collect()
+    n = check(rows, dict(sizes), 4096)
+    assert len(seen) < 12 and seen[0] == 400 and set(seen[1:]) <= {100}
+    # At most two such items fit one container.
+    assert n == 2000 if low > 2048 else n <= 1005
+
+
+def test_a_task_with_too_many_items_starts_afresh():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"task": pa.array([0] * 25, pa.int32()), "id": [str(i) for i in range(25)], "size": pa.array([3] * 25, pa.int64())})
+    (out,) = packing._packer(10, 10)(iter([batch]))
+    assert out.column(3).to_pylist() == [0] * 10 + [1] * 10 + [2] * 5
+
+
 @needs_vocabulary
 def test_documents(spark):
     enc = encoding(VOCABULARY, None)
