@@ -41,17 +41,19 @@ _ENDS = _STERM + "…．｡"
 BLANK = regex.compile(r"[^\S\n]*\n(?:[^\S\n]*\n)+\s*")
 OPEN = {"(": ")", "[": "]", "（": "）", "［": "］", "【": "】", "{": "}"}
 QUOTES = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", '"': '"', "‹": "›", "〈": "〉", "《": "》", "＂": "＂"}
-_MARKS = r"[()\[\]（）［］【】{}“”„«»「」『』\"‹›〈〉《》＂]"
-_FINAL = f"[{re.escape(_ENDS)};;]+"
-_PLAIN_EVENT = re.compile(f"{_MARKS}|{_FINAL}")
+_MARKS = r"()\[\]（）［］【】{}“”„«»「」『』\"‹›〈〉《》＂"
+_FINAL = re.escape(_ENDS) + ";;"
+#: A mark, or a run of what may end a sentence; one set to begin with, which the search is fastest for.
+_PLAIN_EVENT = re.compile(f"[{_MARKS}{_FINAL}](?:(?<=[{_FINAL}])[{_FINAL}]+)?")
 _THAI_CHAR = re.compile("[\u0e00-\u0e7f]")
 #: In Thai white space may end a sentence too.
-_EVENT = regex.compile(rf"{_MARKS}|{_FINAL}|(?<=\p{{Thai}}|[)\d])\s+(?=[\p{{Thai}}(\[])")
+_EVENT = regex.compile(rf"[{_MARKS}]|[{_FINAL}]+|(?<=\p{{Thai}}|[)\d])\s+(?=[\p{{Thai}}(\[])")
 _TERMINAL = re.compile(f"[{re.escape(_ENDS)}]$")
 _SURE = frozenset(_STERM) - frozenset(_WEAK)
 _SPACE = regex.compile(r"\s*")
 _SKIP = regex.compile(r"[\s\p{Cf}\p{Pi}\p{Ps}\p{Pf}\"'¿¡–—-]*")
-_TOKEN_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}\p{Cf}.’'§-]+$")
+#: Matched backwards from where it ends.
+_TOKEN_BEFORE = regex.compile(r"(?r)[\p{L}\p{M}\p{N}\p{Cf}.’'§-]+")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}\p{Cf}’'-]+")
 _LABEL = regex.compile(r"[^:：\n]{1,90}?(?:\n[^:：\n]{1,60}?)?\s?[:：]")
 _PARTY = regex.compile(r"\s*[(（][^()（）]*[)）]")
@@ -334,11 +336,12 @@ def _period(text: str, lo: int, hi: int, i: int, end: int, j: int, brackets: dic
         glued = 2 if text[end + 1 : end + 2] == "." else 1
     if not _SURE.isdisjoint(c):
         return Candidate(end, Context("sure", "", "", kind, "", min(glued, 1), False), j >= hi)
-    m = _TOKEN_BEFORE.search(text, max(lo, i - 30), i)
+    m = _TOKEN_BEFORE.match(text, max(lo, i - 30), i)
     word = m.group() if m else ""
     if not word.isascii():
         word = _CF.sub("", word)
-    word = word.strip("'’-").replace("’", "'").replace("-", "'").rsplit("'", 1)[-1]  # l’art. is art.
+    if not word.isalnum():
+        word = word.strip("'’-").replace("’", "'").replace("-", "'").rsplit("'", 1)[-1]  # l’art. is art.
     dots = "…" in c or c.startswith("..")
     before = ""
     if word[-1:].isdigit():
