@@ -1,80 +1,132 @@
 """Items that appear together: exact pair counts by stripes, with the log-likelihood ratio against chance.
 
 A stripe is an associative array from an item to its neighbours' counts. Each task adds the baskets it reads into stripes
-and passes on slices of them, so what is shuffled are merged counts and never the pairs of a basket.
+and passes on slices of them, which meet by (item, slice) and are merged as arrays: what is shuffled are merged counts and
+never the pairs of a basket, and the stripe of an item that is everywhere is spread over as many tasks as it has slices.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from bytegrove.operators.skew import lookup_join
 from bytegrove.scratch import Scratch
 
-#: Items of one basket that are held in one array; a larger basket is cut into blocks that meet two by two.
-BLOCK = 1024
+#: Items of one basket that are held in one array, about; a larger basket is cut into blocks that meet two by two.
+BLOCK = 512
 #: Entries of a task's stripes after which they are passed on.
 ENTRIES = 400_000
+#: Slices of a stripe, by a hash of the neighbour.
+SLICES = 16
+#: Log-likelihood ratio from which on a pair is more than chance: the 95 % point of chi-square with one degree of freedom.
+SIGNIFICANT = 3.841458820694124
 
-_STRIPES = "item_a string, neighbours map<string,bigint>"
-_SCHEMA = pa.schema([("item_a", pa.string()), ("neighbours", pa.map_(pa.string(), pa.int64()))])
+_STRIPES = "item_a string, slice int, neighbours map<string,bigint>"
+_SCHEMA = pa.schema([("item_a", pa.string()), ("slice", pa.int32()), ("neighbours", pa.map_(pa.string(), pa.int64()))])
 
 
-def _merge_baskets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _batches(stripes: list[tuple[str, int, dict[str, int]]]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(stripes), 2000):
+        a, k, s = zip(*stripes[i : i + 2000])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(k, pa.int32()), pa.array([list(x.items()) for x in s], _SCHEMA.field(2).type)], schema=_SCHEMA)
+
+
+def _add_baskets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stripes of the baskets read; the input is (left, right): pairs come from left x right, or from left alone if right is null."""
     stripes: dict[str, dict[str, int]] = {}
     held = 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        items = list(stripes.items())
-        for i in range(0, len(items), 2000):
-            part = items[i : i + 2000]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in part], pa.string()), pa.array([list(s.items()) for _, s in part], _SCHEMA.field(1).type)], schema=_SCHEMA)
+        sliced: list[tuple[str, int, dict[str, int]]] = []
+        for a, stripe in stripes.items():
+            parts: dict[int, dict[str, int]] = {}
+            for b, n in stripe.items():
+                parts.setdefault(zlib.crc32(b.encode("utf-8", "surrogatepass")) % SLICES, {})[b] = n
+            sliced.extend((a, k, p) for k, p in parts.items())
+        yield from _batches(sliced)
+
+    def add(a: str, others: list[str]) -> int:
+        stripe = stripes.setdefault(a, {})
+        before = len(stripe)
+        for b in others:
+            stripe[b] = stripe.get(b, 0) + 1
+        return len(stripe) - before
 
     for batch in batches:
         for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            left = sorted(left)  # str order is by code points
-            for i, a in enumerate(left):
-                stripe = stripes.setdefault(a, {})
-                held -= len(stripe)
-                for b in left[i + 1 :] if right is None else right:
-                    stripe[b] = stripe.get(b, 0) + 1
-                held += len(stripe)
+            if right is None:
+                left = sorted(left)  # str order is by code points
+                for i, a in enumerate(left[:-1]):
+                    held += add(a, left[i + 1 :])
+            else:
+                for a in left:
+                    held += add(a, [b for b in right if a < b])
+                for b in right:
+                    held += add(b, [a for a in left if b < a])
             if held >= ENTRIES:
                 yield from out()
                 stripes, held = {}, 0
     yield from out()
 
 
+def _merge_stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices in order of (item_a, slice) to one for each: arrays are merged by key as they stream by."""
+    last: tuple[str, int] | None = None
+    merged: dict[str, int] = {}
+    done: list[tuple[str, int, dict[str, int]]] = []
+    for batch in batches:
+        for a, k, entries in zip(*(c.to_pylist() for c in batch.columns)):
+            if (a, k) != last:
+                if last is not None:
+                    done.append((*last, merged))
+                last, merged = (a, k), {}
+            for b, n in entries:
+                merged[b] = merged.get(b, 0) + n
+        if len(done) >= 2000:
+            yield from _batches(done)
+            done = []
+    if last is not None:
+        done.append((*last, merged))
+    yield from _batches(done)
+
+
 def pair_counts(baskets: DataFrame, basket: Column, item: Column, *, min_pair: int = 1) -> DataFrame:
     """(item_a, item_b, n_ab, n_a, n_b, n): pairs of distinct items with a < b by code points, in at least ``min_pair`` baskets.
 
     n counts the baskets with any item. Null baskets and items are left out, a repeated row counts once, an empty table
     gives no rows. Items in fewer than ``min_pair`` baskets can't be in a pair and are dropped first, which is exact.
-    A basket of any size is fine: beyond BLOCK items its blocks are joined two by two.
+    A basket of any size is fine: beyond BLOCK items its blocks are joined two by two, each two in a task of their own.
     """
     sc = Scratch(baskets.sparkSession, "pairs")
     known = baskets.select(basket.alias("basket"), item.alias("item")).where("basket is not null and item is not null")
-    # Everything below is read from the distinct rows and the blocks, each written once.
+    # Everything below is read from the distinct rows, written once.
     rows = sc.save(known.groupBy("basket", "item").agg(F.lit(1).alias("one")).drop("one"), "rows")
     items = sc.save(rows.groupBy("item").agg(F.count(F.lit(1)).alias("n_item")), "items")
     total = rows.select("basket").distinct().count()
     frequent = rows.join(items.where(F.col("n_item") >= min_pair).select("item"), "item", "left_semi") if min_pair > 1 else rows
-    # A running number per basket streams through a sorted partition; blocks of it are the only arrays ever built.
-    by_basket = Window.partitionBy("basket")
-    numbered = frequent.withColumn("block", F.floor((F.row_number().over(by_basket.orderBy("item")) - 1) / BLOCK).cast("int"))
-    blocks = numbered.groupBy("basket", "block").agg(F.collect_list("item").alias("items")).withColumn("blocks", F.count(F.lit(1)).over(by_basket))
-    blocks = sc.save(blocks, "blocks")
+    # Baskets of more than BLOCK items are cut by a hash of the item, so that no step ever sees one of them whole.
+    sizes = frequent.groupBy("basket").agg(F.count(F.lit(1)).alias("size"))
+    large = sc.save(sizes.where(F.col("size") > BLOCK).select("basket", F.ceil(F.col("size") * 2 / BLOCK).cast("int").alias("blocks")), "large")
     none = F.lit(None).cast("array<string>")
-    within = blocks.select(F.col("items").alias("l"), none.alias("r"))
-    big = blocks.where("blocks > 1").select("basket", "block", "items")
-    other = big.select("basket", F.col("block").alias("block2"), F.col("items").alias("r"))
-    across = big.join(other, "basket").where(F.col("block") < F.col("block2")).select(F.col("items").alias("l"), "r")
-    stripes = within.unionByName(across).mapInArrow(_merge_baskets, _STRIPES)
-    # Arrays are merged by (item, neighbour), so the stripe of an item that is everywhere is no single group either.
-    pairs = stripes.select("item_a", F.explode("neighbours").alias("item_b", "c")).groupBy("item_a", "item_b").agg(F.sum("c").alias("n_ab")).where(F.col("n_ab") >= min_pair)
+    cut_any = not large.isEmpty()
+    if cut_any:
+        frequent = sc.save(frequent, "frequent")
+    whole = lookup_join(frequent, large, "basket", "left_anti") if cut_any else frequent
+    stripes = whole.groupBy("basket").agg(F.collect_list("item").alias("l")).select("l", none.alias("r"))
+    if cut_any:
+        cut = lookup_join(frequent, large, "basket", "inner").withColumn("block", F.pmod(F.xxhash64("item", F.lit(5)), F.col("blocks")).cast("int"))
+        blocks = sc.save(cut.groupBy("basket", "block", "blocks").agg(F.collect_list("item").alias("items")), "blocks")
+        # Each block goes to every block it meets, keyed by the two: one basket's pairs of blocks are spread over all tasks.
+        meets = blocks.select("basket", "block", "items", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where(F.col("block") != F.col("other"))
+        left = meets.where(F.col("block") < F.col("other")).select("basket", F.col("block").alias("x"), F.col("other").alias("y"), F.col("items").alias("l"))
+        right = meets.where(F.col("block") > F.col("other")).select("basket", F.col("other").alias("x"), F.col("block").alias("y"), F.col("items").alias("r"))
+        stripes = stripes.unionByName(blocks.select(F.col("items").alias("l"), none.alias("r"))).unionByName(left.join(right, ["basket", "x", "y"]).select("l", "r"))
+    slices = stripes.mapInArrow(_add_baskets, _STRIPES).repartition("item_a", "slice").sortWithinPartitions("item_a", "slice")
+    pairs = slices.mapInArrow(_merge_stripes, _STRIPES).select("item_a", F.explode("neighbours").alias("item_b", "n_ab")).where(F.col("n_ab") >= min_pair)
     a, b = (items.select(F.col("item").alias(f"item_{x}"), F.col("n_item").alias(f"n_{x}")) for x in "ab")
     return pairs.join(a, "item_a").join(b, "item_b").select("item_a", "item_b", "n_ab", "n_a", "n_b", F.lit(total).cast("long").alias("n"))
 

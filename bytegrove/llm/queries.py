@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bytegrove.functions.names import class_name, descriptor, sql_class_name, sql_descriptor
-from bytegrove.llm.cooccur import cooccurrence, pair_counts
+from bytegrove.llm.cooccur import SIGNIFICANT, cooccurrence
 from bytegrove.llm.frequency import term_frequencies
 from bytegrove.llm.leakage import find_leaks
 from bytegrove.llm.packing import CAPACITY, pack_documents
@@ -46,7 +46,8 @@ MIN_PAIR, LIFT = 5, 4
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pair_counts(_baskets(spark, sf_dir), F.col("basket"), F.col("item"), min_pair=MIN_PAIR)
+    """Pairs that are frequent, LIFT times as frequent as chance, and significantly so: with these numbers all are."""
+    p = cooccurrence(_baskets(spark, sf_dir), F.col("basket"), F.col("item"), min_pair=MIN_PAIR).where(F.col("llr") >= SIGNIFICANT)
     return p.where(F.col("n_ab") * F.col("n") >= LIFT * F.col("n_a") * F.col("n_b")).select("item_a", "item_b")
 
 

@@ -49,11 +49,27 @@ def test_large_baskets_and_flushes(spark, monkeypatch):
     monkeypatch.setattr(cooccur, "ENTRIES", 1)
     batch = pa.RecordBatch.from_arrays([pa.array(left), pa.array([None] * 3, pa.list_(pa.string()))], names=["l", "r"])
     total = Counter()
-    for out in cooccur._merge_baskets(iter([batch])):
-        for a, s in zip(*(c.to_pylist() for c in out.columns)):
-            for b, n in s:
-                total[a, b] += n
-    assert total == Counter({("a", "b"): 1, ("a", "c"): 1, ("b", "c"): 2, ("c", "d"): 1})
+    parts = list(cooccur._add_baskets(iter([batch])))
+    want = Counter({("a", "b"): 1, ("a", "c"): 1, ("b", "c"): 2, ("c", "d"): 1})
+    rows = sorted(r for out in parts for r in zip(*(c.to_pylist() for c in out.columns)))
+    for a, _, s in rows:
+        total.update({(a, b): n for b, n in s})
+    assert total == want and len(rows) == 5
+    ordered = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 2]), cooccur._SCHEMA)], schema=cooccur._SCHEMA) for i in (0, 2, 4)]
+    merged = [r for out in cooccur._merge_stripes(iter(ordered)) for r in zip(*(c.to_pylist() for c in out.columns))]
+    assert Counter({(a, b): n for a, _, s in merged for b, n in s}) == want and len({(a, k) for a, k, _ in merged}) == len(merged)
+
+
+def test_no_block_of_a_large_basket_holds_it_whole(spark, monkeypatch):
+    """One basket holds most rows: it is met in blocks of about BLOCK items, each two of them once."""
+    monkeypatch.setattr(cooccur, "BLOCK", 20)
+    rows = [("big", f"i{k:03d}", None, 0) for k in range(200)] + [(f"s{k}", f"i{k:03d}", None, 0) for k in range(40)]
+    df = spark.createDataFrame(rows, "b string, i string, item string, basket int")
+    sizes = []
+    real = cooccur.lookup_join
+    monkeypatch.setattr(cooccur, "lookup_join", lambda l, r, k, how: (sizes.append((how, r.collect())), real(l, r, k, how))[1])
+    assert cooccur.pair_counts(df, F.col("b"), F.col("i")).count() == 200 * 199 // 2
+    assert {h for h, _ in sizes} == {"left_anti", "inner"} and sizes[0][1][0].blocks == 20
 
 
 def test_significance(spark):
