@@ -1,57 +1,72 @@
-"""Transitive closure that is safe on circles."""
+"""Transitive closure that is safe on circles and takes every link, however many a node has."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from bytegrove.operators.skew import lookup_join, union_all
 from bytegrove.scratch import Scratch
 
 
 def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(root, node, depth): nodes reachable from each root by one edge or more, with the fewest.
 
-    Semi-naive: each round joins only the newest pairs with the edges and keeps what was not seen. A root is in its own
-    closure only if a circle leads back. ``edges`` has (src, dst); ``seeds`` has (root), else every src is one. Null ends
-    are no edges. Rounds equal the longest shortest path; for deep chains use ``Hierarchy`` or ``squared_closure``.
+    A root is in its own closure only if a circle leads back. ``edges`` has (src, dst); a pair that comes twice is one
+    edge, null ends are none, an empty table gives no rows. With ``seeds`` (root) only these are roots.
+
+    Pairs double their reach: whoever is more than D and at most 2 D edges away has a node halfway that is D away, so a
+    round joins the pairs of exactly D edges with all pairs, and the rounds are about log2 of the longest distance. Nodes
+    that nothing leads on from are not joined at all, so a top that everything reaches makes no hot key. Each round
+    writes its new pairs only.
     """
     sc = Scratch(edges.sparkSession, "closure")
     e = sc.save(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "edges")
-    start = e.select(F.col("src").alias("root"), F.col("dst").alias("node"))
     if seeds is not None:
-        start = start.join(seeds.select("root").distinct(), "root", "left_semi")
-    frontier = sc.save(start.withColumn("depth", F.lit(1)), "pairs")
-    parts = [frontier]
-    steps = e.withColumnRenamed("src", "node")
-    while not frontier.isEmpty():
-        depth = len(parts) + 1
-        seen = parts[0]
-        for p in parts[1:]:
-            seen = seen.unionByName(p)
-        step = frontier.select("root", "node").join(steps, "node").select("root", F.col("dst").alias("node")).distinct()
-        frontier = sc.save(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "pairs")
-        parts.append(frontier)
-    out = parts[0]
-    for p in parts[1:-1]:
-        out = out.unionByName(p)
-    return out
-
-
-def reachable(links: DataFrame) -> DataFrame:
-    """(root, node, depth) upwards over (child, parent) links with one parent each: pointer doubling, circles included.
-
-    A node on a circle reaches every node of it, itself last; one that leads into a circle reaches all of it too.
+        return _walk(sc, e, seeds)
+    on = e.select("src").distinct().select(F.col("src").alias("dst"), F.lit(True).alias("on"))
+    first = lookup_join(e, on, "dst", "left").select(F.col("src").alias("root"), F.col("dst").alias("node"), F.lit(1).alias("depth"), F.coalesce("on", F.lit(False)).alias("on"))
+    parts, reach = [sc.save(first, "pairs")], 1
+    sc.drop(e)
+    while True:
+        # Pairs of exactly ``reach`` edges are all in the newest part.
+        ahead = parts[-1].where((F.col("depth") == reach) & F.col("on")).select("root", "node")
+        if ahead.isEmpty():
+            return union_all(parts).select("root", "node", "depth")
+        known = union_all(parts)
+        steps = known.select(F.col("root").alias("node"), F.col("node").alias("to"), F.col("depth").alias("more"), "on")
+        step = ahead.join(steps, "node").groupBy("root", F.col("to").alias("node")).agg((F.min("more") + reach).cast("int").alias("depth"), F.first("on").alias("on"))
+        parts.append(sc.save(step.join(known.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", "depth", "on"), "pairs"))
+        reach *= 2
+
+
+def _walk(sc: Scratch, e: DataFrame, seeds: DataFrame) -> DataFrame:
+    """From few roots by single edges: each round joins the newest pairs and keeps what was not seen."""
+    start = e.join(seeds.select(F.col("root").alias("src")).distinct(), "src", "left_semi")
+    parts = [sc.save(start.select(F.col("src").alias("root"), F.col("dst").alias("node"), F.lit(1).alias("depth")), "pairs")]
+    while not parts[-1].isEmpty():
+        step = parts[-1].select("root", F.col("node").alias("src")).join(e, "src").select("root", F.col("dst").alias("node")).distinct()
+        seen = union_all(parts).select("root", "node")
+        parts.append(sc.save(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(len(parts) + 1)), "pairs"))
+    return union_all(parts)
+
+
+def circles(links: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(node, cycle_name): every node on a circle of any links, with the smallest node that it reaches and is reached by.
+
+    Links outside circles are peeled off first: a link whose end has no link on, or whose start none leads to, is on no
+    circle. What is left is small unless circles are, and its closure tells who reaches whom.
     """
-    from bytegrove.operators.hierarchy import Hierarchy
-
-    h = Hierarchy(links)
-    up = h.descendants().select(F.col("descendant").alias("root"), "node", F.col("distance").alias("depth"))
-    rings = h.rings()
-    size = rings.groupBy("cycle_name").agg(F.count(F.lit(1)).cast("int").alias("size"))
-    members = rings.join(size, "cycle_name")
-    other = rings.select("cycle_name", F.col("node").alias("to"), F.col("steps").alias("to_steps"))
-    # Steps count down to the smallest node, so a member is as far ahead as it has steps less, around the circle.
-    ahead = F.pmod(F.col("steps") - F.col("to_steps") - 1, F.col("size")) + 1
-    ring = members.join(other, "cycle_name").select(F.col("node").alias("root"), F.col("to").alias("node"), ahead.alias("depth"))
-    entry = h.nodes().where("status = 'into_cycle'").select(F.col("node").alias("start"), F.element_at("path", -1).alias("root"), F.col("depth").alias("before"))
-    around = entry.join(ring.where("root <> node"), "root").select(F.col("start").alias("root"), "node", (F.col("before") + F.col("depth")).alias("depth"))
-    return up.unionByName(ring).unionByName(around)
+    sc = Scratch(links.sparkSession, "circles")
+    e = sc.save(links.select(F.col(child).alias("src"), F.col(parent).alias("dst")).where("src is not null and dst is not null").distinct(), "links")
+    n = e.count()
+    while n:
+        inner = lookup_join(e, e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        kept = sc.save(inner.join(inner.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "links")
+        sc.drop(e)
+        e, before = kept, n
+        n = e.count()
+        if n == before:
+            break
+    reach = closure(e).select("root", "node")
+    back = reach.select(F.col("node").alias("root"), F.col("root").alias("node"))
+    return reach.join(back, ["root", "node"], "left_semi").groupBy(F.col("root").alias("node")).agg(F.min("node").alias("low")).select("node", F.least("node", "low").alias("cycle_name"))

@@ -10,30 +10,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from bytegrove.operators.closure import circles, closure
 from bytegrove.operators.skew import HOT_SHARE, lookup_join, union_all
 from bytegrove.scratch import Scratch
 
 
 def clean_links(links: DataFrame, child: str, parent: str) -> DataFrame:
-    """(node, parent) once each. Rows with a null end are no links.
+    """(node, parent, several) once for each node. Rows with a null end are no links.
 
-    A child with several parents keeps the smallest (code points), so that the result is a forest plus circles;
-    ``ambiguous_links`` has the others.
+    A child with several parents has the smallest (code points) here, and ``several`` says so.
     """
     return (
         links.select(F.col(child).alias("node"), F.col(parent).alias("parent"))
         .where(F.col("node").isNotNull() & F.col("parent").isNotNull())
         .groupBy("node")
-        .agg(F.min("parent").alias("parent"))
+        .agg(F.min("parent").alias("parent"), (F.min("parent") != F.max("parent")).alias("several"))
     )
 
 
-def ambiguous_links(links: DataFrame, child: str, parent: str) -> DataFrame:
-    """(node, parent): links that ``clean_links`` does not follow, as their child has a smaller parent too."""
-    every = links.select(F.col(child).alias("node"), F.col(parent).alias("parent")).where("node is not null and parent is not null").distinct()
-    return every.join(clean_links(links, child, parent), ["node", "parent"], "left_anti")
-
-
 def pointer_stats(pointers: DataFrame, before: int | None) -> tuple[int, int, list]:
     """Rows, distinct pointer targets, and hot targets of (node, ptr), in one job.
 
@@ -50,21 +44,33 @@ def pointer_stats(pointers: DataFrame, before: int | None) -> tuple[int, int, li
 class Hierarchy:
     """The resolved links of one table; build it once, read its tables lazily.
 
-    Null or missing ends, repeated rows and an empty table are fine; columns other than the two named are ignored.
+    Null or missing ends, repeated rows and an empty table are fine; columns other than the two named are ignored. Where a
+    node has several parents, its path (one of very many then) follows the smallest; circles and descendants are those of
+    all links.
     """
 
     def __init__(self, links: DataFrame, child: str = "child", parent: str = "parent"):
         self.scratch = Scratch(links.sparkSession, "hierarchy")
         self.links = self.scratch.save(clean_links(links, child, parent), "links")
+        self.every = links.select(F.col(child).alias("src"), F.col(parent).alias("dst"))
+        self._several: bool | None = None
         self._rings: DataFrame | None = None
         self._nodes: DataFrame | None = None
 
+    @property
+    def several(self) -> bool:
+        """Whether any node has several parents."""
+        if self._several is None:
+            self._several = not self.links.where("several").isEmpty()
+        return self._several
+
     def cycles(self) -> DataFrame:
-        """(node, cycle_name): every node on a circle, with the smallest node of its circle."""
-        return self.rings().select("node", "cycle_name")
+        """(node, cycle_name): every node on a circle, with the smallest node of its circle; of circles that share nodes,
+        with the smallest of them all."""
+        return circles(self.every, "src", "dst") if self.several else self.rings().select("node", "cycle_name")
 
     def rings(self) -> DataFrame:
-        """(node, cycle_name, steps): ``cycles`` with the number of links from the node to the smallest one."""
+        """(node, cycle_name, steps): the circles that paths lead into, with the links from the node to the smallest one."""
         if self._rings is None:
             self._rings = self._order_rings(self._double(paths=False)[1])
         return self._rings
@@ -79,22 +85,26 @@ class Hierarchy:
         state = self.links.select("node", F.col("parent").alias("ptr"), *([F.array("parent").alias("seg"), F.lit(False).alias("done")] if paths else []))
         state = sc.save(state, "pointers")
         total, image, hot = pointer_stats(state, None)
+        #: What earlier rounds resolved, written once; a round reads and writes what it works on.
+        done: list[DataFrame] = []
         while total:
             if paths:
                 todo = state.where(~F.col("done"))
-                ahead = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("seg").alias("seg2"), F.col("done").alias("done2"))
+                ahead = union_all([*done, state]).select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("seg").alias("seg2"), F.col("done").alias("done2"))
                 step = lookup_join(todo, ahead, "ptr", "left", hot).select(
                     "node",
                     F.coalesce("ptr2", "ptr").alias("ptr"),
                     F.when(F.col("ptr2").isNull(), F.col("seg")).otherwise(F.concat("seg", "seg2")).alias("seg"),
                     (F.col("ptr2").isNull() | F.col("done2")).alias("done"),
-                ).unionByName(state.where("done"))
+                )
+                done.append(state.where("done"))
             else:
                 # A pointer to a node that is itself resolved, or has no parent, ends at a root: the node leaves.
                 ahead = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"))
                 step = lookup_join(state, ahead, "ptr", "inner", hot).select("node", F.col("next").alias("ptr"))
             later = sc.save(step, "pointers")
-            sc.drop(state)
+            if not paths:
+                sc.drop(state)
             state, before = later, (total, image)
             total, image, hot = pointer_stats(state.where(~F.col("done")) if paths else state, total)
             # No node left: all that remain lead into circles. No target less either: each target is on a circle,
@@ -102,7 +112,7 @@ class Hierarchy:
             if (total, image) == before:
                 break
         if paths:
-            return state.where("done").drop("done"), state.where(~F.col("done")).drop("done")
+            return union_all([*done, state.where("done")]).drop("done"), state.where(~F.col("done")).drop("done")
         return None, state
 
     def _order_rings(self, left: DataFrame) -> DataFrame:
@@ -137,7 +147,7 @@ class Hierarchy:
         resolved, left = self._double(paths=True)
         if self._rings is None:
             self._rings = self._order_rings(left)
-        cycles = self.cycles()
+        cycles = self._rings.select("node", "cycle_name")
         none = F.lit(None).cast("string")
         tree = resolved.select(
             "node", F.col("ptr").alias("root"), F.size("seg").alias("depth"), F.concat(F.array("node"), "seg").alias("path"), F.lit("tree").alias("status"), none.alias("cycle_name")
@@ -160,7 +170,10 @@ class Hierarchy:
     def descendants(self) -> DataFrame:
         """(node, descendant, distance): one row per pair, so that a top with billions below it is no single row.
 
-        Nodes on a circle are no descendants of each other here; nodes that lead into it are, of its entry.
+        Nodes on a circle are no descendants of each other here; nodes that lead into it are, of its entry. Where a node has
+        several parents these are the pairs of all links, with the least distance, those on circles included.
         """
+        if self.several:
+            return closure(self.every).select("node", F.col("root").alias("descendant"), F.col("depth").alias("distance"))
         step = self.nodes().where("depth > 0").select(F.col("node").alias("descendant"), F.posexplode("path").alias("distance", "node"))
         return step.where("distance > 0").select("node", "descendant", "distance")
