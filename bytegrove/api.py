@@ -134,7 +134,7 @@ class Graph:
 
     def dependencies(self, class_refs: DataFrame | None = None) -> DataFrame:
         self.catalog.scope.need("refs")
-        return self.relations._keep("answer_dependencies", lambda: dependencies(self.catalog, class_refs))
+        return self.relations._keep("answer_dependencies", lambda: dependencies(self.catalog, class_refs, self._members))
 
-    def dependency_counts(self, reverse: bool = False) -> DataFrame:
+    def dependency_map(self, reverse: bool = False) -> DataFrame:
         return dependency_map(self.dependencies(), reverse)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from bytegrove.functions.globs import any_prefix, sql_any_prefix
 from bytegrove.functions.modifiers import ANNOTATION, INTERFACE
 from bytegrove.functions.names import class_name, descriptor, package_of, sql_class_name, sql_descriptor
+from bytegrove.scratch import Scratch
 from bytegrove.sources.tables import table
 
 #: Forward relations; the reverse of each is the same edges read from dst to src.
@@ -58,6 +59,16 @@ class Catalog:
         self.raw = {"classes": classes, "edges": edges, "methods": methods, "fields": fields, "annotations": annotations, "elements": elements, "external": external}
         self.scope = scope
         self.spark: SparkSession = classes.sparkSession
+        self._scratch: Scratch | None = None
+
+    def pin(self) -> Catalog:
+        """Classes and edges are written once when first asked for: for questions that read them many times."""
+        if self._scratch is None:
+            self._scratch = Scratch(self.spark, "catalog")
+        return self
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        return df if self._scratch is None else self._scratch.save(df, name)
 
     @classmethod
     def load(cls, spark: SparkSession, sf_dir: str, scope: Scope = Scope()) -> Catalog:
@@ -66,13 +77,24 @@ class Catalog:
 
     @cached_property
     def edges(self) -> DataFrame:
-        """(rel, src, dst, ord, nonprivate): forward relations only, each once, both ends known; extends never from an interface."""
+        """(rel, src, dst, ord, nonprivate): forward relations only, each once, both ends known; no interface extends Object."""
         e = self.raw["edges"]
         back = F.col("rel") == "extended_by"
         src, dst = class_name(F.when(back, F.col("dst")).otherwise(F.col("src"))), class_name(F.when(back, F.col("src")).otherwise(F.col("dst")))
         rel = F.when(back, F.lit("extends")).otherwise(F.col("rel"))
         known = e.select(rel.alias("rel"), src.alias("src"), dst.alias("dst"), "ord", "nonprivate").where("src is not null and dst is not null")
-        return known.groupBy("rel", "src", "dst").agg(F.min("ord").alias("ord"), F.max(F.coalesce("nonprivate", F.lit(False))).alias("nonprivate"))
+        once = known.groupBy("rel", "src", "dst").agg(F.min("ord").alias("ord"), F.max(F.coalesce("nonprivate", F.lit(False))).alias("nonprivate"))
+        # A class file of an interface names Object as its superclass; it is none.
+        interfaces = self._rows().where(F.col("modifiers").bitwiseAND(INTERFACE) != 0).select(F.col("class_name").alias("itf")).distinct()
+        return self._kept(once.join(interfaces, (F.col("src") == F.col("itf")) & (F.col("rel") == "extends") & (F.col("dst") == OBJECT), "left_anti"), "edges")
+
+    def _rows(self) -> DataFrame:
+        """Rows of classes, those of the platform included, by their clean names; a name may have several."""
+        keep = ["modifiers", "is_record", "is_external", "inherited_meta", "cp_idx", "resource_path", "package_name", "module_name", "type_signature", "scanned_at"]
+        rows = self.raw["classes"]
+        if self.raw["external"] is not None:
+            rows = rows.unionByName(self.raw["external"])
+        return rows.select(class_name("class_name").alias("class_name"), *keep).where("class_name is not null")
 
     def rel(self, *names: str) -> DataFrame:
         """(src, dst) of relations."""
@@ -84,18 +106,15 @@ class Catalog:
 
         A type that is named as an annotation or interface has these bits whether or not it was scanned.
         """
-        keep = ["modifiers", "is_record", "is_external", "inherited_meta", "cp_idx", "resource_path", "package_name", "module_name", "type_signature", "scanned_at"]
-        rows = self.raw["classes"]
-        if self.raw["external"] is not None:
-            rows = rows.unionByName(self.raw["external"])
-        rows = rows.select(class_name("class_name").alias("class_name"), *keep).where("class_name is not null")
+        rows = self._rows()
+        keep = rows.columns[1:]
         first = F.min(F.struct(*_null_last("is_external"), *_null_last("cp_idx"), *_null_last("scanned_at"), *_null_last("modifiers"), *_null_last("type_signature"), *[k for k in keep if k not in ("is_external", "cp_idx", "scanned_at", "modifiers", "type_signature")]))
         known = rows.groupBy("class_name").agg(first.alias("f")).select("class_name", *(F.col(f"f.{k}").alias(k) for k in keep))
         bit = F.when(F.col("rel").endswith("_ann"), ANNOTATION | INTERFACE).when(F.col("rel") == "implements", INTERFACE).otherwise(0)
         ends = self.edges.select(F.col("dst").alias("class_name"), bit.alias("bits")).unionByName(self.edges.select(F.col("src").alias("class_name"), F.lit(0).alias("bits")))
         named = ends.groupBy("class_name").agg(F.bit_or("bits").alias("bits"))
         out = known.join(named, "class_name", "full")
-        return out.select(
+        out = out.select(
             "class_name",
             F.coalesce("modifiers", F.lit(0)).bitwiseOR(F.coalesce("bits", F.lit(0))).alias("modifiers"),
             F.coalesce("is_record", F.lit(False)).alias("is_record"),
@@ -105,6 +124,7 @@ class Catalog:
             package_of("class_name").alias("package_name"),
             "module_name", "type_signature",
         )
+        return self._kept(out, "classes")
 
     def show(self, df: DataFrame, column: str, strict: bool = True) -> DataFrame:
         """Rows of ``df`` whose ``column`` names a visible class."""
@@ -145,7 +165,9 @@ SQL_EDGES = f"""edges_ AS (
   SELECT rel, src, dst, min(ord) AS ord, bool_or(coalesce(nonprivate, false)) AS nonprivate FROM (
     SELECT CASE rel WHEN 'extended_by' THEN 'extends' ELSE rel END AS rel, {sql_class_name("CASE rel WHEN 'extended_by' THEN dst ELSE src END")} AS src,
       {sql_class_name("CASE rel WHEN 'extended_by' THEN src ELSE dst END")} AS dst, ord, nonprivate FROM edges)
-  WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY rel, src, dst)"""
+  WHERE src IS NOT NULL AND dst IS NOT NULL
+    AND NOT (rel = 'extends' AND dst = '{OBJECT}' AND src IN (SELECT {sql_class_name("class_name")} FROM (SELECT class_name, modifiers FROM classes UNION ALL SELECT class_name, modifiers FROM platform_classes) WHERE modifiers & {INTERFACE} <> 0 AND class_name IS NOT NULL))
+  GROUP BY rel, src, dst)"""
 
 SQL_CLASSES = f"""{SQL_EDGES},
 raw_ AS (

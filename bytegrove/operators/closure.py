@@ -25,18 +25,21 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
         return _walk(sc, e, seeds)
     on = e.select("src").distinct().select(F.col("src").alias("dst"), F.lit(True).alias("on"))
     first = lookup_join(e, on, "dst", "left").select(F.col("src").alias("root"), F.col("dst").alias("node"), F.lit(1).alias("depth"), F.coalesce("on", F.lit(False)).alias("on"))
-    parts, reach = [sc.save(first, "pairs")], 1
+    pairs, seen = sc.counted(first, "pairs", n=F.count_if("on"))
+    parts, reach = [pairs], 1
     sc.drop(e)
     while True:
+        if not seen["n"]:
+            return union_all(parts).select("root", "node", "depth")
         # Pairs of exactly ``reach`` edges are all in the newest part.
         ahead = parts[-1].where((F.col("depth") == reach) & F.col("on")).select("root", "node")
-        if ahead.isEmpty():
-            return union_all(parts).select("root", "node", "depth")
         known = union_all(parts)
         steps = known.select(F.col("root").alias("node"), F.col("node").alias("to"), F.col("depth").alias("more"), "on")
         step = ahead.join(steps, "node").groupBy("root", F.col("to").alias("node")).agg((F.min("more") + reach).cast("int").alias("depth"), F.first("on").alias("on"))
-        parts.append(sc.save(step.join(known.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", "depth", "on"), "pairs"))
         reach *= 2
+        new = step.join(known.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", "depth", "on")
+        pairs, seen = sc.counted(new, "pairs", n=F.count_if((F.col("depth") == reach) & F.col("on")))
+        parts.append(pairs)
 
 
 def _walk(sc: Scratch, e: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from bytegrove.catalog import OBJECT, Catalog
 from bytegrove.functions.modifiers import is_interface_or_annotation, is_standard
-from bytegrove.operators.closure import closure, reachable
+from bytegrove.operators.closure import closure
 from bytegrove.scratch import Scratch
 
 JAVA_META = "java.lang.annotation."
@@ -31,18 +31,20 @@ class Relations:
     """Questions over one catalog; the closures they share are written once."""
 
     def __init__(self, cat: Catalog):
-        self.cat = cat
+        self.cat = cat.pin()
         self.scratch = Scratch(cat.spark, "relations")
         self._kept: dict[str, DataFrame] = {}
 
     def _keep(self, name: str, make) -> DataFrame:
         if name not in self._kept:
-            self._kept[name] = self.scratch.save(make(), name)
+            made = make()
+            # A closure is written as it is made.
+            self._kept[name] = made if name == "up" or name.startswith("closure_") else self.scratch.save(made, name)
         return self._kept[name]
 
     def up(self) -> DataFrame:
         """(root, node, depth): every superclass of every class."""
-        return self._keep("up", lambda: reachable(self.cat.rel("extends").select(F.col("src").alias("child"), F.col("dst").alias("parent"))))
+        return self._keep("up", lambda: closure(self.cat.rel("extends")))
 
     def closure(self, rel: str) -> DataFrame:
         """(root, node, depth) along a relation."""

@@ -49,16 +49,89 @@ def _pairs(pairs: list) -> dict:
     return out
 
 
+class _Number(str):
+    """A number as it is written; texts of values keep it."""
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+_DECODER = json.JSONDecoder(object_pairs_hook=_pairs, parse_int=_Number, parse_float=_Number, parse_constant=_no_constant)
+_TOKEN = re.compile(r'[ \t\r\n]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\d.])|(true|false|null))', re.S)
+
+
 def parse(text: str | None):
-    """The value of a complete JSON text, else None. A byte order mark and outer white space are no part of it."""
+    """The value of a complete JSON text, else None. A byte order mark and outer white space are no part of it.
+
+    Numbers of any length stay as they are written, nesting may be of any depth, ``NaN`` and the like are no JSON.
+    """
     if text is None:
         return None
+    text = text.lstrip("\ufeff \t\r\n")
     try:
-        return json.loads(text.lstrip("﻿ \t\r\n"), object_pairs_hook=_pairs)
-    except (ValueError, RecursionError):
+        return _DECODER.decode(text)
+    except RecursionError:
+        return _parse_deep(text)
+    except ValueError:
         return None
 
 
+def _parse_deep(text: str):
+    """As ``parse`` for texts nested deeper than the standard library goes: with a stack of its own."""
+    at, n = 0, len(text.rstrip(" \t\r\n"))
+    stack: list[tuple[str, list]] = []
+    value, wanted = None, "value"
+    while at < n:
+        m = _TOKEN.match(text, at)
+        if not m:
+            return None
+        at = m.end()
+        mark, string, number, word = m.groups()
+        if wanted == "done":
+            return None
+        if mark in ("{", "[") and wanted in ("value", "value or end"):
+            stack.append((mark, []))
+            wanted = "key or end" if mark == "{" else "value or end"
+            continue
+        if mark in ("}", "]"):
+            if not stack or stack[-1][0] != {"}": "{", "]": "["}[mark] or wanted not in ("next", "key or end" if mark == "}" else "value or end"):
+                return None
+            kind, parts = stack.pop()
+            value = _pairs([(parts[i], parts[i + 1]) for i in range(0, len(parts), 2)]) if kind == "{" else parts
+        elif mark == ",":
+            if wanted != "next":
+                return None
+            wanted = "key" if stack[-1][0] == "{" else "value"
+            continue
+        elif mark == ":":
+            if wanted != "colon":
+                return None
+            wanted = "value"
+            continue
+        elif string is not None:
+            try:
+                value = json.loads(string)
+            except ValueError:
+                return None
+            if wanted in ("key", "key or end"):
+                stack[-1][1].append(value)
+                wanted = "colon"
+                continue
+            if wanted not in ("value", "value or end"):
+                return None
+        else:
+            if wanted not in ("value", "value or end"):
+                return None
+            value = _Number(number) if number is not None else {"true": True, "false": False, "null": None}[word]
+        if stack:
+            stack[-1][1].append(value)
+            wanted = "next"
+        else:
+            wanted = "done"
+    return value if wanted == "done" else None
+
+
 def _flat(v) -> Iterator:
     """Elements of arrays inside each other, in order, without nulls; anything else is its own element."""
     stack = [iter((v,))]
@@ -74,7 +147,49 @@ def _flat(v) -> Iterator:
 
 
 def _text(v) -> str:
-    return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+    """A scalar as it is, anything else as JSON; a lone surrogate, which no text can hold, by its escape."""
+    if isinstance(v, str):
+        return v if v.isprintable() else v.encode("utf-8", "backslashreplace").decode("utf-8")
+    return _json(v)
+
+
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def _json(v) -> str:
+    """JSON of a value, numbers as they were written, of any depth."""
+    out: list[str] = []
+    todo: list = [v]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, _Mark):
+            out.append(x)
+        elif isinstance(x, _Number):
+            out.append(x)
+        elif isinstance(x, str):
+            out.append(json.dumps(x, ensure_ascii=bool(_SURROGATE.search(x))))
+        elif isinstance(x, dict):
+            todo.append(_Mark("}"))
+            for i, (k, y) in enumerate(reversed(x.items())):
+                for z in reversed(y) if isinstance(y, _Many) else (y,):
+                    todo += [z, _Mark(json.dumps(k, ensure_ascii=bool(_SURROGATE.search(k))) + ":"), _Mark(",")]
+            if x:
+                todo.pop()
+            out.append("{")
+        elif isinstance(x, list):
+            todo.append(_Mark("]"))
+            for y in reversed(x):
+                todo += [y, _Mark(",")]
+            if x:
+                todo.pop()
+            out.append("[")
+        else:
+            out.append({True: "true", False: "false", None: "null"}[x])
+    return "".join(out)
+
+
+class _Mark(str):
+    """A piece of JSON that is written as it is."""
 
 
 def walk(top, structural: dict[str, str], scalar: dict[str, str], opaque: dict[str, str]) -> Iterator[tuple]:
@@ -84,14 +199,17 @@ def walk(top, structural: dict[str, str], scalar: dict[str, str], opaque: dict[s
     structural label lie below them. Depth is bounded by the parser alone, as this keeps its own stack.
     """
     n = 0
-    todo = [(None, "", 0, x, "") for x in reversed(list(_flat(top))) if isinstance(x, dict)]
+    todo = [(None, "", 0, x, "", None) for x in reversed(list(_flat(top))) if isinstance(x, dict)]
     while todo:
-        parent, label, ordinal, v, path = todo.pop()
+        # What holds something below is found once for a subtree, and handed down.
+        parent, label, ordinal, v, path, held = todo.pop()
         me, n = n, n + 1
         yield me, parent, label, ordinal, True, None, path
         counts: dict[str, int] = {}
         below = []
         for key, x in v.items():
+            if not key.isprintable():
+                key = _text(key)
             f = fold(key)
             if f in scalar or f in opaque:
                 for i, y in enumerate([x] if f in opaque and not isinstance(x, _Many) else _flat(x)):
@@ -101,30 +219,35 @@ def walk(top, structural: dict[str, str], scalar: dict[str, str], opaque: dict[s
                 if f in scalar:
                     continue
             name = structural.get(f) or opaque.get(f) or key
-            if f in structural and isinstance(x, str):
+            if f in structural and isinstance(x, str) and not isinstance(x, _Number):
                 x = parse(x)  # some scanners write a part as JSON text inside the JSON
             for y in _flat(x):
-                if f in structural and isinstance(y, str):
+                if f in structural and isinstance(y, str) and not isinstance(y, _Number):
                     y = parse(y)
                 if isinstance(y, dict):
                     i = counts[name] = counts.get(name, -1) + 1
-                    if f in structural or _holds(y, structural):
-                        below.append((me, name, i, y, f"{path}.{name}[{i}]" if path else f"{name}[{i}]"))
+                    if f not in structural and held is None:
+                        held = _holders(v, structural)
+                    if f in structural or id(y) in held:
+                        below.append((me, name, i, y, f"{path}.{name}[{i}]" if path else f"{name}[{i}]", held if f not in structural else None))
         todo.extend(reversed(below))
 
 
-def _holds(v, structural: dict[str, str]) -> bool:
-    """Whether a structural label lies anywhere below."""
-    stack = [v]
+def _holders(top, structural: dict[str, str]) -> set[int]:
+    """Identities of the objects and arrays of a record below which a structural label lies, all found in one pass."""
+    order: list[tuple[object, object]] = []
+    stack: list[tuple[object, object]] = [(top, None)]
     while stack:
-        x = stack.pop()
-        if isinstance(x, dict):
-            if any(fold(k) in structural for k in x):
-                return True
-            stack.extend(x.values())
-        elif isinstance(x, list):
-            stack.extend(x)
-    return False
+        x, above = stack.pop()
+        if isinstance(x, (dict, list)):
+            order.append((x, above))
+            stack.extend((y, x) for y in (x.values() if isinstance(x, dict) else x))
+    out: set[int] = set()
+    for x, above in reversed(order):
+        if id(x) in out or (isinstance(x, dict) and any(fold(k) in structural for k in x)):
+            out.add(id(x))
+            out.add(id(above))
+    return out
 
 
 def shred(

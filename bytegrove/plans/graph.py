@@ -169,10 +169,17 @@ def s11_element_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g19_reverse_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each class with every class that refers to it, in name order."""
     from bytegrove.operators.dependencies import dependencies, dependency_map
 
-    cat = Catalog.load(spark, sf_dir)
-    return dependency_map(dependencies(cat), reverse=True)
+    return dependency_map(dependencies(Catalog.load(spark, sf_dir)), reverse=True)
+
+
+def g19_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each class with every class that it refers to, in name order."""
+    from bytegrove.operators.dependencies import dependencies, dependency_map
+
+    return dependency_map(dependencies(Catalog.load(spark, sf_dir)))
 
 
 def g18_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,7 +303,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         f2_kinds, f3_visible, f4_path_status, f14_globs, f16_has, f17_modifiers, u_set_operations, u_assignable, j2_placeholders, j4_membership, w1_masking,
-        f14_selections, g12_annotation_instances, g16_type_arguments, s2_archive_entries, s8_manifests, s15_parsed_classes, sig_methods, a1_resources_by_path, a2_duplicate_paths, a5_last_modified, a8_modifier_union, s11_element_order, g18_dependencies, g19_reverse_dependencies, k1_dot_edges, k9_node_labels,
+        f14_selections, g12_annotation_instances, g16_type_arguments, s2_archive_entries, s8_manifests, s15_parsed_classes, sig_methods, a1_resources_by_path, a2_duplicate_paths, a5_last_modified, a8_modifier_union, s11_element_order, g18_dependencies, g19_reverse_dependencies, g19_dependencies, k1_dot_edges, k9_node_labels,
     )
 }
 
@@ -354,23 +361,65 @@ _WITH_ANN = _answer(
 )
 _OWN_ANN = f"own AS (SELECT root, node FROM c_class_ann WHERE NOT starts_with(node, '{R.JAVA_META}') UNION SELECT src, dst FROM edges_ WHERE rel = 'class_ann')"
 _LISTED = ", ".join(f"'{x}'" for x in SET_ANNOTATIONS)
-_LINES = f"""sup AS (SELECT root, node, min(depth) AS depth FROM w_up GROUP BY root, node),
-itf AS (SELECT root, node FROM c_implements UNION SELECT s.root, c.node FROM sup s JOIN c_implements c ON c.root = s.node),
-height AS (SELECT root AS node, count(*) AS h FROM c_implements GROUP BY root),
-lines AS (SELECT root, node, min((branch, depth)) AS r FROM (
-  SELECT class_name AS root, class_name AS node, 0 AS branch, 0 AS depth FROM classes_
-  UNION ALL SELECT s.root, s.node, CASE WHEN {_KIND['itf']} OR {_KIND['ann']} THEN 1 ELSE 0 END, depth FROM sup s LEFT JOIN classes_ ON class_name = s.node WHERE s.root <> s.node
-  UNION ALL SELECT i.root, i.node, 1, CAST(-coalesce(h, 0) AS INTEGER) FROM itf i LEFT JOIN height ON height.node = i.node WHERE i.root <> i.node) GROUP BY root, node)"""
+#: Names above a class: its superclasses with their distance.
+_SUP = "sup AS (SELECT root, node, min(depth) AS depth FROM w_up WHERE root <> node GROUP BY root, node)"
+#: Interface links in the order of their declaration, and every way along them as the list of places taken.
+_WAYS = """irank AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY ord NULLS LAST, dst) AS k FROM edges_ WHERE rel = 'implements'),
+ways(root, node, way, seen) AS (SELECT src, dst, [k], [src, dst] FROM irank UNION ALL SELECT w.root, i.dst, list_append(w.way, i.k), list_append(w.seen, i.dst) FROM ways w JOIN irank i ON i.src = w.node AND NOT list_contains(w.seen, i.dst)),
+first_way AS (SELECT root, node, min(way) AS way FROM ways GROUP BY root, node)"""
+#: Fields: the class, then interfaces in the order of a walk in depth, own ones first, then superclasses.
+_FIELD_LINES = """lines AS (SELECT root, node, min(key) AS key FROM (
+  SELECT class_name AS root, class_name AS node, [0] AS key FROM classes_ UNION ALL SELECT root, node, list_concat([1, 0], way) FROM first_way WHERE root <> node
+  UNION ALL SELECT s.root, f.node, list_concat([1, s.depth], f.way) FROM sup s JOIN first_way f ON f.root = s.node WHERE f.node <> s.root
+  UNION ALL SELECT root, node, [2, depth] FROM sup) GROUP BY root, node)"""
+#: Methods: interfaces are met from the topmost class down, and each goes before the first of its own super-interfaces.
+_METHOD_LINES = f"""met AS (SELECT root, list(node ORDER BY key) AS todo FROM (SELECT root, node, min(key) AS key FROM (
+    SELECT root, node, list_concat([0], way) AS key FROM first_way WHERE root <> node UNION ALL SELECT s.root, f.node, list_concat([-s.depth], f.way) FROM sup s JOIN first_way f ON f.root = s.node WHERE f.node <> s.root)
+  GROUP BY root, node) GROUP BY root),
+above AS (SELECT root, list(DISTINCT node) AS ups FROM c_implements GROUP BY root),
+placed(root, i, done, todo) AS (
+  SELECT root, 0, CAST([] AS VARCHAR[]), todo FROM met
+  UNION ALL
+  SELECT p.root, i + 1, CASE WHEN slot IS NULL THEN list_append(done, todo[i + 1]) ELSE list_concat(list_append(done[1:slot - 1], todo[i + 1]), done[slot:]) END, todo
+  FROM (SELECT q.*, list_min(list_filter(list_transform(coalesce(ups, []), lambda u: list_position(done, u)), lambda p: p > 0)) AS slot FROM placed q LEFT JOIN above a ON a.root = q.todo[q.i + 1]) p WHERE i < len(todo)),
+lines AS (
+  SELECT class_name AS root, class_name AS node, [0, 0] AS key FROM classes_ UNION ALL SELECT root, node, [1, depth] FROM sup
+  UNION ALL SELECT root, unnest(done), [2, unnest(range(len(done)))] FROM placed WHERE i = len(todo) AND len(todo) > 0)"""
+_RESOLVED_METHODS = """resolved_methods AS (SELECT root AS class_name, name, descriptor, b.node AS declared_in, b.modifiers AS modifiers FROM (
+  SELECT root, name, descriptor, min({'key': key, 'node': node, 'modifiers': m.modifiers}) AS b FROM method_lines l JOIN methods_ m ON m.class_name = l.node
+  WHERE name <> '<clinit>' AND (name <> '<init>' OR root = node) GROUP BY root, name, descriptor))"""
+_RESOLVED_FIELDS = """resolved_fields AS (SELECT root AS class_name, name, b.descriptor AS descriptor, b.node AS declared_in FROM (
+  SELECT root, name, min({'key': key, 'node': node, 'descriptor': descriptor}) AS b FROM field_lines l JOIN fields_ f ON f.class_name = l.node GROUP BY root, name))"""
+_MEMBER_LINES = (_depth("extends", "w_up"), _closure("implements"), _SUP, _WAYS, _FIELD_LINES.replace("lines AS", "field_lines AS", 1), _METHOD_LINES.replace("\nlines AS", "\nmethod_lines AS", 1))
 _RES = "res AS (SELECT DISTINCT cp_idx, resource_path AS path FROM classes WHERE resource_path IS NOT NULL)"
 _NAMES = r"list_transform(regexp_extract_all({}, 'L([^;<>()\[:*+-]+)', 1), lambda x: replace(x, '/', '.'))"
-_DEPS = f"""deps AS (
+_INSTANCES = f"""ann1 AS (SELECT DISTINCT class_name, annotation FROM annotations_ WHERE target_kind = 'class'),
+inh AS (SELECT class_name AS annotation FROM classes_ WHERE inherited_meta),
+nearest AS (SELECT w.root AS class_name, a.annotation, min(w.depth) AS depth FROM w_up w JOIN ann1 a ON a.class_name = w.node WHERE a.annotation IN (SELECT annotation FROM inh) AND (w.root, a.annotation) NOT IN (SELECT (class_name, annotation) FROM ann1) GROUP BY ALL),
+base AS (SELECT class_name, annotation, 0 AS directness FROM ann1 UNION ALL SELECT class_name, annotation, 1 FROM nearest),
+meta AS (SELECT DISTINCT b.class_name, c.node AS annotation FROM base b JOIN c_class_ann c ON c.root = b.annotation WHERE NOT starts_with(c.node, '{R.JAVA_META}') AND (b.directness = 0 OR c.node IN (SELECT annotation FROM inh)))"""
+#: Classes that the values of an annotation name.
+_VALUES = """list_concat(regexp_extract_all(array_to_string(list_transform(params, lambda p: coalesce(p.value_json, '')), chr(10)), '"(?:class|annotation)": ?"([^"\\[]+)"', 1),
+  list_transform(regexp_extract_all(array_to_string(list_transform(params, lambda p: coalesce(p.value_json, '')), chr(10)), '"t": ?"c", ?"v": ?"(?:\\[*L)?([^";]+);?"', 1), lambda x: replace(x, '/', '.')))"""
+_DEPS = f"""on_members AS (SELECT CASE target_kind WHEN 'field' THEN 'field' ELSE 'method' END AS kind, class_name, member_ord AS ord, unnest(list_append({_VALUES}, annotation)) AS dst FROM annotations_ WHERE target_kind <> 'class'),
+method_names AS (
+  SELECT class_name, name, descriptor, unnest({_NAMES.format('descriptor')}) AS dst FROM methods_ UNION SELECT class_name, name, descriptor, unnest({_NAMES.format('signature')}) FROM methods_ WHERE signature IS NOT NULL
+  UNION SELECT class_name, name, descriptor, {sql_class_name('t')} FROM (SELECT class_name, name, descriptor, unnest(thrown) AS t FROM methods_)
+  UNION SELECT class_name, name, descriptor, dst FROM methods_ JOIN (SELECT class_name, ord, dst FROM on_members WHERE kind = 'method') USING (class_name, ord)),
+field_names AS (
+  SELECT class_name, name, unnest({_NAMES.format('descriptor')}) AS dst FROM fields_ UNION SELECT class_name, name, dst FROM fields_ JOIN (SELECT class_name, ord, dst FROM on_members WHERE kind = 'field') USING (class_name, ord)),
+deps AS (
   SELECT DISTINCT src, dst FROM (
-    SELECT src, dst FROM edges_ UNION ALL SELECT class_name, annotation FROM annotations_
-    UNION ALL SELECT class_name, unnest({_NAMES.format('descriptor')}) FROM methods_ UNION ALL SELECT class_name, unnest({_NAMES.format('descriptor')}) FROM fields_
-    UNION ALL SELECT class_name, {sql_class_name('t')} FROM (SELECT class_name, unnest(thrown) AS t FROM methods_)
-    UNION ALL SELECT class_name, unnest({_NAMES.format('signature')}) FROM methods_ WHERE signature IS NOT NULL UNION ALL SELECT class_name, unnest({_NAMES.format('type_signature')}) FROM classes_ WHERE type_signature IS NOT NULL)
+    SELECT src, dst FROM edges_
+    UNION ALL SELECT class_name, unnest({_NAMES.format('type_signature')}) FROM classes_ WHERE type_signature IS NOT NULL
+    UNION ALL SELECT class_name, annotation FROM base UNION ALL SELECT class_name, annotation FROM meta
+    UNION ALL SELECT class_name, unnest({_VALUES}) FROM annotations_ WHERE target_kind = 'class'
+    UNION ALL SELECT n.class_name, unnest({_VALUES}) FROM nearest n JOIN w_up w ON w.root = n.class_name AND w.depth = n.depth JOIN annotations_ a ON a.class_name = w.node AND a.annotation = n.annotation AND a.target_kind = 'class'
+    UNION ALL SELECT r.class_name, n.dst FROM resolved_methods r JOIN method_names n ON n.class_name = r.declared_in AND n.name = r.name AND n.descriptor = r.descriptor
+    UNION ALL SELECT r.class_name, n.dst FROM resolved_fields r JOIN field_names n ON n.class_name = r.declared_in AND n.name = r.name)
   WHERE src <> dst AND dst <> '{OBJECT}' AND dst IN (SELECT class_name FROM classes_ WHERE NOT is_external) AND src IN (SELECT class_name FROM classes_ WHERE NOT is_external))"""
 _MEMBERS_SQL = (SQL_METHODS, SQL_FIELDS, SQL_ANNOTATIONS)
+_ALL_DEPS = (*_MEMBERS_SQL, *_MEMBER_LINES, _RESOLVED_METHODS, _RESOLVED_FIELDS, _closure("class_ann"), _INSTANCES, _DEPS)
 
 
 def _flag(c: str) -> str:
@@ -396,16 +445,8 @@ LEFT JOIN edges_ e ON e.rel = 'implements' AND e.src = a.root AND e.dst = a.node
     "g13_package_tree": _with(f"own AS (SELECT package_name, count(*) AS n FROM classes_ WHERE {sql_visible(SCOPE)} GROUP BY package_name)")
     + """SELECT p AS package_name, sum(CASE WHEN p = package_name THEN n ELSE 0 END)::BIGINT AS n_classes, sum(n)::BIGINT AS n_in_subtree FROM (
   SELECT unnest(CASE WHEN package_name = '' THEN [''] ELSE list_concat([''], list_transform(range(1, len(string_split(package_name, '.')) + 1), lambda i: array_to_string(string_split(package_name, '.')[1:i], '.'))) END) AS p, package_name, n FROM own) GROUP BY p""",
-    "w3_methods": _with(_depth("extends", "w_up"), _closure("implements"), _LINES, SQL_METHODS)
-    + """SELECT root AS class_name, name, descriptor, b.node AS declared_in, b.modifiers AS modifiers FROM (
-  SELECT root, name, descriptor, min({'branch': r[1], 'depth': r[2], 'node': node, 'modifiers': m.modifiers}) AS b FROM lines JOIN methods_ m ON m.class_name = lines.node
-  WHERE name <> '<clinit>' AND (name <> '<init>' OR root = node) GROUP BY root, name, descriptor)""",
-    "w4_fields": _with(_depth("extends", "w_up"), _depth("implements", "w_im"), "own AS (SELECT root, node, min(depth) AS depth FROM w_im GROUP BY root, node), sup AS (SELECT root, node, min(depth) AS depth FROM w_up GROUP BY root, node)", SQL_FIELDS)
-    + """, lines AS (SELECT root, node, min([level, step]) AS r FROM (
-  SELECT class_name AS root, class_name AS node, 0 AS level, 0 AS step FROM classes_ UNION ALL SELECT root, node, depth, 0 FROM sup WHERE root <> node
-  UNION ALL SELECT root, node, 0, depth FROM own UNION ALL SELECT s.root, o.node, s.depth, o.depth FROM sup s JOIN own o ON o.root = s.node) GROUP BY root, node)
-SELECT root AS class_name, name, b.descriptor AS descriptor, b.node AS declared_in FROM (
-  SELECT root, name, min({'level': r[1], 'step': r[2], 'node': node, 'descriptor': descriptor}) AS b FROM lines JOIN fields_ f ON f.class_name = lines.node GROUP BY root, name)""",
+    "w3_methods": _with(SQL_METHODS, *_MEMBER_LINES, _RESOLVED_METHODS) + "SELECT * FROM resolved_methods",
+    "w4_fields": _with(SQL_FIELDS, *_MEMBER_LINES, _RESOLVED_FIELDS) + "SELECT * FROM resolved_fields",
     "k9_node_labels": _with(*_MEMBERS_SQL) + f"""SELECT c.class_name, CASE WHEN {_KIND['ann']} THEN 'oval' WHEN {_KIND['itf']} THEN 'diamond' ELSE 'box' END AS shape,
 coalesce(annotations, '') AS annotations, coalesce(fields, '') AS fields, coalesce(methods, '') AS methods FROM classes_ c
 LEFT JOIN (SELECT class_name, string_agg(t, ' ' ORDER BY t) AS annotations FROM (SELECT DISTINCT class_name, regexp_replace(annotation, '^.*\\.', '') AS t FROM annotations_ WHERE target_kind = 'class' AND NOT starts_with(annotation, '{R.JAVA_META}')) GROUP BY class_name) a ON a.class_name = c.class_name
@@ -454,8 +495,9 @@ UNION ALL SELECT DISTINCT 'any', related, CAST(NULL AS BOOLEAN) FROM car WHERE c
     "s11_element_order": """WITH RECURSIVE e AS (SELECT cp_idx, parent_idx, coalesce(idx_in_parent, cp_idx) AS i, kind = 'module' AS m FROM cp_elements),
 t AS (SELECT cp_idx, m, [cp_idx] AS key FROM e WHERE parent_idx IS NULL OR parent_idx NOT IN (SELECT cp_idx FROM e) UNION ALL SELECT e.cp_idx, t.m, list_append(t.key, e.i) FROM e JOIN t ON e.parent_idx = t.cp_idx)
 SELECT cp_idx, CAST(row_number() OVER (ORDER BY m DESC, key, cp_idx) - 1 AS INTEGER) AS position FROM t""",
-    "g18_dependencies": _with(*_MEMBERS_SQL, _DEPS) + "SELECT src, dst FROM deps",
-    "g19_reverse_dependencies": _with(*_MEMBERS_SQL, _DEPS) + "SELECT dst AS class_name, count(*) AS n, min(src) AS first, max(src) AS last FROM deps GROUP BY dst",
+    "g18_dependencies": _with(*_ALL_DEPS) + "SELECT src, dst FROM deps",
+    "g19_reverse_dependencies": _with(*_ALL_DEPS) + "SELECT dst AS class_name, src AS other, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS pos, count(*) OVER (PARTITION BY dst) AS n FROM deps",
+    "g19_dependencies": _with(*_ALL_DEPS) + "SELECT src AS class_name, dst AS other, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS pos, count(*) OVER (PARTITION BY src) AS n FROM deps",
     "k1_dot_edges": _with(*_MEMBERS_SQL) + f"""SELECT DISTINCT src, dst, kind FROM (
   SELECT src, dst, rel AS kind FROM edges_ WHERE rel IN ('extends', 'implements', 'class_ann', 'field_ann', 'method_ann')
   UNION ALL SELECT class_name, unnest({_NAMES.format('descriptor')}), 'field_type' FROM fields_ UNION ALL SELECT class_name, unnest({_NAMES.format('descriptor')}), 'method_type' FROM methods_)

@@ -149,6 +149,13 @@ def _scalar(folded: str) -> str:
     return f"CASE WHEN len({keys}) > 0 THEN obj ->> ('$.\"' || {keys}[1] || '\"') END"
 
 
+def _value(folded: str) -> str:
+    """The whole value of an object's key as JSON text; a string as it is."""
+    keys = f"list_filter(json_keys(obj), lambda k: {_FOLD.format('k')} = {folded})"
+    whole = f"obj -> ('$.\"' || {keys}[1] || '\"')"
+    return f"CASE WHEN len({keys}) > 0 AND json_type({whole}) <> 'NULL' THEN CASE json_type({whole}) WHEN 'VARCHAR' THEN ({whole}) ->> '$' ELSE CAST(json({whole}) AS VARCHAR) END END"
+
+
 def _entity_sql(label: str, columns: dict[str, str]) -> str:
     shown = ", ".join(f"{_scalar(repr(k.lower()))} AS {v}" for k, v in columns.items())
     return f"{_OBJECTS} SELECT record_id, path AS obj_path, parent_path, ordinal, {shown} FROM nodes WHERE label = '{label}'"
@@ -159,6 +166,7 @@ ORACLE = {
     "p2_fields": _entity_sql("fieldInfo", {"fieldName": "field_name", "typeDescriptorStr": "type_descriptor"}),
     "p2_methods": _entity_sql("methodInfo", {"methodName": "method_name", "typeDescriptorStr": "type_descriptor"}),
     "p2_annotations": _entity_sql("annotationInfo", {"annotationName": "annotation_name"}),
+    "p2_annotation_values": f"""{_OBJECTS} SELECT record_id, path AS obj_path, parent_path, ordinal, {_scalar("'name'")} AS param_name, {_value("'value'")} AS value_json FROM nodes WHERE label = 'annotationParamValues'""",
     "p1_found": f"WITH RECURSIVE {_LINKS} SELECT a AS class_name, cycle_name FROM rings",
     "p1_paths": f"""{_PATHS}
 SELECT node AS class_name, CASE WHEN r.a IS NULL THEN top END AS root, depth, path, CASE WHEN r.a IS NULL THEN 'tree' ELSE 'into_cycle' END AS status, r.cycle_name

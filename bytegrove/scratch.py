@@ -13,7 +13,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -70,6 +70,13 @@ class Scratch:
         self._paths.append((out, path))
         return out
 
+    def counted(self, df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+        """``save``, with aggregates over the rows taken while they are written instead of by a job of their own."""
+        seen = Observation()
+        # The columns are those of df; what is read back has no observation in its plan.
+        out = self.save(df.observe(seen, *(c.alias(k) for k, c in counts.items())), name)
+        return out, seen.get
+
     def drop(self, *tables: DataFrame | None) -> None:
         for df in tables:
             for own in [x for x in self._paths if x[0] is df]:

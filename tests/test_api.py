@@ -43,7 +43,7 @@ def test_lists_members_packages(graph):
     assert [r.declared_in for r in graph.fields("p.q.Low").collect()] == ["p.Top"] and graph.fields("p.q.Low", declared=True).count() == 0
     assert len(names(graph.package_classes("p"))) == 5 and len(names(graph.package_classes("p", recursive=True))) == 6 == graph.package_classes("", recursive=True).count()
     assert {r.package_name: r.n_in_subtree for r in graph.packages().collect()} == {"": 6, "p": 6, "p.q": 1}
-    assert {("p.Top", "p.q.Low")} <= {tuple(r) for r in graph.dependencies().collect()} and graph.dependency_counts(reverse=True).count() > 0
+    assert {("p.Top", "p.q.Low")} <= {tuple(r) for r in graph.dependencies().collect()} and graph.dependency_map(reverse=True).count() > 0
 
 
 def test_facts_that_were_not_read(spark):

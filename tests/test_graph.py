@@ -181,3 +181,36 @@ def test_dot(spark, tmp_path):
     assert {x.class_name: x.n for x in dependency_map(deps, reverse=True).collect()}["f.Shape"] == 2
     got = spark.createDataFrame([("<a & b>\n\u00a0\\",)], "v string").select(html_escape("v")).first()[0]
     assert got == "&lt;a &amp; b&gt; &nbsp;&#x5C;"
+
+
+def test_member_orders_by_hand():
+    """All interfaces of a class, those of its superclasses too, come before the superclass for fields; for methods the
+    topmost class's interfaces come first, and an interface goes before one that it extends."""
+    from bytegrove.operators.members import field_order, method_order
+
+    links = {"B": ["I"], "C": ["K"], "J": ["I"], "K": ["J", "L"]}
+    assert field_order("C", ["B"], links) == ["C", "K", "J", "I", "L", "B"]
+    assert method_order("C", ["B"], links, {"I", "J", "K", "L"}) == ["C", "B", "K", "J", "I", "L"]
+    assert method_order("K", [], links, {"I", "J", "K", "L"}) == ["K", "J", "I", "L"]
+    assert field_order("B", [], {"B": ["I"], "I": ["B"]}) == ["B", "I"]  # a circle ends
+
+
+def test_a_field_of_a_superclass_interface_hides_that_of_the_superclass(spark):
+    from bytegrove.catalog import Catalog
+    from bytegrove.operators.members import Members
+
+    classes = spark.createDataFrame(
+        [(n, m) for n, m in (("C", 1), ("B", 1), ("I", 0x601))], "class_name string, modifiers int"
+    ).selectExpr(
+        "class_name", "modifiers", "false is_record", "false is_external", "false inherited_meta", "0 cp_idx", "cast(null as string) resource_path", "'' package_name", "cast(null as string) module_name",
+        "cast(null as string) type_signature", "cast(null as timestamp) scanned_at",
+    )
+    edges = spark.createDataFrame([("extends", "C", "B", 0, None), ("implements", "B", "I", 0, None), ("extends", "I", "java.lang.Object", 0, None)], "rel string, src string, dst string, ord int, nonprivate boolean")
+    fields = spark.createDataFrame([("B", 0, "X", "I", 1), ("I", 0, "X", "J", 1)], "class_name string, ord int, name string, descriptor string, modifiers int").selectExpr("*", "cast(null as string) const_json")
+    methods = spark.createDataFrame([("B", 0, "f", "()V", 1), ("I", 0, "f", "()V", 1)], "class_name string, ord int, name string, descriptor string, modifiers int").selectExpr(
+        "*", "true has_body", "cast(null as array<string>) thrown", "cast(null as string) signature", "0 min_line", "0 max_line"
+    )
+    m = Members(Catalog(classes, edges, methods, fields))
+    assert {(r.class_name, r.declared_in) for r in m.fields().collect()} == {("C", "I"), ("B", "B"), ("I", "I")}
+    assert {(r.class_name, r.declared_in) for r in m.methods().collect()} == {("C", "B"), ("B", "B"), ("I", "I")}
+    assert m.cat.rel("extends").collect() == [("C", "B")]

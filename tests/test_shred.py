@@ -100,3 +100,28 @@ def test_values_are_whole(spark):
     df = spark.createDataFrame([(1, RECORDS[-1])], "record_id long, record string")
     e = entities(shred(df), ["annotationParamValues"], {"name": "n", "value": "v"}).first()
     assert (e.n, json.loads(e.v)) == ("value", {"t": "[", "v": ["a", "b"]})
+
+
+def test_valid_json_of_any_depth_and_length():
+    from bytegrove.operators.shred import _json, _parse_deep, parse, walk
+
+    deep = '{"x":[' * 50_000 + '{"fieldInfo":{"fieldName":"f"}}' + "]}" * 50_000
+    maps = ({"fieldinfo": "fieldInfo"}, {"fieldname": "fieldName"}, {})
+    assert [s for *_, s, _ in walk(parse('{"x":[' * 300 + '{"fieldInfo":{"fieldName":"f"}}' + "]}" * 300), *maps) if s] == ["f"]
+    v, n = parse(deep), 0
+    while "x" in v:
+        v, n = v["x"][0], n + 1
+    assert n == 50_000 and v == {"fieldInfo": {"fieldName": "f"}}
+    long = "9" * 10_000
+    assert parse('{"modifiers":' + long + "}") == {"modifiers": long}
+    assert parse("NaN") is None and parse("[1,Infinity]") is None and parse('{"a":1') is None and parse("[1,]") is None
+    for text in ('{"a": [1.50, {"b": "c\\n"}, null, true, []], "d": {}}', '"x"', "-0.5e3", "[[], [[]]]"):
+        assert _parse_deep(text) == parse(text) and json.loads(_json(parse(text))) == json.loads(text)
+    for text in ("{", "[1 2]", '{"a" 1}', "{1: 2}", "1 2", '{"a":1,}', "tru", '"a', "01"):
+        assert _parse_deep(text) is None and parse(text) is None
+
+
+def test_escapes_that_no_text_can_hold(spark):
+    df = spark.createDataFrame([(1, '{"fieldInfo": [{"fieldName": "a\\ud800b", "\\udc00": {"fieldInfo": {"fieldName": "c"}}}]}')], "record_id long, record string")
+    names = [r.fieldName for r in entities(shred(df), ["fieldInfo"], {"fieldName": "fieldName"}).collect()]
+    assert sorted(names) == ["a\\ud800b", "c"]
