@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from bytegrove.operators.skew import numbered, union_all
+from bytegrove.scratch import Scratch
+
 
 def mask_classes(resources: DataFrame) -> DataFrame:
     """(cp_idx, path, masked): of class files with one path (``.class`` in any case) all but the first element's are masked.
@@ -57,24 +60,27 @@ def outside_nested_roots(entries: DataFrame, roots: DataFrame) -> DataFrame:
 def element_order(elements: DataFrame) -> DataFrame:
     """(cp_idx, position): modules first, then each element before its children, these by idx_in_parent; positions from 0.
 
-    Elements are a handful of rows per scan; the order key is the path of indices from the top, built by joining upwards.
-    A parent that isn't there makes a top; parents that run in a circle are left out.
+    The order key is the path of indices from the top, built by joining upwards level by level, however deep. A parent that
+    isn't there makes a top; of several parents the first that is reached counts. Elements whose parents run in a circle
+    hang from nothing: they come last, by cp_idx.
     """
-    e = elements.select("cp_idx", "parent_idx", F.coalesce("idx_in_parent", "cp_idx").alias("i"), (F.col("kind") == "module").alias("module"))
-    e = e.join(e.select(F.col("cp_idx").alias("parent_idx"), F.lit(True).alias("known")), "parent_idx", "left")
-    done = e.where("known is null").select("cp_idx", F.col("module").alias("m"), F.array("cp_idx").alias("key"))
-    level, out = done, done
-    for _ in range(64):
-        level = e.where("known").join(level.select(F.col("cp_idx").alias("parent_idx"), "m", "key"), "parent_idx").select("cp_idx", F.col("m"), F.concat("key", F.array("i")).alias("key"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.select("cp_idx", (F.row_number().over(Window.orderBy(F.col("m").desc(), "key", "cp_idx")) - 1).alias("position"))
+    sc = Scratch(elements.sparkSession, "element_order")
+    e = elements.select("cp_idx", "parent_idx", F.coalesce("idx_in_parent", "cp_idx").alias("i"), F.coalesce(F.col("kind") == "module", F.lit(False)).alias("m")).where("cp_idx is not null")
+    e = sc.save(e.join(e.select(F.col("cp_idx").alias("parent_idx"), F.lit(True).alias("known")).distinct(), "parent_idx", "left"), "elements")
+    levels = [sc.save(e.where("known is null").groupBy("cp_idx").agg(F.max("m").alias("m")).select("cp_idx", "m", F.array("cp_idx").alias("key")), "level")]
+    while not levels[-1].isEmpty():
+        up = levels[-1].select(F.col("cp_idx").alias("parent_idx"), F.col("m").alias("top"), "key")
+        step = e.where("known").join(up, "parent_idx").groupBy("cp_idx").agg(F.min(F.struct(F.concat("key", F.array("i")).alias("key"), F.col("top").alias("m"))).alias("b"))
+        levels.append(sc.save(step.join(union_all(levels).select("cp_idx"), "cp_idx", "left_anti").select("cp_idx", "b.m", "b.key"), "level"))
+    placed = union_all(levels).withColumn("last", F.lit(0))
+    left = e.join(placed.select("cp_idx"), "cp_idx", "left_anti").groupBy("cp_idx").agg(F.max("m").alias("m")).select("cp_idx", "m", F.array("cp_idx").alias("key"), F.lit(1).alias("last"))
+    ordered = numbered(placed.unionByName(left).withColumn("later", ~F.col("m")), ["last", "later", "key", "cp_idx"], "position")
+    return ordered.select("cp_idx", F.col("position").cast("int").alias("position"))
 
 
 def modification(elements: DataFrame, since: str, mtime: str = "mtime") -> DataFrame:
-    """(last_modified, any_modified): the latest time of change, and whether any is after ``since``."""
-    return elements.agg(F.date_format(F.max(mtime), "yyyy-MM-dd HH:mm:ss").alias("last_modified"), F.coalesce(F.bool_or(F.col(mtime) > F.to_timestamp(F.lit(since))), F.lit(False)).alias("any_modified"))
+    """(last_modified, any_modified): the latest time of change that is not in the future, and whether any is after ``since``."""
+    return elements.agg(F.date_format(F.max(F.when(F.col(mtime) < F.current_timestamp(), F.col(mtime))), "yyyy-MM-dd HH:mm:ss").alias("last_modified"), F.coalesce(F.bool_or(F.col(mtime) > F.to_timestamp(F.lit(since))), F.lit(False)).alias("any_modified"))
 
 
 def select_resources(
@@ -101,9 +107,18 @@ def select_resources(
 
 
 def elements_with_paths(elements: DataFrame, resources: DataFrame, accept: list[str] = (), reject: list[str] = ()) -> DataFrame:
-    """Elements that contain an accepted path (any, if none is named) and no rejected one."""
+    """Elements that contain an accepted path (any, if none is named) and no rejected one; paths may be globs."""
+    from bytegrove.functions.globs import glob_to_regex, is_glob
+
+    def holding(specs: list[str]) -> DataFrame:
+        c = F.col("path")
+        hit = F.lit(False)
+        for s in specs:
+            hit = hit | (c.rlike(glob_to_regex(s)) if is_glob(s) else c == s.strip("/"))
+        return resources.where(hit).select("cp_idx").distinct()
+
     if accept:
-        elements = elements.join(resources.where(F.col("path").isin(*accept)).select("cp_idx").distinct(), "cp_idx", "left_semi")
+        elements = elements.join(holding(accept), "cp_idx", "left_semi")
     if reject:
-        elements = elements.join(resources.where(F.col("path").isin(*reject)).select("cp_idx").distinct(), "cp_idx", "left_anti")
+        elements = elements.join(holding(reject), "cp_idx", "left_anti")
     return elements

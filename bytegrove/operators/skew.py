@@ -95,5 +95,20 @@ def weighted_percentiles(
     return cum.groupBy(key).agg(*picks)
 
 
+def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """Rows with their number from 0 in an order, as ``name``. The rows are range-partitioned by the order and each range is
+    numbered from the sum of those before it, so no task orders all rows; the driver gets a count per range."""
+    scratch = Scratch(df.sparkSession, "numbered")
+    ranged = scratch.save(df.repartitionByRange(*order).withColumn("part__", F.spark_partition_id()), "ranged")
+    before, total = {}, 0
+    for part, n in sorted((r[0], r[1]) for r in ranged.groupBy("part__").count().collect()):
+        before[part], total = total, total + n
+    if not before:
+        return ranged.drop("part__").withColumn(name, F.lit(0).cast("bigint"))
+    start = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))
+    within = F.row_number().over(Window.partitionBy("part__").orderBy(*order))
+    return ranged.withColumn(name, (within - 1 + F.element_at(start, F.col("part__"))).cast("bigint")).drop("part__")
+
+
 def union_all(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tables)

@@ -218,16 +218,6 @@ def g16_type_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supertype_arguments(Relations(Catalog.load(spark, sf_dir)))
 
 
-def s8_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifest entries of elements, with the module name that each would have: declared, named in the manifest, or derived."""
-    from bytegrove.functions.paths import automatic_module_name_column
-    from bytegrove.sources.tables import table
-
-    e = table(spark, sf_dir, "cp_elements")
-    name = F.coalesce("module_name", F.element_at("manifest", "Automatic-Module-Name"), automatic_module_name_column("uri"))
-    return e.select("cp_idx", name.alias("module_name"), F.coalesce(F.size("manifest"), F.lit(0)).alias("n_manifest"), F.element_at("manifest", "Bundle-Name").alias("bundle"))
-
-
 def f14_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resources by path, file name, extension and pattern."""
     from bytegrove.operators.resources import select_resources
@@ -258,37 +248,6 @@ def a5_last_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modification(table(spark, sf_dir, "cp_elements"), "2024-06-01 00:00:00")
 
 
-def _spark_archives(spark: SparkSession) -> DataFrame:
-    """Archives of the installed PySpark, as a corpus that is there wherever the queries run."""
-    import os
-
-    import pyspark
-
-    from bytegrove.sources.archives import archive_files
-
-    return archive_files(spark, [os.path.join(os.path.dirname(pyspark.__file__), "jars")])
-
-
-def s2_archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each archive of the installed PySpark, and each in it: entries, class files, those of newer versions, and errors."""
-    from bytegrove.sources.archives import list_entries
-
-    e = list_entries(_spark_archives(spark))
-    name = F.element_at(F.split("element", "/"), -1)
-    return e.groupBy(name.alias("archive"), "nested").agg(
-        F.count("path").alias("n_entries"), F.count_if("is_classfile").alias("n_classes"), F.count_if(F.col("version") > 8).alias("n_versioned"), F.sum("length").alias("bytes"), F.count("error").alias("n_errors")
-    )
-
-
-def s15_parsed_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each class file of the archives of the installed PySpark, with what it declares."""
-    from bytegrove.sources.archives import list_entries
-    from bytegrove.sources.scan import parse_classes
-
-    p = parse_classes(list_entries(_spark_archives(spark)).where("is_classfile and error is null"))
-    return p.select("class_name", "superclass", "major", F.size("methods").alias("n_methods"), F.size("fields").alias("n_fields"), F.size("annotations").alias("n_annotations"), F.size("refs").alias("n_refs"), "parse_error")
-
-
 QUERIES = {
     "g1_subclasses": _rel("subclasses"), "g2_superclasses": _rel("superclasses"), "g3_superclass": _rel("superclass"), "g4_superinterfaces": _rel("superinterfaces"),
     "g5_implementing": _rel("implementing"), "g6_subinterfaces": _rel("subinterfaces"), "g7_outer": _rel("outer"), "g7_inner": _rel("inner"),
@@ -303,7 +262,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         f2_kinds, f3_visible, f4_path_status, f14_globs, f16_has, f17_modifiers, u_set_operations, u_assignable, j2_placeholders, j4_membership, w1_masking,
-        f14_selections, g12_annotation_instances, g16_type_arguments, s2_archive_entries, s8_manifests, s15_parsed_classes, sig_methods, a1_resources_by_path, a2_duplicate_paths, a5_last_modified, a8_modifier_union, s11_element_order, g18_dependencies, g19_reverse_dependencies, g19_dependencies, k1_dot_edges, k9_node_labels,
+        f14_selections, g12_annotation_instances, g16_type_arguments, sig_methods, a1_resources_by_path, a2_duplicate_paths, a5_last_modified, a8_modifier_union, s11_element_order, g18_dependencies, g19_reverse_dependencies, g19_dependencies, k1_dot_edges, k9_node_labels,
     )
 }
 
@@ -459,8 +418,6 @@ above AS (SELECT DISTINCT w.root AS class_name, a.annotation FROM w_up w JOIN a
 base AS (SELECT class_name, annotation, 0 AS directness FROM a UNION ALL SELECT class_name, annotation, 1 FROM above),
 meta AS (SELECT DISTINCT b.class_name, c.node AS annotation FROM base b JOIN c_class_ann c ON c.root = b.annotation WHERE NOT starts_with(c.node, '{R.JAVA_META}') AND (b.directness = 0 OR c.node IN (SELECT annotation FROM inh)))
 SELECT class_name, annotation, directness FROM base UNION ALL SELECT class_name, annotation, 2 FROM meta WHERE (class_name, annotation) NOT IN (SELECT (class_name, annotation) FROM base)""",
-    "s8_manifests": r"""SELECT cp_idx, coalesce(module_name, manifest['Automatic-Module-Name'], regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(uri, '^.*/', ''), '\.[A-Za-z]+$', ''), '-\d+(\.|$).*$', ''), '[^A-Za-z0-9]', '.', 'g'), '\.+', '.', 'g'), '^\.|\.$', '', 'g')) AS module_name,
-CAST(coalesce(cardinality(manifest), 0) AS INTEGER) AS n_manifest, manifest['Bundle-Name'] AS bundle FROM cp_elements""".replace("\\\\", "\\"),
     "f14_selections": f"""WITH {_RES} SELECT 'extension' AS how, cp_idx, path FROM res WHERE ends_with(lower(path), '.class') UNION ALL SELECT 'regex', cp_idx, path FROM res WHERE regexp_full_match(path, '.*/[A-C][a-zA-Z]*X[0-9a-z]+\\.class')
 UNION ALL SELECT 'glob', cp_idx, path FROM res WHERE regexp_full_match(path, '[^/]*/[^/]*/[^/]*/[^/]*\\.class') UNION ALL SELECT 'leaf', cp_idx, path FROM res WHERE ends_with(path, '/RosterReaderX0.class') UNION ALL SELECT 'path', cp_idx, path FROM res WHERE path = 'fennik/tariff/intern/RosterReaderX0.class'""",
     "a3_overloads": f"WITH {SQL_METHODS} SELECT class_name, name, count(*) AS n, string_agg(descriptor, ' ' ORDER BY descriptor) AS descriptors FROM methods_ GROUP BY class_name, name",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bytegrove.plans import graph, problems
+from bytegrove.plans import graph, problems, scans
 
-QUERIES = {**problems.QUERIES, **graph.QUERIES}
-ORACLE = {**problems.ORACLE, **graph.ORACLE}
+QUERIES = {**problems.QUERIES, **graph.QUERIES, **scans.QUERIES}
+ORACLE = {**problems.ORACLE, **graph.ORACLE, **scans.ORACLE}

@@ -84,10 +84,9 @@ def usable(i: zipfile.ZipInfo, size: int) -> bool:
     return not i.is_dir() and not i.flag_bits & 1 and i.compress_type in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED) and 0 <= i.header_offset < size and i.file_size >= 0
 
 
-def check_count(f, z: zipfile.ZipFile) -> None:
-    """An archive that claims more entries than its directory can hold is broken."""
-    f.seek(0, io.SEEK_END)
-    if len(z.infolist()) > max(0, f.tell() - 22) // 46:
+def check_count(z: zipfile.ZipFile, size: int) -> None:
+    """An archive that claims more entries than its central directory has room for is broken."""
+    if len(z.infolist()) * 46 > max(0, size - z.start_dir):
         raise zipfile.BadZipFile("more entries than the directory can hold")
 
 
@@ -132,9 +131,9 @@ def list_archive(f, element: str, nested: str, o: ArchiveOptions) -> Iterator[di
     blank = dict.fromkeys(_SCHEMA.names) | {"element": element, "nested": nested}
     try:
         z = zipfile.ZipFile(f)
-        check_count(f, z)
         f.seek(0, io.SEEK_END)
         size = f.tell()
+        check_count(z, size)
     except (zipfile.BadZipFile, OSError, struct.error, ValueError, NotImplementedError) as e:
         yield blank | {"error": f"{type(e).__name__}: {e}"}
         return
@@ -160,10 +159,9 @@ def list_archive(f, element: str, nested: str, o: ArchiveOptions) -> Iterator[di
             if not o.all_versions and name.startswith(VERSIONS):
                 number, _, rest = name[len(VERSIONS) :].partition("/")
                 if rest and number.isdigit() and not rest.startswith("META-INF/"):
-                    if not multi or not 9 <= int(number) <= o.jvm_major:
-                        if multi or int(number) > o.jvm_major:
-                            continue
-                    else:
+                    if int(number) > o.jvm_major:
+                        continue
+                    if int(number) >= 9:
                         version, path = int(number), rest
             root = next((r for r in roots if path.startswith(r)), "")
             path = path[len(root) :]
@@ -173,7 +171,8 @@ def list_archive(f, element: str, nested: str, o: ArchiveOptions) -> Iterator[di
                 "compressed_length": i.compress_size, "mtime": _entry_time(i), "posix_mode": stat.S_IMODE(mode) if i.create_system == 3 and mode else None, "manifest": list(manifest.items()) if ord_ == 0 else None,
             }
             old = rows.get(path)
-            if old is None or version > old["version"]:
+            # Without the flag a version is one more entry of that path, and the first entry counts.
+            if old is None or (multi and version > old["version"]):
                 rows[path] = row
         yield from rows.values()
         if o.nested:

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from bytegrove.catalog import Catalog, Scope
 from bytegrove.functions.globs import Filter
 from bytegrove.functions.names import package_of, path_to_class
 from bytegrove.functions.paths import ARCHIVE, has_scheme, sanitize
-from bytegrove.operators.resources import element_order, mask_classes
+from bytegrove.operators.resources import element_order, elements_with_paths, mask_classes
+from bytegrove.operators.skew import numbered
 from bytegrove.scratch import Scratch
 from bytegrove.sources.archives import ENTRIES, ArchiveOptions, archive_files, directory_listing, list_entries, read_entries
 from bytegrove.sources.classfile import ClassFile, ClassFormatError
@@ -40,6 +42,11 @@ class ScanConfig:
     archive_files: bool = True
     #: Keeps elements; a Column over ``element`` and ``nested``.
     element_filter: Column | None = None
+    #: Keeps elements that hold one of these paths (any if none is named), and none of those; paths may be globs.
+    accept_element_paths: tuple[str, ...] = ()
+    reject_element_paths: tuple[str, ...] = ()
+    #: List the elements and their entries only: nothing is parsed, and there is no graph.
+    class_path_only: bool = False
     extend_to_external: bool = True
     #: Scan archives that manifests name in Class-Path too.
     follow_class_path: bool = True
@@ -103,7 +110,7 @@ def parse_classes(entries: DataFrame, config: ScanConfig = ScanConfig()) -> Data
                     if only_public and not c.flags & 1 and not c.name.endswith("-info"):
                         continue
                     head |= c.record()
-                except (ClassFormatError, IndexError, RecursionError) as e:
+                except (ClassFormatError, ValueError, IndexError, KeyError, struct.error, RecursionError) as e:
                     head["parse_error"] = f"{type(e).__name__}: {e}"
             part.append(head)
             if len(part) >= BATCH:
@@ -140,7 +147,8 @@ class Scan:
         # A first number by the place of the path in the request and by name; then parents before what they bring along.
         place = F.coalesce(*(F.when(F.regexp_replace("element", r"^file:/*", "/").startswith(p.removeprefix("file:").rstrip("/")), i) for i, p in enumerate(paths)), F.lit(len(paths)))
         el = listed.groupBy("element", "nested").agg(F.first("manifest", ignorenulls=True).alias("manifest"))
-        el = el.withColumn("id", (F.row_number().over(Window.orderBy(place, "element", F.length(F.regexp_replace("nested", "[^!]", "")), "nested")) - 1).cast("int"))
+        el = el.withColumns({"place": place, "level": F.length(F.regexp_replace("nested", "[^!]", ""))})
+        el = numbered(el, ["place", "element", "level", "nested"], "id").select("element", "nested", "manifest", F.col("id").cast("int").alias("id"))
         el = sc.save(el, "numbered")
         inside = el.where("nested <> ''").select("element", F.regexp_replace("nested", r"(^|!/)[^!]*$", "").alias("up"), F.col("id").alias("cp_idx"), (F.col("id") + NESTED_LAST).alias("i"))
         parents = inside.join(el.select("element", F.col("nested").alias("up"), F.col("id").alias("parent_idx")), ["element", "up"]).select("cp_idx", "parent_idx", "i")
@@ -150,25 +158,29 @@ class Scan:
             parents = parents.unionByName(by.select("cp_idx", "parent_idx", "i"))
         order = el.select(F.col("id").alias("cp_idx"), F.lit("zip").alias("kind")).join(parents.withColumnRenamed("i", "idx_in_parent"), "cp_idx", "left")
         positions = element_order(order).select(F.col("cp_idx").alias("id"), F.col("position").cast("int").alias("cp_idx"))
-        el = el.join(F.broadcast(positions), "id").drop("id")
+        el = el.join(positions, "id").drop("id")
         if not config.archives.platform:
             el = el.where(~_platform(F.col("manifest")))
         if config.element_filter is not None:
             el = el.where(config.element_filter)
         el = sc.save(el, "kept")
         # A module's name is read from its descriptor even if the root package isn't accepted, or else from the manifest.
-        descriptors = parse_classes(listed.where("error is null and path = 'module-info.class'").join(F.broadcast(el.select("element", "nested")), ["element", "nested"]), config)
+        descriptors = parse_classes(listed.where("error is null and path = 'module-info.class'").join(el.select("element", "nested"), ["element", "nested"]), config)
         named = descriptors.where("module_name is not null").groupBy("element", "nested").agg(F.first("module_name").alias("descriptor"))
         el = el.join(named, ["element", "nested"], "left").withColumn("module_name", F.coalesce("descriptor", F.element_at("manifest", "automatic-module-name")))
         modules = Filter("whole", config.accept_modules, config.reject_modules, ".")
         if config.accept_modules or config.reject_modules:
             el = el.where(F.col("module_name").isNull() | modules.accepted(F.col("module_name")))
         self.elements = sc.save(el, "elements")
-        entries = listed.where("error is null").join(F.broadcast(self.elements.select("element", "nested", "cp_idx")), ["element", "nested"])
+        entries = listed.where("error is null").join(self.elements.select("element", "nested", "cp_idx"), ["element", "nested"])
+        if config.accept_element_paths or config.reject_element_paths:
+            some = elements_with_paths(self.elements, entries.select("cp_idx", "path"), list(config.accept_element_paths), list(config.reject_element_paths))
+            self.elements = sc.save(some, "elements")
+            entries = entries.join(self.elements.select("cp_idx"), "cp_idx", "left_semi")
         # Classes without a package don't belong to a module.
         modular = self.elements.where("descriptor is not null").select("cp_idx")
         loose = F.lower("path").rlike(r"^[^/]*\.class$") & (F.col("path") != "module-info.class")
-        entries = entries.where(~loose).unionByName(entries.where(loose).join(F.broadcast(modular), "cp_idx", "left_anti").select(*entries.columns))
+        entries = entries.where(~loose).unionByName(entries.where(loose).join(modular, "cp_idx", "left_anti").select(*entries.columns))
         self.entries = sc.save(entries, "entries")
         package = F.when(F.col("is_classfile"), package_of(path_to_class("path"))).otherwise(F.translate(F.regexp_replace("path", r"/?[^/]*$", ""), "/", "."))
         wanted = Filter("prefix", config.accept_packages, config.reject_packages, ".").accepted(package)
@@ -181,6 +193,9 @@ class Scan:
         if config.reject_classes:
             wanted = wanted & ~F.coalesce(path_to_class("path").isin(*config.reject_classes), F.lit(False))
         self.resources = self.entries.where(F.coalesce(wanted, F.lit(False)) & ~F.col("path").endswith("module-info.class"))
+        if config.class_path_only:
+            self.errors = self.errors_listing.select("element", "nested", F.lit(None).cast("string").alias("path"), "error")
+            return
         masked = mask_classes(self.resources.where("is_classfile").select("cp_idx", "path", "ord"))
         own = self.entries.join(masked.where("not masked").select("cp_idx", "path"), ["cp_idx", "path"], "left_semi")
         self.parsed = sc.save(parse_classes(own, config).withColumn("is_external", F.lit(False)), "parsed")
@@ -258,7 +273,7 @@ class Scan:
     def classes(self) -> DataFrame:
         """Parsed classes with access bits as their enclosing classes declare them: these replace the access bits, other bits add up."""
         inner = self.parsed.select(F.explode("inner").alias("x")).where("x.modifiers is not null").groupBy(F.col("x.inner").alias("class_name")).agg(F.bit_or("x.modifiers").alias("bits"))
-        p = self.parsed.drop("module_name").join(inner, "class_name", "left").join(F.broadcast(self.elements.select("element", "nested", "cp_idx", "module_name")), ["element", "nested"])
+        p = self.parsed.drop("module_name").join(inner, "class_name", "left").join(self.elements.select("element", "nested", "cp_idx", "module_name"), ["element", "nested"])
         flags = F.when(F.col("bits").isNull(), F.col("modifiers")).otherwise((F.col("modifiers").bitwiseAND(~7)).bitwiseOR(F.col("bits")))
         inherited = F.exists("annotations", lambda a: (a["target_kind"] == "class") & (a["annotation"] == "java.lang.annotation.Inherited"))
         return p.select(
