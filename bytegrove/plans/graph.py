@@ -248,6 +248,70 @@ def a5_last_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modification(table(spark, sf_dir, "cp_elements"), "2024-06-01 00:00:00")
 
 
+HAS_NAMES = {"superclass": "vantar.kernel.BaseUnit", "interface": "vantar.spi.NamedSource", "annotation": "vantar.meta.Managed", "method": "close", "field": "marker0"}
+
+
+def f16_class_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(predicate, class_name): classes that a predicate of each kind holds for, for one name of each sort."""
+    from bytegrove.operators.predicates import Predicates
+
+    p = Predicates(Members(Catalog.load(spark, sf_dir)))
+    n = HAS_NAMES
+    found = {
+        "extends": p.extends_superclass(n["superclass"]), "implements": p.implements_interface(n["interface"]), "annotated": p.has_annotation(n["annotation"]),
+        "declared_method": p.has_declared_method("<init>"), "method": p.has_method(n["method"]), "declared_field": p.has_declared_field(n["field"]), "field": p.has_field(n["field"]),
+    }
+    for member in ("field", "method", "param"):
+        found[f"declared_{member}_annotation"] = p.has_declared_member_annotation(member, n["annotation"])
+        found[f"{member}_annotation"] = p.has_member_annotation(member, n["annotation"])
+    out = None
+    for name, df in found.items():
+        df = df.select(F.lit(name).alias("predicate"), "class_name")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def j10_effective_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of each annotation on a class, given ones over defaults; the smallest value seen of a name stands for its default."""
+    from bytegrove.operators.members import params_over_defaults
+
+    a = Catalog.load(spark, sf_dir).annotations
+    p = a.select("annotation", F.posexplode("params").alias("i", "p"))
+    defaults = p.groupBy("annotation", F.col("p.name").alias("name")).agg(F.min("i").alias("ord"), F.min("p.value_json").alias("value_json"))
+    return params_over_defaults(a.where("target_kind = 'class'"), defaults).select("ann_id", "name", "value_json", "is_default")
+
+
+def o_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in order, as positions: classes and packages by name, methods by class, name and descriptor."""
+    from bytegrove.operators.skew import numbered
+
+    cat = Catalog.load(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    classes = numbered(cat.classes.where(SCOPE.visible()).select("class_name"), ["class_name"], "position").select(F.lit("class").alias("what"), "class_name", none.alias("name"), none.alias("descriptor"), "position")
+    packages = numbered(cat.classes.where(SCOPE.visible()).select("package_name").distinct(), ["package_name"], "position").select(F.lit("package").alias("what"), F.col("package_name").alias("class_name"), none.alias("name"), none.alias("descriptor"), "position")
+    methods = numbered(cat.methods.select("class_name", "name", "descriptor"), ["class_name", "name", "descriptor"], "position").select(F.lit("method").alias("what"), "class_name", "name", "descriptor", "position")
+    return classes.unionByName(packages).unionByName(methods)
+
+
+def fn_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locations of elements as paths and URLs."""
+    import pandas as pd
+
+    from bytegrove.functions import paths as P
+    from bytegrove.sources.tables import table
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame(
+                {
+                    "cp_idx": f["cp_idx"], "path": [P.resolve("/x", u) for u in f["uri"]], "url": [P.normalize_url(P.resolve("/x", u)) for u in f["uri"]], "beside": [P.resolve(P.parent_dir(P.resolve("/", u)), "../y z/./a.jar") for u in f["uri"]],
+                    "leaf": [P.leaf(u) for u in f["uri"]], "is_url": [P.has_scheme(u) for u in f["uri"]], "list": [P.join_path_list(P.split_path_list(f"{u}:/a b:jar:{u}!/c")) for u in f["uri"]],
+                }
+            )
+
+    return table(spark, sf_dir, "cp_elements").where("uri is not null").select("cp_idx", "uri").mapInPandas(run, "cp_idx int, path string, url string, beside string, leaf string, is_url boolean, list string")
+
+
 QUERIES = {
     "g1_subclasses": _rel("subclasses"), "g2_superclasses": _rel("superclasses"), "g3_superclass": _rel("superclass"), "g4_superinterfaces": _rel("superinterfaces"),
     "g5_implementing": _rel("implementing"), "g6_subinterfaces": _rel("subinterfaces"), "g7_outer": _rel("outer"), "g7_inner": _rel("inner"),
@@ -262,7 +326,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         f2_kinds, f3_visible, f4_path_status, f14_globs, f16_has, f17_modifiers, u_set_operations, u_assignable, j2_placeholders, j4_membership, w1_masking,
-        f14_selections, g12_annotation_instances, g16_type_arguments, sig_methods, a1_resources_by_path, a2_duplicate_paths, a5_last_modified, a8_modifier_union, s11_element_order, g18_dependencies, g19_reverse_dependencies, g19_dependencies, k1_dot_edges, k9_node_labels,
+        f14_selections, g12_annotation_instances, g16_type_arguments, sig_methods, a1_resources_by_path, a2_duplicate_paths, a5_last_modified, a8_modifier_union, s11_element_order, g18_dependencies, g19_reverse_dependencies, g19_dependencies, f16_class_predicates, j10_effective_values, o_orders, fn_paths, k1_dot_edges, k9_node_labels,
     )
 }
 
@@ -385,7 +449,28 @@ def _flag(c: str) -> str:
     return f"class_name IN ({c})"
 
 
+_ARG = """list_transform(regexp_extract_all({}, '\\[*(?:[BCDFIJSZV]|L[^;]+;)'), lambda t: CASE replace(t, '[', '') WHEN 'B' THEN 'byte' WHEN 'C' THEN 'char' WHEN 'D' THEN 'double' WHEN 'F' THEN 'float' WHEN 'I' THEN 'int' WHEN 'J' THEN 'long' WHEN 'S' THEN 'short'
+  WHEN 'Z' THEN 'boolean' WHEN 'V' THEN 'void' ELSE replace(replace(regexp_replace(t, '^\\[*L', ''), ';', ''), '/', '.') END || repeat('[]', len(t) - len(replace(t, '[', ''))))"""
+_ON = {k: f"SELECT DISTINCT src FROM edges_ WHERE rel = '{r}' AND (dst = '{HAS_NAMES['annotation']}' OR dst IN (SELECT root FROM c_class_ann WHERE node = '{HAS_NAMES['annotation']}'))" for k, r in (("field", "field_ann"), ("method", "method_ann"), ("param", "method_param_ann"))}
+
 ORACLE = {
+    "sig_methods": f"""WITH {SQL_METHODS} SELECT class_name, name, descriptor, '(' || array_to_string({_ARG.format("regexp_extract(descriptor, '[(](.*)[)]', 1)")}, ', ') || ') ' || {_ARG.format("regexp_extract(descriptor, '[)](.*)$', 1)")}[1] AS text, descriptor AS erased, CAST(0 AS INTEGER) AS type_params, false AS generic FROM methods_""",
+    "f16_class_predicates": _with(*_MEMBERS_SQL, *_MEMBER_LINES, _RESOLVED_METHODS, _RESOLVED_FIELDS, _closure("class_ann"), _OWN_ANN) + f"""SELECT 'extends' AS predicate, root AS class_name FROM sup WHERE node = '{HAS_NAMES['superclass']}'
+UNION SELECT 'implements', root FROM (SELECT root, node FROM c_implements UNION SELECT s.root, c.node FROM sup s JOIN c_implements c ON c.root = s.node) WHERE node = '{HAS_NAMES['interface']}'
+UNION SELECT 'annotated', root FROM (SELECT root, node FROM own UNION SELECT s.root, o.node FROM sup s JOIN own o ON o.root = s.node WHERE o.node IN (SELECT class_name FROM classes_ WHERE inherited_meta)) WHERE node = '{HAS_NAMES['annotation']}'
+UNION SELECT 'declared_method', class_name FROM methods_ WHERE name = '<init>' UNION SELECT 'method', class_name FROM resolved_methods WHERE name = '{HAS_NAMES['method']}'
+UNION SELECT 'declared_field', class_name FROM fields_ WHERE name = '{HAS_NAMES['field']}' UNION SELECT 'field', class_name FROM resolved_fields WHERE name = '{HAS_NAMES['field']}'
+""" + "".join(f"UNION SELECT 'declared_{k}_annotation', src FROM ({q}) UNION SELECT '{k}_annotation', root FROM method_lines WHERE node IN ({q})\n" for k, q in _ON.items()),
+    "j10_effective_values": f"""WITH {SQL_ANNOTATIONS}, p AS (SELECT ann_id, annotation, target_kind, unnest(params) AS p, unnest(range(len(params))) AS i FROM annotations_),
+d AS (SELECT annotation, p.name AS name, min(p.value_json) AS v FROM p GROUP BY ALL),
+g AS (SELECT ann_id, annotation, p.name AS name, p.value_json AS v FROM p WHERE target_kind = 'class'),
+w AS (SELECT a.ann_id, a.annotation, d.name, d.v FROM annotations_ a JOIN d USING (annotation) WHERE target_kind = 'class')
+SELECT w.ann_id, w.name, coalesce(g.v, w.v) AS value_json, g.v IS NULL AS is_default FROM w LEFT JOIN g ON g.ann_id = w.ann_id AND g.name = w.name WHERE coalesce(g.v, w.v) IS NOT NULL""",
+    "o_orders": _with(SQL_METHODS) + f"""SELECT 'class' AS what, class_name, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS descriptor, row_number() OVER (ORDER BY class_name) - 1 AS position FROM classes_ WHERE {sql_visible(SCOPE)}
+UNION ALL SELECT 'package', package_name, NULL, NULL, row_number() OVER (ORDER BY package_name) - 1 FROM (SELECT DISTINCT package_name FROM classes_ WHERE {sql_visible(SCOPE)})
+UNION ALL SELECT 'method', class_name, name, descriptor, row_number() OVER (ORDER BY class_name, name, descriptor) - 1 FROM methods_""",
+    "fn_paths": """SELECT cp_idx, regexp_replace(uri, '^file:', '') AS path, uri AS url, '/' || regexp_replace(regexp_replace(regexp_replace(uri, '^file:/', ''), '/?[^/]*$', ''), '/?[^/]*$', '') || '/y z/a.jar' AS beside, regexp_replace(uri, '^.*/', '') AS leaf, true AS is_url,
+uri || ':/a b:jar:' || uri || '!/c' AS list FROM cp_elements WHERE uri IS NOT NULL""",
     "g1_subclasses": _with(_UP) + _answer(f"SELECT node AS root, root AS node FROM up_ WHERE node <> '{OBJECT}' UNION ALL SELECT '{OBJECT}', class_name FROM classes_ WHERE NOT {_KIND['itf']} AND NOT {_KIND['ann']} AND class_name <> '{OBJECT}'", _one("extends", "dst", "src"), True),
     "g2_superclasses": _with(_depth("extends", "w_up")) + "SELECT root AS class_name, node AS related, min(depth) AS rank FROM w_up GROUP BY root, node",
     "g3_superclass": _with() + "SELECT src AS class_name, CASE WHEN count(*) = 1 THEN min(dst) END AS superclass, count(*) AS n FROM edges_ WHERE rel = 'extends' GROUP BY src",
