@@ -149,6 +149,14 @@ def params_over_defaults(instances: DataFrame, defaults: DataFrame) -> DataFrame
     return both.where(value.isNotNull()).select("ann_id", "name", value.alias("value_json"), F.col("given").isNull().alias("is_default"), "ord")
 
 
+def containers_of(annotations: DataFrame) -> DataFrame:
+    """(container, component) from the components' own java.lang.annotation.Repeatable; of several the smallest component."""
+    r = annotations.where("target_kind = 'class' and annotation = 'java.lang.annotation.Repeatable'")
+    value = F.expr("get(filter(params, p -> p.name = 'value'), 0).value_json")
+    named = F.translate(F.regexp_replace(F.get_json_object(value, "$.v"), "^L|;$", ""), "/", ".")
+    return r.select(named.alias("container"), F.col("class_name").alias("component")).where("container is not null").groupBy("container").agg(F.min("component").alias("component"))
+
+
 def unwrap_repeatable(instances: DataFrame, containers: DataFrame) -> DataFrame:
     """Annotation rows with those of container annotations replaced by their components.
 
@@ -157,7 +165,7 @@ def unwrap_repeatable(instances: DataFrame, containers: DataFrame) -> DataFrame:
     """
     marked = instances.join(containers.withColumnRenamed("container", "annotation"), "annotation", "left")
     plain = marked.where("component is null").drop("component").withColumn("sub_ord", F.lit(0))
-    value = F.expr("filter(params, p -> p.name = 'value')[0].value_json")
+    value = F.expr("get(filter(params, p -> p.name = 'value'), 0).value_json")
     items = F.from_json(F.get_json_object(value, "$.v"), "array<struct<annotation:string,params:array<struct<name:string,value_json:string>>>>")
     inner = marked.where("component is not null").select("*", F.posexplode(items).alias("sub_ord", "i"))
     return plain.unionByName(inner.withColumn("annotation", F.coalesce("i.annotation", "component")).withColumn("params", F.col("i.params")).drop("i", "component").select(*plain.columns))

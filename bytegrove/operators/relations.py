@@ -159,11 +159,15 @@ class Relations:
         above = near.join(nearest, ["class_name", "annotation", "depth"]).join(direct.select("class_name", "annotation").distinct(), ["class_name", "annotation"], "left_anti")
         above = above.select("class_name", "annotation", F.lit(1).alias("directness"), "params")
         base = direct.unionByName(above).select("class_name", F.col("annotation").alias("via"), "directness").distinct()
-        meta = self.closure("class_ann").where(~F.col("node").startswith(JAVA_META)).select(F.col("root").alias("via"), F.col("node").alias("annotation"))
+        # What carries a meta-annotation: the annotation itself, or one on it at any distance.
+        step = self.closure("class_ann").where(~F.col("node").startswith(JAVA_META)).select(F.col("root").alias("via"), F.col("node").alias("carrier"))
+        carriers = base.select("class_name", F.col("via").alias("carrier"), "directness").unionByName(base.join(step, "via").select("class_name", "carrier", "directness"))
+        carries = self.cat.rel("class_ann").where(~F.col("dst").startswith(JAVA_META)).select(F.col("src").alias("carrier"), F.col("dst").alias("annotation"))
         marks = inherit.withColumn("passes", F.lit(True))
-        found = base.join(meta, "via").join(marks, "annotation", "left").where((F.col("directness") == 0) | F.col("passes")).select("class_name", "annotation").distinct()
+        found = carriers.join(carries, "carrier").join(marks, "annotation", "left").where((F.col("directness") == 0) | F.col("passes")).select("class_name", "carrier", "annotation").distinct()
         new = found.join(direct.unionByName(above).select("class_name", "annotation").distinct(), ["class_name", "annotation"], "left_anti")
-        return direct.unionByName(above).unionByName(new.select("class_name", "annotation", F.lit(2).alias("directness"), F.lit(None).cast("string").alias("params"))).distinct()
+        metas = new.join(a.withColumnRenamed("node", "carrier"), ["carrier", "annotation"], "left")
+        return direct.unionByName(above).unionByName(metas.select("class_name", "annotation", F.lit(2).alias("directness"), "params")).distinct()
 
     # packages
 

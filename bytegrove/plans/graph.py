@@ -201,8 +201,10 @@ def k9_node_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g12_annotation_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annotation instances of each class by how it comes to them."""
-    return Relations(Catalog.load(spark, sf_dir, SCOPE)).annotation_instances().select("class_name", "annotation", "directness").distinct()
+    """Annotation instances of each class by how it comes to them, with their values as name and JSON."""
+    i = Relations(Catalog.load(spark, sf_dir, SCOPE)).annotation_instances()
+    values = F.from_json("params", "array<struct<name:string,value_json:string>>")
+    return i.select("class_name", "annotation", "directness", F.array_join(F.transform(values, lambda p: F.concat(p["name"], F.lit("="), p["value_json"])), ";").alias("params")).distinct()
 
 
 def sig_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -497,12 +499,14 @@ LEFT JOIN (SELECT class_name, string_agg(t, ' ' ORDER BY t) AS annotations FROM
 LEFT JOIN (SELECT class_name, string_agg(t, ' ' ORDER BY t) AS fields FROM (SELECT DISTINCT class_name, concat_ws(':', name, descriptor) AS t FROM fields_ WHERE name <> 'serialVersionUID') GROUP BY class_name) f ON f.class_name = c.class_name
 LEFT JOIN (SELECT class_name, string_agg(t, ' ' ORDER BY t) AS methods FROM (SELECT DISTINCT class_name, name || descriptor AS t FROM methods_ WHERE name <> '<clinit>' AND name || descriptor NOT IN ('hashCode()I', 'toString()Ljava/lang/String;', 'equals(Ljava/lang/Object;)Z')) GROUP BY class_name) m ON m.class_name = c.class_name
 WHERE NOT is_external""",
-    "g12_annotation_instances": _with(_depth("extends", "w_up"), _closure("class_ann"), SQL_ANNOTATIONS) + f""", a AS (SELECT DISTINCT class_name, annotation FROM annotations_ WHERE target_kind = 'class'),
-inh AS (SELECT class_name AS annotation FROM classes_ WHERE inherited_meta),
-above AS (SELECT DISTINCT w.root AS class_name, a.annotation FROM w_up w JOIN a ON a.class_name = w.node WHERE a.annotation IN (SELECT annotation FROM inh) AND (w.root, a.annotation) NOT IN (SELECT (class_name, annotation) FROM a)),
-base AS (SELECT class_name, annotation, 0 AS directness FROM a UNION ALL SELECT class_name, annotation, 1 FROM above),
-meta AS (SELECT DISTINCT b.class_name, c.node AS annotation FROM base b JOIN c_class_ann c ON c.root = b.annotation WHERE NOT starts_with(c.node, '{R.JAVA_META}') AND (b.directness = 0 OR c.node IN (SELECT annotation FROM inh)))
-SELECT class_name, annotation, directness FROM base UNION ALL SELECT class_name, annotation, 2 FROM meta WHERE (class_name, annotation) NOT IN (SELECT (class_name, annotation) FROM base)""",
+    "g12_annotation_instances": _with(_depth("extends", "w_up"), _closure("class_ann"), SQL_ANNOTATIONS, _INSTANCES) + f""",
+shown AS (SELECT class_name, annotation, array_to_string(list_transform(params, lambda p: p.name || '=' || p.value_json), ';') AS params FROM annotations_ WHERE target_kind = 'class'),
+carriers AS (SELECT class_name, annotation AS carrier, directness FROM base UNION SELECT b.class_name, c.node, b.directness FROM base b JOIN c_class_ann c ON c.root = b.annotation WHERE NOT starts_with(c.node, '{R.JAVA_META}'))
+SELECT DISTINCT class_name, annotation, directness, params FROM (
+  SELECT class_name, annotation, 0 AS directness, params FROM shown
+  UNION ALL SELECT n.class_name, n.annotation, 1, s.params FROM nearest n JOIN w_up w ON w.root = n.class_name AND w.depth = n.depth JOIN shown s ON s.class_name = w.node AND s.annotation = n.annotation
+  UNION ALL SELECT c.class_name, e.dst, 2, s.params FROM carriers c JOIN edges_ e ON e.rel = 'class_ann' AND e.src = c.carrier AND NOT starts_with(e.dst, '{R.JAVA_META}') LEFT JOIN shown s ON s.class_name = c.carrier AND s.annotation = e.dst
+    WHERE (c.directness = 0 OR e.dst IN (SELECT annotation FROM inh)) AND (c.class_name, e.dst) NOT IN (SELECT (class_name, annotation) FROM base))""",
     "f14_selections": f"""WITH {_RES} SELECT 'extension' AS how, cp_idx, path FROM res WHERE ends_with(lower(path), '.class') UNION ALL SELECT 'regex', cp_idx, path FROM res WHERE regexp_full_match(path, '.*/[A-C][a-zA-Z]*X[0-9a-z]+\\.class')
 UNION ALL SELECT 'glob', cp_idx, path FROM res WHERE regexp_full_match(path, '[^/]*/[^/]*/[^/]*/[^/]*\\.class') UNION ALL SELECT 'leaf', cp_idx, path FROM res WHERE ends_with(path, '/RosterReaderX0.class') UNION ALL SELECT 'path', cp_idx, path FROM res WHERE path = 'fennik/tariff/intern/RosterReaderX0.class'""",
     "a3_overloads": f"WITH {SQL_METHODS} SELECT class_name, name, count(*) AS n, string_agg(descriptor, ' ' ORDER BY descriptor) AS descriptors FROM methods_ GROUP BY class_name, name",

@@ -169,7 +169,7 @@ ORACLE = {
     "s5_versions": _with(_FILES) + f"""SELECT 'newest' AS how, archive, path, CASE WHEN {_MULTI} AND major >= 60 THEN {VERSION} ELSE 8 END AS version FROM file_
 UNION ALL SELECT 'newest', archive, unnest(['broken/' || path, 'moved/' || path]), 8 FROM file_ WHERE source_file IS NULL
 UNION ALL SELECT 'all', archive, path, 8 FROM file_ UNION ALL SELECT 'all', archive, unnest(['broken/' || path, 'moved/' || path]), 8 FROM file_ WHERE source_file IS NULL
-UNION ALL SELECT 'all', archive, unnest(['META-INF/versions/{VERSION}/' || path, 'META-INF/versions/{FUTURE}/' || path]), 8 FROM file_ WHERE major >= 60""",
+UNION ALL SELECT 'all', archive, unnest(['META-INF/versions/{VERSION}/' || path, 'META-INF/versions/{FUTURE}/' || path]), unnest([{VERSION}, 8]) FROM file_ WHERE major >= 60""",
     "s8_manifests": rf"""SELECT cp_idx, coalesce(module_name, manifest['Automatic-Module-Name'], regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(uri, '^.*/', ''), '\.[A-Za-z]+$', ''), '-\d+(\.|$).*$', ''), '[^A-Za-z0-9]', '.', 'g'), '\.+', '.', 'g'), '^\.|\.$', '', 'g')) AS module_name,
 CAST(coalesce(cardinality(manifest), 0) + 1 + CASE WHEN {_MULTI} AND manifest['Multi-Release'] IS NULL THEN 1 ELSE 0 END AS INTEGER) AS n_manifest, manifest['Bundle-Name'] AS bundle, {_MULTI} AS is_multi_release FROM cp_elements""",
     "s15_parsed_classes": _with(*_ALL) + f"""SELECT archive, s.class_name, modifiers & ~32 & 65535 AS modifiers, superclass, interfaces, major, minor, type_signature, source_file, is_record, "outer", CAST(coalesce(m.n, 0) AS INTEGER) AS n_methods, CAST(coalesce(f.n, 0) AS INTEGER) AS n_fields FROM said s

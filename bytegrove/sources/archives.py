@@ -156,13 +156,15 @@ def list_archive(f, element: str, nested: str, o: ArchiveOptions) -> Iterator[di
         rows: dict[str, dict] = {}
         for ord_, (name, i) in enumerate(infos.items()):
             version, path = 8, name
-            if not o.all_versions and name.startswith(VERSIONS):
+            if name.startswith(VERSIONS):
                 number, _, rest = name[len(VERSIONS) :].partition("/")
-                if rest and number.isdigit() and not rest.startswith("META-INF/"):
-                    if int(number) > o.jvm_major:
-                        continue
-                    if int(number) >= 9:
-                        version, path = int(number), rest
+                n = int(number) if rest and number.isdecimal() and len(number) < 6 else 0
+                if o.all_versions:
+                    version = n if 9 <= n <= o.jvm_major else 8
+                elif n > o.jvm_major and not rest.startswith("META-INF/"):
+                    continue
+                elif n >= 9 and not rest.startswith("META-INF/"):
+                    version, path = n, rest
             root = next((r for r in roots if path.startswith(r)), "")
             path = path[len(root) :]
             mode = i.external_attr >> 16
@@ -218,14 +220,15 @@ def check_scheme(path: str, options: ArchiveOptions) -> None:
 
 
 def archive_files(spark: SparkSession, paths: list[str], options: ArchiveOptions = ArchiveOptions()) -> DataFrame:
-    """(element, length, mtime) of archives below the paths, without reading one; file names are filtered before."""
+    """(element, length, mtime) of archives below the paths, each once however often it is reached, without reading one; file
+    names are filtered before."""
     for p in paths:
         check_scheme(p, options)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(F.col("path").alias("element"), "length", F.col("modificationTime").alias("mtime"))
     name = F.lower(F.element_at(F.split("element", "/"), -1))
     from bytegrove.functions.globs import Filter
 
-    return files.where(name.rlike(ARCHIVE.pattern)).where(Filter("leaf", options.accept_names, options.reject_names).accepted(F.col("element")))
+    return files.where(name.rlike(ARCHIVE.pattern)).where(Filter("leaf", options.accept_names, options.reject_names).accepted(F.col("element"))).dropDuplicates(["element"])
 
 
 def list_entries(files: DataFrame, options: ArchiveOptions = ArchiveOptions()) -> DataFrame:

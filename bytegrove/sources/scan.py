@@ -15,6 +15,7 @@ from bytegrove.catalog import Catalog, Scope
 from bytegrove.functions.globs import Filter
 from bytegrove.functions.names import package_of, path_to_class
 from bytegrove.functions.paths import ARCHIVE, has_scheme, sanitize
+from bytegrove.operators.members import containers_of, unwrap_repeatable
 from bytegrove.operators.resources import element_order, elements_with_paths, mask_classes
 from bytegrove.operators.skew import numbered
 from bytegrove.scratch import Scratch
@@ -138,6 +139,10 @@ class Scan:
             for p in paths:
                 if not ARCHIVE.search(p) and not any(c in p for c in "*?["):
                     found = directory_listing(spark, p)
+                    # What lies below another root of the scan is that root's alone.
+                    for other in paths:
+                        if other.rstrip("/").startswith(p.rstrip("/") + "/"):
+                            found = found.where(~F.col("path").startswith(other.rstrip("/")[len(p.rstrip("/")) + 1 :] + "/"))
                     listed = listed.unionByName(found.where(~F.lower("path").rlike(ARCHIVE.pattern)))
         listed = sc.save(listed, "listed")
         links: DataFrame | None = None
@@ -287,7 +292,9 @@ class Scan:
         ext = p.where(F.col("superclass").isNotNull() & ~is_itf).select(F.lit("extends").alias("rel"), F.col("class_name").alias("src"), F.col("superclass").alias("dst"), F.lit(0).alias("ord"), none.alias("nonprivate"))
         imp = p.select(F.lit("implements").alias("rel"), F.col("class_name").alias("src"), F.posexplode("interfaces").alias("ord", "dst")).select("rel", "src", "dst", "ord", none.alias("nonprivate"))
         inn = p.select(F.explode("inner").alias("x")).where("x.outer is not null").select(F.lit("inner_of").alias("rel"), F.col("x.inner").alias("src"), F.col("x.outer").alias("dst"), F.lit(0).alias("ord"), none.alias("nonprivate"))
+        # The edges of containers stay beside those of what they hold.
         a = self._each("annotations")
+        a = a.unionByName(self._unwrapped().drop("sub_ord").select(*a.columns)).distinct()
         flags = self._each("methods").select("class_name", F.lit("method").alias("k"), F.col("ord").alias("member_ord"), F.col("modifiers").alias("m")).unionByName(
             self._each("fields").select("class_name", F.lit("field").alias("k"), F.col("ord").alias("member_ord"), F.col("modifiers").alias("m"))
         )
@@ -297,8 +304,14 @@ class Scan:
         return ext.unionByName(imp).unionByName(inn).unionByName(ann)
 
     def annotations(self) -> DataFrame:
-        key = F.xxhash64("class_name", "target_kind", "member_ord", "param_idx", "ord", "annotation", F.to_json("params"))
-        return self._each("annotations").withColumn("ann_id", key)
+        """Annotations with their ids; containers of repeated ones are replaced by what they hold."""
+        a = self._unwrapped()
+        key = F.xxhash64("class_name", "target_kind", "member_ord", "param_idx", "ord", "sub_ord", "annotation", F.to_json("params"))
+        return a.withColumn("ann_id", key).drop("sub_ord")
+
+    def _unwrapped(self) -> DataFrame:
+        a = self._each("annotations")
+        return unwrap_repeatable(a, containers_of(a))
 
     def catalog(self) -> Catalog:
         return Catalog(self.classes(), self.edges(), self.members("methods"), self.members("fields"), self.annotations(), self.elements, None, self.config.scope())
