@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -28,6 +29,7 @@ _ARROW = pa.schema(
 )
 
 
+@lru_cache(maxsize=1 << 16)
 def fold(label: str) -> str:
     """A label without its spelling: letters and digits in lower case."""
     return re.sub(r"[\W_]+", "", label).lower()
@@ -57,7 +59,7 @@ def _no_constant(name: str):
     raise ValueError(f"{name} is no JSON")
 
 
-_DECODER = json.JSONDecoder(object_pairs_hook=_pairs, parse_int=_Number, parse_float=_Number, parse_constant=_no_constant)
+_DECODER = json.JSONDecoder(object_pairs_hook=_pairs, parse_float=_Number, parse_constant=_no_constant)
 _TOKEN = re.compile(r'[ \t\r\n]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\d.])|(true|false|null))', re.S)
 
 
@@ -73,8 +75,9 @@ def parse(text: str | None):
         return _DECODER.decode(text)
     except RecursionError:
         return _parse_deep(text)
-    except ValueError:
-        return None
+    except ValueError as e:
+        # Integers that are too long for the standard library are kept as they are written.
+        return _parse_deep(text) if "digits" in str(e) else None
 
 
 def _parse_deep(text: str):
@@ -123,7 +126,7 @@ def _parse_deep(text: str):
         else:
             if wanted not in ("value", "value or end"):
                 return None
-            value = _Number(number) if number is not None else {"true": True, "false": False, "null": None}[word]
+            value = _Number(number) if number is not None and (len(number) > 4000 or not number.lstrip("-").isdigit()) else int(number) if number is not None else {"true": True, "false": False, "null": None}[word]
         if stack:
             stack[-1][1].append(value)
             wanted = "next"
@@ -150,7 +153,7 @@ def _text(v) -> str:
     """A scalar as it is, anything else as JSON; a lone surrogate, which no text can hold, by its escape."""
     if isinstance(v, str):
         return v if v.isprintable() else v.encode("utf-8", "backslashreplace").decode("utf-8")
-    return _json(v)
+    return str(v).lower() if isinstance(v, (bool, int)) else _json(v)
 
 
 _SURROGATE = re.compile("[\ud800-\udfff]")
@@ -183,8 +186,10 @@ def _json(v) -> str:
             if x:
                 todo.pop()
             out.append("[")
-        else:
+        elif x is None or isinstance(x, bool):
             out.append({True: "true", False: "false", None: "null"}[x])
+        else:
+            out.append(str(x))
     return "".join(out)
 
 
@@ -199,10 +204,22 @@ def walk(top, structural: dict[str, str], scalar: dict[str, str], opaque: dict[s
     structural label lie below them. Depth is bounded by the parser alone, as this keeps its own stack.
     """
     n = 0
-    todo = [(None, "", 0, x, "", None) for x in reversed(list(_flat(top))) if isinstance(x, dict)]
+    todo = [(None, "", 0, x, "") for x in reversed(list(_flat(top))) if isinstance(x, dict)]
+    # What holds something below is found in one pass over the record, at the first object that asks.
+    tops: list = [top]
+    held: set[int] | None = None
+
+    def inner(text: str):
+        """A part written as JSON text inside the JSON."""
+        nonlocal held
+        x = parse(text)
+        tops.append(x)
+        if held is not None:
+            held |= _holders(x, structural)
+        return x
+
     while todo:
-        # What holds something below is found once for a subtree, and handed down.
-        parent, label, ordinal, v, path, held = todo.pop()
+        parent, label, ordinal, v, path = todo.pop()
         me, n = n, n + 1
         yield me, parent, label, ordinal, True, None, path
         counts: dict[str, int] = {}
@@ -220,16 +237,16 @@ def walk(top, structural: dict[str, str], scalar: dict[str, str], opaque: dict[s
                     continue
             name = structural.get(f) or opaque.get(f) or key
             if f in structural and isinstance(x, str) and not isinstance(x, _Number):
-                x = parse(x)  # some scanners write a part as JSON text inside the JSON
+                x = inner(x)
             for y in _flat(x):
                 if f in structural and isinstance(y, str) and not isinstance(y, _Number):
-                    y = parse(y)
+                    y = inner(y)
                 if isinstance(y, dict):
                     i = counts[name] = counts.get(name, -1) + 1
                     if f not in structural and held is None:
-                        held = _holders(v, structural)
+                        held = set().union(*(_holders(t, structural) for t in tops))
                     if f in structural or id(y) in held:
-                        below.append((me, name, i, y, f"{path}.{name}[{i}]" if path else f"{name}[{i}]", held if f not in structural else None))
+                        below.append((me, name, i, y, f"{path}.{name}[{i}]" if path else f"{name}[{i}]"))
         todo.extend(reversed(below))
 
 
