@@ -215,9 +215,19 @@ def sig_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g16_type_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What classes fill in for the variables of their superclasses. The tables have no generic superclass, so each class is
+    given a signature: it has a variable, and passes it on to its superclass or, by the length of its name, a fixed type."""
     from bytegrove.operators.signatures import supertype_arguments
 
-    return supertype_arguments(Relations(Catalog.load(spark, sf_dir)))
+    cat = Catalog.load(spark, sf_dir).pin()
+    reach = Relations(cat).up()
+    circular = reach.join(reach.where("root = node").select("node").distinct(), "node", "left_semi").select(F.col("root").alias("class_name")).distinct()
+    parent = cat.rel("extends").groupBy(F.col("src").alias("class_name")).agg(F.min("dst").alias("parent")).join(circular, "class_name", "left_anti")
+    given = F.when(F.length("class_name") % 3 == 0, F.lit("Ljava/lang/String;")).otherwise(F.lit("TT;"))
+    sig = F.concat(F.lit("<T:Ljava/lang/Object;>L"), F.coalesce(F.concat(F.translate("parent", ".", "/"), F.lit("<"), given, F.lit(">")), F.lit("java/lang/Object")), F.lit(";"))
+    rows = cat._rows().join(circular.withColumn("circular", F.lit(True)), "class_name", "left").join(parent, "class_name", "left")
+    rows = rows.withColumn("type_signature", F.when(F.col("circular").isNull(), sig)).drop("circular", "parent")
+    return supertype_arguments(Relations(Catalog(rows, cat.raw["edges"])))
 
 
 def f14_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -468,6 +478,12 @@ d AS (SELECT annotation, p.name AS name, min(p.value_json) AS v FROM p GROUP BY
 g AS (SELECT ann_id, annotation, p.name AS name, p.value_json AS v FROM p WHERE target_kind = 'class'),
 w AS (SELECT a.ann_id, a.annotation, d.name, d.v FROM annotations_ a JOIN d USING (annotation) WHERE target_kind = 'class')
 SELECT w.ann_id, w.name, coalesce(g.v, w.v) AS value_json, g.v IS NULL AS is_default FROM w LEFT JOIN g ON g.ann_id = w.ann_id AND g.name = w.name WHERE coalesce(g.v, w.v) IS NOT NULL""",
+    "g16_type_arguments": _with(_UP, f"""lk AS (SELECT src, min(dst) AS dst FROM edges_ WHERE rel = 'extends' GROUP BY src),
+has_row AS (SELECT class_name FROM known_),
+circular AS (SELECT root FROM up_ WHERE node IN (SELECT root FROM up_ WHERE root = node)),
+filled(root, node, fixed) AS (SELECT src, dst, len(src) % 3 = 0 FROM lk WHERE src NOT IN (SELECT root FROM circular) AND src IN (SELECT class_name FROM has_row) AND dst IN (SELECT class_name FROM has_row)
+  UNION ALL SELECT f.root, l.dst, f.fixed OR len(f.node) % 3 = 0 FROM filled f JOIN lk l ON l.src = f.node WHERE l.dst IN (SELECT class_name FROM has_row))""")
+    + "SELECT root AS class_name, node AS supertype, 'T' AS variable, CASE WHEN fixed THEN 'java.lang.String' ELSE 'T' END AS argument FROM filled",
     "o_orders": _with(SQL_METHODS) + f"""SELECT 'class' AS what, class_name, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS descriptor, row_number() OVER (ORDER BY class_name) - 1 AS position FROM classes_ WHERE {sql_visible(SCOPE)}
 UNION ALL SELECT 'package', package_name, NULL, NULL, row_number() OVER (ORDER BY package_name) - 1 FROM (SELECT DISTINCT package_name FROM classes_ WHERE {sql_visible(SCOPE)})
 UNION ALL SELECT 'method', class_name, name, descriptor, row_number() OVER (ORDER BY class_name, name, descriptor) - 1 FROM methods_""",
