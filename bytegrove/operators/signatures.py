@@ -44,6 +44,40 @@ def method_signatures(cat: Catalog) -> DataFrame:
     return m.select("class_name", "name", "descriptor", "p.text", "p.erased", "p.type_params", "p.generic")
 
 
+_CLASS = T.StructType([T.StructField("superclass", T.StringType()), T.StructField("interfaces", T.ArrayType(T.StringType())), T.StructField("type_params", T.IntegerType()), T.StructField("generic", T.BooleanType())])
+
+
+@F.pandas_udf(_CLASS)
+def parse_class_signature(sig: pd.Series, plain: pd.Series) -> pd.DataFrame:
+    """A class's signature, or the plain one built from its links where it has none or one that can't be parsed."""
+    from bytegrove.functions import signatures as S
+
+    rows = []
+    for s, d in zip(sig, plain):
+        c, generic = None, False
+        for text in (s, d):
+            if text is not None:
+                try:
+                    c, generic = S.parse_class(text), text is s
+                    break
+                except S.SignatureError:
+                    continue
+        rows.append((None, None, None, None) if c is None else (S.render(c["superclass"]), [S.render(i) for i in c["interfaces"]], len(c["params"]), generic))
+    return pd.DataFrame(rows, columns=["superclass", "interfaces", "type_params", "generic"])
+
+
+def class_signatures(cat: Catalog) -> DataFrame:
+    """(class_name, superclass, interfaces, type_params, generic) of every class; without a signature of its own its
+    superclass and direct interfaces in the order they are declared."""
+    e = cat.edges
+    binary = lambda c: F.concat(F.lit("L"), F.translate(c, ".", "/"), F.lit(";"))
+    sup = e.where("rel = 'extends'").groupBy(F.col("src").alias("class_name")).agg(F.min("dst").alias("sup"))
+    itf = e.where("rel = 'implements'").groupBy(F.col("src").alias("class_name")).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("ord", F.lit(1 << 30)).alias("o"), "dst"))).alias("itfs"))
+    plain = F.concat(binary(F.coalesce("sup", F.lit("java.lang.Object"))), F.array_join(F.transform(F.coalesce("itfs", F.array()), lambda x: binary(x["dst"])), ""))
+    c = cat.classes.select("class_name", "type_signature").join(sup, "class_name", "left").join(itf, "class_name", "left").select("class_name", parse_class_signature("type_signature", plain).alias("p"))
+    return c.select("class_name", "p.superclass", F.array_join("p.interfaces", " ").alias("interfaces"), "p.type_params", "p.generic")
+
+
 @F.pandas_udf(T.ArrayType(_BINDING))
 def _bindings(start: pd.Series, signatures: pd.Series) -> pd.Series:
     from bytegrove.functions import signatures as S

@@ -214,6 +214,13 @@ def sig_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return method_signatures(Catalog.load(spark, sf_dir))
 
 
+def sig_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes with what their signatures say they extend and implement, or else their links."""
+    from bytegrove.operators.signatures import class_signatures
+
+    return class_signatures(Catalog.load(spark, sf_dir))
+
+
 def g16_type_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What classes fill in for the variables of their superclasses. The tables have no generic superclass, so each class is
     given a signature: it has a variable, and passes it on to its superclass or, by the length of its name, a fixed type."""
@@ -338,7 +345,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         f2_kinds, f3_visible, f4_path_status, f14_globs, f16_has, f17_modifiers, u_set_operations, u_assignable, j2_placeholders, j4_membership, w1_masking,
-        f14_selections, g12_annotation_instances, g16_type_arguments, sig_methods, a1_resources_by_path, a2_duplicate_paths, a5_last_modified, a8_modifier_union, s11_element_order, g18_dependencies, g19_reverse_dependencies, g19_dependencies, f16_class_predicates, j10_effective_values, o_orders, fn_paths, k1_dot_edges, k9_node_labels,
+        f14_selections, g12_annotation_instances, g16_type_arguments, sig_classes, sig_methods, a1_resources_by_path, a2_duplicate_paths, a5_last_modified, a8_modifier_union, s11_element_order, g18_dependencies, g19_reverse_dependencies, g19_dependencies, f16_class_predicates, j10_effective_values, o_orders, fn_paths, k1_dot_edges, k9_node_labels,
     )
 }
 
@@ -478,6 +485,10 @@ d AS (SELECT annotation, p.name AS name, min(p.value_json) AS v FROM p GROUP BY
 g AS (SELECT ann_id, annotation, p.name AS name, p.value_json AS v FROM p WHERE target_kind = 'class'),
 w AS (SELECT a.ann_id, a.annotation, d.name, d.v FROM annotations_ a JOIN d USING (annotation) WHERE target_kind = 'class')
 SELECT w.ann_id, w.name, coalesce(g.v, w.v) AS value_json, g.v IS NULL AS is_default FROM w LEFT JOIN g ON g.ann_id = w.ann_id AND g.name = w.name WHERE coalesce(g.v, w.v) IS NOT NULL""",
+    "sig_classes": _with("""sup1 AS (SELECT src, min(dst) AS dst FROM edges_ WHERE rel = 'extends' GROUP BY src), itf1 AS (SELECT src, string_agg(dst, ' ' ORDER BY coalesce(ord, 1 << 30), dst) AS dsts FROM edges_ WHERE rel = 'implements' GROUP BY src)""")
+    + r"""SELECT class_name, CASE WHEN type_signature IS NULL THEN coalesce(s.dst, 'java.lang.Object') ELSE replace(regexp_extract(type_signature, '>L([^;]+);$', 1), '/', '.') END AS superclass,
+CASE WHEN type_signature IS NULL THEN coalesce(dsts, '') ELSE '' END AS interfaces, CASE WHEN type_signature IS NULL THEN 0 ELSE 1 END AS type_params, type_signature IS NOT NULL AS generic
+FROM classes_ LEFT JOIN sup1 s ON s.src = class_name LEFT JOIN itf1 i ON i.src = class_name""",
     "g16_type_arguments": _with(_UP, f"""lk AS (SELECT src, min(dst) AS dst FROM edges_ WHERE rel = 'extends' GROUP BY src),
 has_row AS (SELECT class_name FROM known_),
 circular AS (SELECT root FROM up_ WHERE node IN (SELECT root FROM up_ WHERE root = node)),
