@@ -9,6 +9,7 @@ from bytegrove.catalog import OBJECT, SQL_ANNOTATIONS, SQL_CLASSES, SQL_FIELDS,
 from bytegrove.functions.modifiers import INTERFACE
 from bytegrove.functions.names import sql_class_name
 from bytegrove.functions.paths import automatic_module_name_column
+from bytegrove.plans.graph import _VALUES
 from bytegrove.scratch import Scratch
 from bytegrove.sinks.archives import FUTURE, VERSION, write_archives
 from bytegrove.sources.archives import ArchiveOptions, archive_files, list_entries
@@ -52,6 +53,14 @@ def s2_archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def s7_from_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each archive listed from its bytes, as a table of contents holds them."""
+    from bytegrove.sources.archives import list_contents
+
+    given = spark.read.format("binaryFile").load(archives(spark, sf_dir)[0]).select(F.col("path").alias("element"), "content")
+    return list_contents(given).groupBy(_archive()).agg(F.count("path").alias("n_entries"), F.count_if("is_classfile").alias("n_classes"), F.count_if(F.col("version") > 8).alias("n_versioned"), F.count("error").alias("n_errors"))
+
+
 def s5_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class files by path and version, with versions resolved and with every version under its own path."""
     one = _entries(spark, sf_dir).where("is_classfile").select(F.lit("newest").alias("how"), _archive(), "path", "version")
@@ -126,7 +135,7 @@ def scan_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (s1_written, s2_archive_entries, s5_versions, s8_manifests, s15_parsed_classes, s16_constants, s17_annotation_values, s18_methods, s16_parameters, s20_references, s21_bad_files, scan_classes)
+    for f in (s1_written, s2_archive_entries, s5_versions, s7_from_bytes, s8_manifests, s15_parsed_classes, s16_constants, s17_annotation_values, s18_methods, s16_parameters, s20_references, s21_bad_files, scan_classes)
 }
 
 _NAME = "'e' || lpad(CAST(cp_idx AS VARCHAR), 3, '0') || '.jar'"
@@ -187,7 +196,8 @@ UNION ALL SELECT class_name, unnest({_THROWN}) FROM placed_methods WHERE class_n
     "s21_bad_files": _with(_FILES) + "SELECT archive, 'broken/' || path AS path, 'damaged' AS fault FROM file_ WHERE source_file IS NULL UNION ALL SELECT archive, 'moved/' || path, 'misnamed' FROM file_ WHERE source_file IS NULL",
     "scan_classes": _with(*_ALL, _ANNS, f"""first_ AS (SELECT class_name, min(cp_idx) AS cp_idx FROM file_ GROUP BY class_name),
 seeds AS (SELECT class_name FROM (SELECT class_name, CASE WHEN instr(class_name, '.') > 0 THEN regexp_replace(class_name, '\\.[^.]*$', '') ELSE '' END AS package_name FROM first_) WHERE {_SCANNED}),
-leans AS (SELECT class_name, superclass AS ref FROM said UNION SELECT class_name, "outer" FROM said UNION SELECT class_name, unnest(string_split(interfaces, ' ')) FROM said UNION SELECT class_name, annotation FROM kept_anns UNION SELECT class_name, unnest({_THROWN}) FROM placed_methods),
+leans AS (SELECT class_name, superclass AS ref FROM said UNION SELECT class_name, "outer" FROM said UNION SELECT class_name, unnest(string_split(interfaces, ' ')) FROM said UNION SELECT class_name, annotation FROM kept_anns UNION SELECT class_name, unnest({_VALUES}) FROM kept_anns UNION SELECT class_name, unnest({_THROWN}) FROM placed_methods),
 got(class_name) AS (SELECT class_name FROM seeds UNION SELECT f.class_name FROM got g JOIN leans l ON l.class_name = g.class_name JOIN first_ f ON f.class_name = l.ref)""")
     + "SELECT class_name, class_name NOT IN (SELECT class_name FROM seeds) AS is_external, cp_idx FROM got JOIN first_ USING (class_name)",
 }
+ORACLE["s7_from_bytes"] = ORACLE["s2_archive_entries"]

@@ -251,6 +251,21 @@ def list_entries(files: DataFrame, options: ArchiveOptions = ArchiveOptions()) -
     return files.select("element").repartition(n, "element").mapInArrow(run, ENTRIES)
 
 
+def list_contents(archives: DataFrame, options: ArchiveOptions = ArchiveOptions()) -> DataFrame:
+    """Columns of ``ENTRIES`` for archives that are given as bytes, (element, content), from whatever table or stream; without
+    content an element is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[dict]:
+            for b in batches:
+                for element, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    yield from list_archive(io.BytesIO(content or b""), element, "", options)
+
+        yield from _batches(rows())
+
+    return archives.select("element", "content").mapInArrow(run, ENTRIES)
+
+
 def directory_entries(spark: SparkSession, root: str) -> DataFrame:
     """(element, path, length, mtime, order_key, is_classfile) of the files below a directory.
 

@@ -15,6 +15,7 @@ from bytegrove.catalog import Catalog, Scope
 from bytegrove.functions.globs import Filter
 from bytegrove.functions.names import package_of, path_to_class
 from bytegrove.functions.paths import ARCHIVE, has_scheme, sanitize
+from bytegrove.operators.dependencies import value_classes
 from bytegrove.operators.members import containers_of, unwrap_repeatable
 from bytegrove.operators.resources import element_order, elements_with_paths, mask_classes
 from bytegrove.operators.skew import numbered
@@ -318,11 +319,13 @@ class Scan:
 
 
 def referenced(parsed: DataFrame) -> DataFrame:
-    """(class_name) distinct names that a class leans on: superclass, interfaces, outer class, annotations, exceptions."""
+    """(class_name) distinct names that a class leans on: superclass, interfaces, outer class, exceptions, annotations, and the
+    annotations, enumerations and classes in their values."""
     own = F.filter("inner", lambda x: x["inner"] == F.col("class_name"))
     names = F.flatten(
         F.array(
             F.array_compact(F.array("superclass")), F.coalesce("interfaces", F.array()), F.coalesce(F.transform("annotations", lambda a: a["annotation"]), F.array()),
+            F.coalesce(F.flatten(F.transform("annotations", lambda a: value_classes(F.coalesce(a["params"], F.array())))), F.array()),
             F.coalesce(F.array_compact(F.transform(own, lambda x: x["outer"])), F.array()), F.coalesce(F.flatten(F.transform("methods", lambda m: m["thrown"])), F.array()),
         )
     )
