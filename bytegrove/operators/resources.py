@@ -13,11 +13,20 @@ def mask_classes(resources: DataFrame) -> DataFrame:
 
     Other files are never masked, nor are module-info and package-info. Input is (cp_idx, path), optionally with ord.
     """
+    return _marked(resources).select("cp_idx", "path", "masked")
+
+
+def unmasked(resources: DataFrame) -> DataFrame:
+    """Whole rows that ``mask_classes`` doesn't mask, by the same single shuffle."""
+    return _marked(resources).where("not masked").select(*resources.columns)
+
+
+def _marked(resources: DataFrame) -> DataFrame:
     r = resources if "ord" in resources.columns else resources.withColumn("ord", F.lit(0))
     key = F.regexp_replace("path", r"(?i)\.class$", ".class")
     first = F.row_number().over(Window.partitionBy(key).orderBy(F.col("cp_idx").asc_nulls_last(), "ord", "path"))
     exempt = ~key.endswith(".class") | F.element_at(F.split(key, "/"), -1).isin("module-info.class", "package-info.class")
-    return r.withColumn("n", first).select("cp_idx", "path", (~exempt & (F.col("n") > 1)).alias("masked"))
+    return r.withColumn("n__", first).withColumn("masked", ~exempt & (F.col("n__") > 1))
 
 
 def mask_same_file(resources: DataFrame, file_key: str = "file_key") -> DataFrame:

@@ -25,7 +25,7 @@ def archives(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     if key not in _WRITTEN:
         sc = Scratch(spark, "archives")
         root = f"{sc.root}/jars"
-        _WRITTEN[key] = root, sc.save(write_archives(Catalog.load(spark, sf_dir).pin(), root, multi_release_every=EVERY, damage=True), "written")
+        _WRITTEN[key] = root, sc.save(write_archives(Catalog.load(spark, sf_dir), root, multi_release_every=EVERY, damage=True), "written")
     return _WRITTEN[key]
 
 

@@ -1,7 +1,8 @@
 """Directories and archives as tables of entries, listed and read by tasks in parallel.
 
-Listing reads central directories only. Contents are read in a second step, by (archive, range of entries), so that one
-huge archive is read by many tasks and no content is ever shuffled.
+Listing reads central directories only, each once. Contents are read in a second step, by (archive, range of entries) and
+from the place that the listing gives, so that one huge archive is read by many tasks, none of them reads its directory
+again, and no content is ever shuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import io
 import stat
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,12 +44,12 @@ class ArchiveOptions:
     allow_remote: bool = False
 
 
-ENTRIES = "element string, nested string, ord int, path string, path_in_element string, root string, is_classfile boolean, version int, length bigint, compressed_length bigint, mtime timestamp, posix_mode int, manifest map<string,string>, error string"
+ENTRIES = "element string, nested string, ord int, path string, path_in_element string, root string, is_classfile boolean, version int, length bigint, compressed_length bigint, mtime timestamp, posix_mode int, manifest map<string,string>, error string, place struct<at:bigint,method:int,crc:bigint>"
 _SCHEMA = pa.schema(
     [
         ("element", pa.string()), ("nested", pa.string()), ("ord", pa.int32()), ("path", pa.string()), ("path_in_element", pa.string()), ("root", pa.string()), ("is_classfile", pa.bool_()),
         ("version", pa.int32()), ("length", pa.int64()), ("compressed_length", pa.int64()), ("mtime", pa.timestamp("us", "UTC")), ("posix_mode", pa.int32()),
-        ("manifest", pa.map_(pa.string(), pa.string())), ("error", pa.string()),
+        ("manifest", pa.map_(pa.string(), pa.string())), ("error", pa.string()), ("place", pa.struct([("at", pa.int64()), ("method", pa.int32()), ("crc", pa.int64())])),
     ]
 )
 
@@ -90,6 +92,35 @@ def check_count(z: zipfile.ZipFile, size: int) -> None:
         raise zipfile.BadZipFile("more entries than the directory can hold")
 
 
+def places(infos: list[zipfile.ZipInfo], size: int) -> dict[int, int]:
+    """Where the bytes of each local header's entry must have ended, by the header's offset: at the next header or the directory."""
+    at = sorted({i.header_offset for i in infos})
+    return dict(zip(at, [*at[1:], size]))
+
+
+def place(i: zipfile.ZipInfo, ends: dict[int, int]) -> dict | None:
+    """What it takes to read an entry without the directory; None for those that need more (patched, overlapping)."""
+    fits = i.header_offset + 30 + len(i.orig_filename) + i.compress_size <= ends[i.header_offset]
+    return {"at": i.header_offset, "method": i.compress_type, "crc": i.CRC} if fits and not i.flag_bits & 0x61 else None
+
+
+def read_at(f, name: str, compressed: int, length: int, where: dict) -> bytes:
+    """The content of one entry, from its local header on; the header must give the same name."""
+    f.seek(where["at"])
+    head = f.read(30)
+    if len(head) < 30 or head[:4] != b"PK\3\4":
+        raise zipfile.BadZipFile(f"no entry at {where['at']}")
+    flags, n, extra = struct.unpack("<6xH18xHH", head)
+    raw = f.read(n + extra + compressed)
+    if sanitize(raw[:n].decode("utf-8" if flags & 0x800 else "cp437")) != name:
+        raise zipfile.BadZipFile(f"directory and header differ in the name of {name}")
+    body = raw[n + extra :]
+    data = zlib.decompressobj(-15).decompress(body, max(1, length)) if where["method"] == zipfile.ZIP_DEFLATED else body[:length]
+    if zlib.crc32(data) != where["crc"]:
+        raise zipfile.BadZipFile(f"bad checksum of {name}")
+    return data
+
+
 def package_root(z: zipfile.ZipFile, names: list[str]) -> list[str]:
     """Prefixes whose first class file is named as if the prefix weren't there."""
     from bytegrove.sources.classfile import ClassFile, ClassFormatError
@@ -153,7 +184,7 @@ def list_archive(f, element: str, nested: str, o: ArchiveOptions) -> Iterator[di
                 return
         roots = package_root(z, list(infos))
         multi = manifest.get("multi-release", "").lower() == "true"
-        rows: dict[str, dict] = {}
+        rows: dict[str, tuple] = {}
         for ord_, (name, i) in enumerate(infos.items()):
             version, path = 8, name
             if name.startswith(VERSIONS):
@@ -167,16 +198,18 @@ def list_archive(f, element: str, nested: str, o: ArchiveOptions) -> Iterator[di
                     version, path = n, rest
             root = next((r for r in roots if path.startswith(r)), "")
             path = path[len(root) :]
+            old = rows.get(path)
+            # Without the flag a version is one more entry of that path, and the first entry counts.
+            if old is None or (multi and version > old[-1]):
+                rows[path] = ord_, name, root, version
+        ends = places(z.infolist(), z.start_dir)
+        for path, (ord_, name, root, version) in rows.items():
+            i = infos[name]
             mode = i.external_attr >> 16
-            row = blank | {
+            yield blank | {
                 "ord": ord_, "path": path, "path_in_element": name, "root": root, "is_classfile": path.lower().endswith(".class"), "version": version, "length": i.file_size,
-                "compressed_length": i.compress_size, "mtime": _entry_time(i), "posix_mode": stat.S_IMODE(mode) if i.create_system == 3 and mode else None, "manifest": list(manifest.items()) if ord_ == 0 else None,
+                "compressed_length": i.compress_size, "mtime": _entry_time(i), "posix_mode": stat.S_IMODE(mode) if i.create_system == 3 and mode else None, "manifest": list(manifest.items()) if ord_ == 0 else None, "place": place(i, ends),
             }
-            old = rows.get(path)
-            # Without the flag a version is one more entry of that path, and the first entry counts.
-            if old is None or (multi and version > old["version"]):
-                rows[path] = row
-        yield from rows.values()
         if o.nested:
             bundled = {sanitize(p) for p in child_paths(manifest)}
             for name, i in infos.items():
@@ -288,43 +321,53 @@ def directory_listing(spark: SparkSession, root: str) -> DataFrame:
     within are files like others here.
     """
     e = directory_entries(spark, root)
-    none = {"root": "''", "version": "8", "compressed_length": "length", "posix_mode": "cast(null as int)", "manifest": "cast(null as map<string,string>)", "error": "cast(null as string)"}
+    none = {"root": "''", "version": "8", "compressed_length": "length", "posix_mode": "cast(null as int)", "manifest": "cast(null as map<string,string>)", "error": "cast(null as string)", "place": "cast(null as struct<at:bigint,method:int,crc:bigint>)"}
     have = {"element": F.lit(root.rstrip("/") + "/"), "nested": F.lit(""), "ord": F.pmod(F.xxhash64("path"), F.lit(1 << 24)).cast("int"), "path_in_element": F.col("path")}
-    names = [c.split()[0] for c in ENTRIES.replace("map<string,string>", "map").split(", ")]
+    names = _SCHEMA.names
     return e.select(*((have[n] if n in have else F.expr(none[n]) if n in none else F.col(n)).alias(n) for n in names))
 
 
-def read_entries(entries: DataFrame, handle, schema: str, options: ArchiveOptions = ArchiveOptions()) -> DataFrame:
+def read_entries(entries: DataFrame, handle, schema: str, options: ArchiveOptions = ArchiveOptions(), tasks: int | None = None) -> DataFrame:
     """``handle(rows)`` over the contents of entries, where rows are (element, nested, path, ord, bytes or None, error).
 
     ``entries`` needs element, nested, path, path_in_element and ord. An element that ends in a slash is a directory, any
-    other an archive. The handler gives record batches of ``schema``.
+    other an archive, whose directory is read only for entries that come without length, compressed_length and place. The
+    handler gives record batches of ``schema``. ``tasks`` is for few entries.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            opened: tuple[tuple, zipfile.ZipFile] | None = None
+            now: tuple | None = None
             for b in batches:
-                for element, nested, path, name, ord_ in zip(*(b.column(i).to_pylist() for i in range(5))):
+                for element, nested, path, name, ord_, compressed, length, where in zip(*(c.to_pylist() for c in b.columns)):
                     try:
                         if element.endswith("/"):
                             with open_file(element + name) as f:
                                 yield element, nested, path, ord_, f.read(), None
                             continue
-                        if opened is None or opened[0] != (element, nested):
-                            z = zipfile.ZipFile(open_file(element))
+                        if now != (element, nested):
+                            now, z = None, None
+                            f = open_file(element)
                             for step in [s for s in (nested or "").split("!/") if s]:
-                                z = zipfile.ZipFile(spool(z, _info(z, step)))
-                            opened = ((element, nested), z)
-                        yield element, nested, path, ord_, opened[1].read(_info(opened[1], name)), None
-                    except (zipfile.BadZipFile, OSError, KeyError, ValueError, NotImplementedError, EOFError) as e:
+                                outer = zipfile.ZipFile(f)
+                                f = spool(outer, _info(outer, step))
+                            now = element, nested
+                        if where is not None:
+                            data = read_at(f, name, compressed, length, where)
+                        else:
+                            z = z or zipfile.ZipFile(f)
+                            data = z.read(_info(z, name))
+                        yield element, nested, path, ord_, data, None
+                    except (zipfile.BadZipFile, zlib.error, OSError, KeyError, ValueError, NotImplementedError, EOFError) as e:
                         yield element, nested, path, ord_, None, f"{type(e).__name__}: {e}"
 
         yield from handle(rows())
 
     chunk = F.floor(F.col("ord") / ENTRIES_PER_TASK).cast("int")
-    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = entries.select("element", "nested", "path", "path_in_element", "ord").repartition(max(n, 2), "element", "nested", chunk)
+    n = tasks or max(2, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    have = {"compressed_length", "length", "place"} <= set(entries.columns)
+    lies = ("compressed_length", "length", "place") if have else (F.lit(None).cast("bigint").alias("compressed_length"), F.lit(None).cast("bigint").alias("length"), F.lit(None).cast("struct<at:bigint,method:int,crc:bigint>").alias("place"))
+    spread = entries.select("element", "nested", "path", "path_in_element", "ord", *lies).repartition(n, "element", "nested", chunk)
     return spread.sortWithinPartitions("element", "nested", "ord").mapInArrow(run, schema)
 
 

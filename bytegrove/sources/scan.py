@@ -17,8 +17,8 @@ from bytegrove.functions.names import package_of, path_to_class
 from bytegrove.functions.paths import ARCHIVE, has_scheme, sanitize
 from bytegrove.operators.dependencies import value_classes
 from bytegrove.operators.members import containers_of, unwrap_repeatable
-from bytegrove.operators.resources import element_order, elements_with_paths, mask_classes
-from bytegrove.operators.skew import numbered
+from bytegrove.operators.resources import element_order, elements_with_paths, unmasked
+from bytegrove.operators.skew import numbered, union_all
 from bytegrove.scratch import Scratch
 from bytegrove.sources.archives import ENTRIES, ArchiveOptions, archive_files, directory_listing, list_entries, read_entries
 from bytegrove.sources.classfile import ClassFile, ClassFormatError
@@ -87,11 +87,15 @@ def _ddl(t: pa.DataType) -> str:
 CLASS_DDL = ", ".join(f"{f.name} {_ddl(f.type)}" for f in _CLASS)
 #: Archives within an archive come after those that its manifest names.
 NESTED_LAST = 1 << 20
+#: What it takes to order class files and to read them.
+_PLACED = ("cp_idx", "element", "nested", "path", "path_in_element", "ord", "compressed_length", "length", "place")
+#: Names asked for that make one more task worth while; tables of them that are merged into one.
+NAMES_PER_TASK, MERGED = 256, 8
 #: Parsed classes per batch handed to the JVM.
 BATCH = 500
 
 
-def parse_classes(entries: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
+def parse_classes(entries: DataFrame, config: ScanConfig = ScanConfig(), tasks: int | None = None) -> DataFrame:
     """One row per class file, as ``CLASS_DDL``; unreadable ones have ``parse_error`` and no class_name.
 
     What the config leaves out is not parsed. A class whose name is not that of its path is an error, as is bad format;
@@ -121,7 +125,7 @@ def parse_classes(entries: DataFrame, config: ScanConfig = ScanConfig()) -> Data
         if part:
             yield pa.RecordBatch.from_pylist(part, schema=_CLASS)
 
-    return read_entries(entries, handle, CLASS_DDL, config.archives)
+    return read_entries(entries, handle, CLASS_DDL, config.archives, tasks)
 
 
 class Scan:
@@ -202,8 +206,7 @@ class Scan:
         if config.class_path_only:
             self.errors = self.errors_listing.select("element", "nested", F.lit(None).cast("string").alias("path"), "error")
             return
-        masked = mask_classes(self.resources.where("is_classfile").select("cp_idx", "path", "ord"))
-        own = self.entries.join(masked.where("not masked").select("cp_idx", "path"), ["cp_idx", "path"], "left_semi")
+        own = unmasked(self.resources.where("is_classfile").select(*_PLACED))
         self.parsed = sc.save(parse_classes(own, config).withColumn("is_external", F.lit(False)), "parsed")
         if config.extend_to_external:
             self._extend()
@@ -229,23 +232,36 @@ class Scan:
 
     def _extend(self) -> None:
         """Superclasses, interfaces, outer classes, annotations and exceptions outside the accepted packages, until no more
-        are found: each round parses only names that were never asked for."""
+        are found: each round parses only names that were never asked for. A chain takes as many rounds as it is long, so a
+        round is two jobs, and what it reads is as much as it finds, but for the names of the index."""
         sc = self.scratch
-        first = mask_classes(self.entries.where("is_classfile").select("cp_idx", "path", "ord")).where("not masked").select("cp_idx", "path")
-        index = sc.save(self.entries.join(first, ["cp_idx", "path"], "left_semi").withColumn("class_name", path_to_class("path")), "index")
+        index = unmasked(self.entries.where("is_classfile").select(*_PLACED)).withColumn("class_name", path_to_class("path"))
         reject = Filter("prefix", (), self.config.reject_packages, ".").rejected(package_of("class_name"))
         index = index.where(~reject & (F.col("class_name") != "java.lang.Object"))
-        newest, asked = self.parsed, None
+        own = self.parsed.select("class_name").where("class_name is not null")
+        index = sc.save(index.join(own, "class_name", "left_anti"), "index")
+        n_tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        newest, asked, found = self.parsed, [], []
         while True:
-            names = sc.save(referenced(newest).join(self.parsed.select("class_name"), "class_name", "left_anti"), "names")
-            if asked is not None:
-                names = sc.save(names.join(asked, "class_name", "left_anti"), "names")
-            todo = sc.save(index.join(names, "class_name", "left_semi").drop("class_name"), "todo")
-            if todo.isEmpty():
-                return
-            asked = names if asked is None else asked.unionByName(names)
-            newest = sc.save(parse_classes(todo, self.config).withColumn("is_external", F.lit(True)), "external")
-            self.parsed = self.parsed.unionByName(newest)
+            names = referenced(newest)
+            if asked:
+                names = names.join(union_all(asked), "class_name", "left_anti")
+            names, n = sc.counted(names, "names", n=F.count(F.lit(1)))
+            asked.append(names)
+            if len(asked) >= MERGED:
+                parts, asked = asked, [sc.save(union_all(asked).coalesce(n_tasks), "asked")]
+            todo = index.join(names, "class_name", "left_semi").drop("class_name")
+            parsed = parse_classes(todo, self.config, min(n_tasks, 1 + n["n"] // NAMES_PER_TASK)).withColumn("is_external", F.lit(True))
+            newest, n = sc.counted(parsed, "external", n=F.count(F.lit(1)))
+            if len(asked) == 1 and asked[0] is not names:
+                sc.drop(*parts)
+            if not n["n"]:
+                break
+            found.append(newest)
+        if len(found) > 1:  # one table instead of one for each round, for all who ask later
+            parts, found = found, [sc.save(union_all(found).coalesce(n_tasks), "external")]
+            sc.drop(*parts)
+        self.parsed = union_all([self.parsed, *found])
 
     def _each(self, column: str, *keys: str) -> DataFrame:
         return self.parsed.select("class_name", *keys, F.explode(column).alias("x")).select("class_name", *keys, "x.*")

@@ -290,3 +290,73 @@ def test_repeated_annotations_and_roots_within_roots(spark, compiled, tmp_path):
     assert {r.dst for r in s.edges().where("rel = 'class_ann' and src = 'p.Tagged'").collect()} == {"p.Tag", "p.Tag$Many"}
     few = scan(spark, [root], ScanConfig(class_path_only=True, accept_element_paths=("q/*.class",)))
     assert not hasattr(few, "parsed") and few.entries.count() > 0
+
+
+def test_contents_are_read_from_the_place_that_was_listed(spark, tmp_path):
+    """The directory of an archive is read once, by the listing; reading goes on without it, and damage is a row."""
+    from bytegrove.sources.archives import archive_files, list_entries, map_contents
+
+    data = jar([("a.txt", b"one" * 50), ("b.txt", b"two" * 50), ("ü.txt", b""), ("c.txt", b"six" * 50)], tmp_path / "x.jar")
+    entries = list_entries(archive_files(spark, [str(tmp_path)])).cache()
+    assert {r.path: r.place.at for r in entries.collect()} == {i.filename: i.header_offset for i in zipfile.ZipFile(io.BytesIO(data)).infolist()}
+    bad = bytearray(data[: data.find(b"PK\x01\x02")])
+    bad[bad.find(b"b.txt") + 5] = 0xFF  # no deflated block begins so
+    (tmp_path / "x.jar").write_bytes(bytes(bad))
+    got = map_contents(entries, lambda path, text: [(path, len(text))], "path string, n int", strict=False).collect()
+    assert {tuple(r) for r in got} == {("a.txt", 150), ("ü.txt", 0), ("c.txt", 150)}
+
+
+def test_long_chains_take_two_tables_a_round(spark, tmp_path, monkeypatch):
+    from bytegrove.scratch import Scratch
+    from bytegrove.sinks.archives import class_bytes
+
+    blank = {"modifiers": 1, "minor": 0, "major": 52, "interfaces": [], "type_signature": None, "source_file": None, "is_record": False, "outer": None, "fields": [], "methods": [], "annotations": []}
+    chain = [f"p{i}.C" for i in range(11)]
+    jar([(f"p{i}/C.class", class_bytes(blank | {"class_name": c, "superclass": chain[i + 1] if i < 10 else "java.lang.Object"})) for i, c in enumerate(chain)], tmp_path / "x.jar")
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name="t": (saved.append(name), save(self, df, name))[1])
+    s = scan(spark, [str(tmp_path)], ScanConfig(accept_packages=("p0",)))
+    assert {(r.class_name, r.is_external) for r in s.parsed.collect()} == {(c, i > 0) for i, c in enumerate(chain)} and s.errors.count() == 0
+    assert len(saved) - saved.index("parsed") - 1 <= 2 * len(chain) + 4
+
+
+def test_archives_of_more_entries_than_16_bits_count(tmp_path):
+    from bytegrove.sinks.archives import DAMAGED, VERSIONED, _write_archive
+
+    n = _write_archive(str(tmp_path / "x.jar"), ((f"p/C{i}.class", (VERSIONED | DAMAGED) * (i < 2), b"%d" % i) for i in range(66_000)))
+    with zipfile.ZipFile(tmp_path / "x.jar") as z:
+        names = z.namelist()
+        assert n == len(names) == len(set(names)) == 66_008 and z.read("p/C65999.class") == b"65999" and z.testzip() is None
+        assert names[66_000:] == [f"{p}p/C{i}.class" for p in ("META-INF/versions/11/", "META-INF/versions/99/", "broken/", "moved/") for i in (0, 1)]
+    with (tmp_path / "x.jar").open("rb") as f:
+        # Without the flag the files of other versions have the path of their base.
+        assert sum(1 for _ in list_archive(f, "x.jar", "", ArchiveOptions())) == 66_004
+
+
+def test_repeated_members_and_instances_are_written_once(spark):
+    from bytegrove.catalog import Catalog
+    from bytegrove.sinks.archives import class_bytes, class_records
+
+    schema = {
+        "classes": "class_name string, modifiers int, is_record boolean, is_external boolean, inherited_meta boolean, cp_idx int, resource_path string, package_name string, module_name string, type_signature string, scanned_at timestamp, major int, minor int, source_file string",
+        "edges": "rel string, src string, dst string, ord int, nonprivate boolean", "methods": "class_name string, ord int, name string, descriptor string, modifiers int, has_body boolean, thrown array<string>, signature string, min_line int, max_line int",
+        "fields": "class_name string, ord int, name string, descriptor string, modifiers int, const_json string", "annotations": "ann_id bigint, target_kind string, class_name string, member_ord int, param_idx int, ord int, annotation string, visible boolean, params array<struct<name:string,value_json:string>>",
+    }
+    one = lambda c: (c, 1, None, False, None, 0, f"{c.replace('.', '/')}.class", None, None, None, None, 52, 0, "x")
+    rows = {
+        "classes": [one("p.A"), one("p.B")], "edges": [("extends", "p.A", "p.B", 0, None), ("implements", "p.A", "p.J", 1, None), ("implements", "p.A", "p.I", 0, None)],
+        "methods": [("p.A", 1, "m", "()V", 1, None, None, None, None, None), ("p.A", 0, "n", "()V", 2, None, None, None, None, None), ("p.A", 3, "m", "()V", 4, None, None, None, None, None), ("p.A", 1, "k", "(I)V", None, None, None, None, None, None)],
+        "fields": [("p.A", 0, "f", None, 1, None), ("p.A", 1, "f", "I", 1, None), ("p.A", None, "g", "I", None, '{"t":"I","v":7}')],
+        "annotations": [(1, "method", "p.A", 1, None, 0, "q.M", True, None), (1, "method", "p.A", 1, None, 0, "q.M", True, None), (2, "field", "p.A", None, None, 0, "q.N", True, None), (3, "class", "p.A", None, None, 0, "q.C", True, None), (3, "class", "p.B", None, None, 0, "q.C", True, None)],
+    }
+    t = {k: spark.createDataFrame(v, schema[k]) for k, v in rows.items()}
+    records = class_records(Catalog(t["classes"], t["edges"], t["methods"], t["fields"], t["annotations"]))
+    from bytegrove.sinks.archives import _plain
+
+    columns = [_plain(c) for c in records.toArrow().combine_chunks().to_batches()[0].columns]
+    got = {(c := ClassFile(class_bytes(dict(zip(records.columns, r))))).name: c for r in zip(*columns)}
+    a, b = got["p.A"], got["p.B"]
+    assert (a.superclass, a.interfaces, b.superclass) == ("p.B", ["p.I", "p.J"], "java.lang.Object")
+    assert [(m["name"], m["modifiers"]) for m in a.methods] == [("n", 2), ("k", 0), ("m", 1)] and [(f["name"], f["const_json"]) for f in a.fields] == [("g", '{"t":"I","v":7}')]
+    assert [(x["target_kind"], x["member_ord"], x["annotation"]) for x in a.annotations if x["target_kind"] != "class"] == [("method", 1, "q.M")]
+    assert sum(x["annotation"] == "q.C" for c in (a, b) for x in c.annotations) == 1
